@@ -205,3 +205,17 @@ def near_duplicates(docs: DataFrame, budget: int = 4, k: int = 4, id_col: str =
     found = components(near_edges(known.select("node", "fp"), budget, total))
     groups = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each near-duplicate group; all columns stay.
+
+    Of rows that repeat an id one stays; rows without an id stay as they are.
+    """
+    marked = written(near_duplicates(docs, budget, k, id_col, text_col))
+    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.join(keep, docs[id_col].cast("long") == keep["kept_id"], "left").where(F.col("kept_id").isNotNull() | docs[id_col].isNull()).select(*(docs[c] for c in docs.columns))
+    if marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        named = own.where(F.col(id_col).isNotNull())
+        return named.dropDuplicates([id_col]).unionByName(own.where(F.col(id_col).isNull()))
+    return own
