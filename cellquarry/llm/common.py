@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,8 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes the rows to a Parquet table in the shared folder and reads them back."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")  # what was shuffled for the table is of no more use
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
