@@ -22,6 +22,7 @@ U64 = np.uint64
 MARK = 0x2581  # stands for a blank in pieces
 OTHER_MARK = 0x110000  # stands for that character itself in a text
 LONGEST_PART = 1 << 20
+SLOT_BITS = 20
 
 
 class Lattice:
@@ -54,6 +55,11 @@ class Lattice:
         self.keys, self.ids = keys[order], np.fromiter(prefix.values(), np.int32, len(prefix))[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("pieces collide")
+        slot = (mix(self.keys) >> U64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, 0, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        many = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+        self.slots[many] = -1
         self.raw_size = np.fromiter(map(len, raw), np.int64, n)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -66,6 +72,16 @@ class Lattice:
             h = (h * self.MULTIPLIER + p + 1) & (2**64 - 1)
         return U64(h)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash stands among the keys, or -1."""
+        i = self.slots[(mix(h) >> U64(64 - SLOT_BITS)).astype(np.int64)]
+        out = np.where(self.keys[i] == h, i, -1)
+        shared = np.flatnonzero(i < 0)  # slots of several keys
+        if len(shared):
+            at = np.minimum(np.searchsorted(self.keys, h[shared]), len(self.keys) - 1)
+            out[shared] = np.where(self.keys[at] == h[shared], at, -1)
+        return out
+
     def edges(self, points: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece) of all pieces in the words; ``end``: where the word of each place ends. Piece = size: spelt in bytes."""
         at, h = np.arange(len(points)), np.zeros(len(points), U64)
@@ -76,8 +92,8 @@ class Lattice:
             if not len(at):
                 break
             h = h * U64(self.MULTIPLIER) + (points[at + k] + 1).astype(U64)
-            i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[i] == h
+            i = self.find(h)
+            hit = i >= 0
             at, h, piece = at[hit], h[hit], self.ids[i[hit]]
             real = piece >= 0
             out.append((at[real], at[real] + k + 1, piece[real]))
@@ -100,7 +116,7 @@ class Lattice:
         own = owner[frm]
         a, b = frm + own, to + own
         level = to - starts[own]
-        order = np.lexsort((b, level))
+        order = np.argsort((level << 33) | (b << 5) | (to - frm))  # by level, state and length of piece
         a, b, piece, level, frm = a[order], b[order], piece[order], level[order], frm[order]
         weight, total = self.worth[piece], np.zeros(len(points) + len(size))
         begin = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
