@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellquarry.llm.common import pieces_of, texts_of
+from cellquarry.llm.common import pieces_of, texts_of, written
 
 
 def window_hashes(text: str, size: int) -> tuple[list[int], list[bytes]]:
@@ -42,6 +42,7 @@ def repeated_positions(docs: DataFrame, size: int) -> DataFrame:
 
     windows = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, mark long, pos int, h binary")
     first = windows.groupBy("h").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = written(first)  # the join below then has exchanges of its own, so hot windows can be split
     later = windows.join(first, "h").where(F.struct("id", "mark", "pos") > F.col("first"))
     return later.groupBy("id", "mark").agg(F.collect_list("pos").alias("positions"))
 
