@@ -241,7 +241,7 @@ class Lattice:
                 base.append(bases[i])
                 owner.append(i)
                 held += end - at
-                if held > 3 * LONGEST_PART or end < len(t):
+                if held > 2 * LONGEST_PART or end < len(t):
                     flush()
                     held = 0
                 at = end
@@ -275,7 +275,7 @@ def encode_pieces(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_path, alpha)
         for batch in batches:
-            for part in pieces_of(batch, most=3 << 20):
+            for part in pieces_of(batch, most=2 << 20):
                 texts = part.column("text").to_pylist()
                 ids, n = lat.encode([t or "" for t in texts], [row_seed(i, seed) for i in part.column("doc_id").to_pylist()])
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
