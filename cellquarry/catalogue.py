@@ -1,9 +1,750 @@
-"""Every registered query with its oracle."""
+"""Every registered query with the SQL that checks it.
 
+The driver's tables stand in for the models: cells are orders, features are parts, values are summed
+quantities, groups are order priorities, points are the first two components of embeddings, graphs
+join customers and suppliers.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellquarry.functions import ids
+from cellquarry.operators import analysis as A
+from cellquarry.operators import spatial as S
+from cellquarry.operators.graph import Graph
+from cellquarry.operators.matrix import Matrix
+from cellquarry.operators.table import Table, bind_rows
+from cellquarry.sources import readers, writers
+from cellquarry.streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql.strip()
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- the tables as models
+
+
+def table(spark: SparkSession, d: str, name: str, index: str = "row_index") -> Table:
+    return Table.read(spark, f"{d}/{name}.parquet", index=index)
+
+
+def matrix(spark: SparkSession, d: str) -> Matrix:
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").cast("double").alias("value"))
+    cells = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("c"), F.col("o_orderkey")).alias("cell_id"))
+    feats = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("col_id"), F.concat(F.lit("f"), F.col("p_partkey")).alias("feat_id"))
+    return Matrix.of(li, cells, feats)
+
+
+def priorities(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("c"), F.col("o_orderkey")).alias("cell_id"), F.col("o_orderpriority").alias("label"))
+
+
+def point_frame(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x_index"), F.col("embedding")[1].cast("double").alias("y_index"))
+
+
+def box_frame(spark: SparkSession, d: str) -> DataFrame:
+    """A rectangle for each label, 0.05 within the extent of its points."""
+    b = point_frame(spark, d).groupBy("label").agg((F.min("x_index") + 0.05).alias("x0"), (F.max("x_index") - 0.05).alias("x1"), (F.min("y_index") + 0.05).alias("y0"), (F.max("y_index") - 0.05).alias("y1"))
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))))
+    return S.polygons(b.select(F.col("label").cast("long").alias("poly_ID"), corner.alias("v")).select("poly_ID", "v.*"))
+
+
+def graph(spark: SparkSession, d: str) -> Graph:
+    """Customers and suppliers of one nation key pattern: orders link a customer to the suppliers of its lines."""
+    li, o = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).agg(F.count("*").cast("double").alias("weight"))
+    e = e.select((F.col("c") * 2).alias("from_id"), (F.col("s") * 2 + 1).alias("to_id"), "weight")
+    nodes = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") * 2).alias("node_id")).union(spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 2 + 1).alias("node_id")))
+    return Graph.of(e, nodes)
+
+
+def node_labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 2 + 1).alias("node_id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("label"))
+
+
+def r4(df: DataFrame, *cols: str) -> DataFrame:
+    """Sums of doubles depend on their order; compared at four digits (and never -0)."""
+    return df.withColumns({c: F.round(F.col(c), 4) + F.lit(0.0) for c in cols})
+
+
+T = "(SELECT l_orderkey AS row_id, l_partkey AS col_id, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
+C = "(SELECT o_orderkey AS row_id, 'c' || o_orderkey AS cell_id, o_orderpriority AS label FROM orders)"
+FE = "(SELECT p_partkey AS col_id, 'f' || p_partkey AS feat_id FROM part)"
+P = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+B = f"(SELECT CAST(label AS BIGINT) AS poly, min(x) + 0.05 AS x0, max(x) - 0.05 AS x1, min(y) + 0.05 AS y0, max(y) - 0.05 AS y1 FROM {P} GROUP BY 1)"
+E = "(SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+N = "(SELECT c_custkey * 2 AS node FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"
+L = "(SELECT s_suppkey * 2 + 1 AS node, 'n' || s_nationkey AS label FROM supplier)"
+
+# ---- scans, filters, projections
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def scan_project(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus").df()
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE (l_quantity >= 30 AND l_discount < 0.05) OR l_tax = 0.08")
+def filter_and_or(spark, d):
+    return table(spark, d, "lineitem").subset("(l_quantity >= :q AND l_discount < 0.05) OR l_tax = 0.08", ["l_orderkey", "l_partkey", "l_quantity"], q=30).df()
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
+def filter_in(spark, d):
+    return table(spark, d, "orders").keep("o_orderpriority", ["1-URGENT", "5-LOW"]).select("o_orderkey", "o_orderpriority").df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 6000")
+def filter_in_large_semi(spark, d):
+    return table(spark, d, "orders").keep("o_orderkey", list(range(0, 6000, 3))).select("o_orderkey").df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'O')")
+def filter_negate(spark, d):
+    return table(spark, d, "orders").subset("o_orderstatus = 'O'", ["o_orderkey"], negate=True).df()
+
+
+@query("SELECT event_id FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL")
+def filter_is_null(spark, d):
+    return table(spark, d, "events").subset("value IS NULL OR user_id IS NULL", ["event_id"], negate=True).df()
+
+
+@query("SELECT n_name FROM nation")
+def column_values(spark, d):
+    return table(spark, d, "nation").select(1).df()
+
+
+# ---- joins
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey")
+def join_left_default(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(table(spark, d, "nation").subset("n_regionkey < 2"), {"c_nationkey": "n_nationkey"}).select("c_custkey", "n_name").df()
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN (SELECT * FROM nation WHERE n_regionkey < 2) n ON c_nationkey = n_nationkey")
+def join_inner(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "nation").subset("n_regionkey < 2"), {"c_nationkey": "n_nationkey"}, inner=True).select("c_custkey", "n_name").df()
+
+
+@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def join_chain(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), {"n_regionkey": "r_regionkey"}, inner=True)
+    return table(spark, d, "supplier").join(n, {"s_nationkey": "n_nationkey"}, inner=True).subset("r_name <> 'ASIA'", ["s_suppkey", "n_name", "r_name"]).df()
+
+
+@query("SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
+def semi_ids(spark, d):
+    return table(spark, d, "customer").keep("c_custkey", table(spark, d, "orders").ids("o_custkey")).select("c_custkey").df()
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON c_custkey = o_custkey")
+def anti_ids(spark, d):
+    return table(spark, d, "customer").keep("c_custkey", table(spark, d, "orders").subset("o_orderstatus = 'F'").ids("o_custkey"), negate=True).select("c_custkey").df()
+
+
+# ---- order, samples, sets
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_cols(spark, d):
+    return table(spark, d, "orders").select("o_orderstatus", "o_orderpriority").unique().df()
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 25")
+def head_n(spark, d):
+    return table(spark, d, "events", "event_id").select("event_id", "event_type").head(25).df()
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 25")
+def tail_n(spark, d):
+    return table(spark, d, "events", "event_id").select("event_id", "event_type").tail(25).df()
+
+
+@query("SELECT event_id FROM events WHERE (event_id - 1) % CAST(ceil((SELECT count(*) FROM events) / 300.0) AS BIGINT) = 0")
+def sample_systematic(spark, d):
+    return table(spark, d, "events", "event_id").select("event_id").row_sample(300).df()
+
+
+@query("SELECT event_id FROM (SELECT * FROM events ORDER BY event_id LIMIT 200) WHERE event_type = 'click'")
+def chain_head_then_filter(spark, d):
+    return table(spark, d, "events", "event_id").head(200).subset("event_type = 'click'", ["event_id"]).select("event_id").df()
+
+
+@query("SELECT c_custkey AS id, 'cust' AS source_id FROM customer UNION ALL SELECT s_suppkey, 'supp' FROM supplier")
+def union_all_rows(spark, d):
+    c = Table(table(spark, d, "customer").frame.selectExpr("c_custkey as id"))
+    return bind_rows([c, Table(table(spark, d, "supplier").frame.selectExpr("s_suppkey as id"))], ["cust", "supp"]).df()
+
+
+@query("SELECT c_custkey AS id, c_name AS name, CAST(NULL AS DOUBLE) AS nation FROM customer UNION ALL SELECT s_suppkey, NULL, CAST(s_nationkey AS DOUBLE) FROM supplier")
+def union_missing_cols(spark, d):
+    c = Table(table(spark, d, "customer").frame.selectExpr("c_custkey as id", "c_name as name"))
+    return bind_rows([c, Table(table(spark, d, "supplier").frame.selectExpr("s_suppkey as id", "cast(s_nationkey as double) as nation"))]).df().drop("source_id")
+
+
+@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct_ids(spark, d):
+    return table(spark, d, "customer").frame.select(F.col("c_nationkey").alias("nation")).union(table(spark, d, "supplier").frame.select("s_nationkey")).distinct()
+
+
+# ---- crops and affine verbs
+
+BOX = (-0.1, 0.15, -0.2, 0.1)
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.1")
+def crop_aabb(spark, d):
+    return S.Spatial.of(point_frame(spark, d)).crop(BOX).df().select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.05 AND 0.3 AND y BETWEEN -0.1 AND 0.3")
+def window_override(spark, d):
+    return Table(point_frame(spark, d)).crop(BOX).window((-0.05, 0.3, -0.1, 0.3)).df().select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x >= -0.1 AND x < 0.15 AND y > -0.2 AND y <= 0.1")
+def crop_contiguous_tiles(spark, d):
+    return Table(point_frame(spark, d)).bounded(BOX, (False, True, True, False)).df().select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x + y <= 0.2 AND x - y <= 0.2 AND -x + y <= 0.2 AND -x - y <= 0.2")
+def halfplane_crop(spark, d):
+    from cellquarry.plans.rules import half_planes
+
+    p = point_frame(spark, d)
+    return p.where(half_planes(F.col("x_index"), F.col("y_index"), [(0.2, 0.0), (0.0, 0.2), (-0.2, 0.0), (0.0, -0.2)])).select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} SEMI JOIN (SELECT label FROM {P} GROUP BY 1 HAVING (min(x) + max(x)) / 2 BETWEEN 0 AND 0.2) g USING (label)")
+def envelope_crop(spark, d):
+    return Table(point_frame(spark, d)).bounded((0.0, 0.2, -10.0, 10.0), group="label").df().select("vec_id")
+
+
+@query(f"SELECT vec_id, round(2 * x + 1, 4) + 0.0 AS x, round(3 * y - 2, 4) + 0.0 AS y FROM {P}")
+def affine_scale(spark, d):
+    got = S.Spatial.of(point_frame(spark, d)).rescale(2, 3, 0, 0).shift(1, -2).df()
+    return r4(got.select("vec_id", F.col("x_index").alias("x"), F.col("y_index").alias("y")), "x", "y")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE (x - y) / sqrt(2.0) BETWEEN -0.1 AND 0.15 AND (x + y) / sqrt(2.0) BETWEEN -0.2 AND 0.1")
+def affine_rotate_crop(spark, d):
+    return S.Spatial.of(point_frame(spark, d)).spin(45, 0, 0).crop(BOX).df().select("vec_id")
+
+
+@query(f"SELECT vec_id, round(-y, 4) + 0.0 AS x, round(x, 4) + 0.0 AS y FROM {P}")
+def spin_quarter(spark, d):
+    got = S.Spatial.of(point_frame(spark, d)).spin(90, 0, 0).df()
+    return r4(got.select("vec_id", F.col("x_index").alias("x"), F.col("y_index").alias("y")), "x", "y")
+
+
+@query(f"SELECT vec_id, round(x, 4) + 0.0 AS x, round(-y, 4) + 0.0 AS y FROM {P}")
+def flip_vertical(spark, d):
+    return r4(S.Spatial.of(point_frame(spark, d)).flip().df().select("vec_id", F.col("x_index").alias("x"), F.col("y_index").alias("y")), "x", "y")
+
+
+@query(f"SELECT vec_id, round(x + 0.5 * y, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM {P}")
+def shear_x(spark, d):
+    return r4(S.Spatial.of(point_frame(spark, d)).shear(0.5, 0, 0, 0).df().select("vec_id", F.col("x_index").alias("x"), F.col("y_index").alias("y")), "x", "y")
+
+
+@query(f"SELECT vec_id, y AS x, x AS y FROM {P}")
+def transpose_xy(spark, d):
+    return S.Spatial.of(point_frame(spark, d)).t().df().select("vec_id", F.col("x_index").alias("x"), F.col("y_index").alias("y"))
+
+
+@query(f"SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM {P}")
+def extent_exact(spark, d):
+    return spark.createDataFrame([S.Spatial.of(point_frame(spark, d)).extent()], "xmin double, xmax double, ymin double, ymax double")
+
+
+@query(f"SELECT label, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, (min(x) + max(x)) / 2 AS xmid, (min(y) + max(y)) / 2 AS ymid FROM {P} GROUP BY 1")
+def envelopes(spark, d):
+    return S.Spatial.of(point_frame(spark, d)).envelopes("label")
+
+
+def _raster(fun: str) -> None:
+    value = {"count": "CAST(count(*) AS DOUBLE)", "sum": "round(CAST(sum(label) AS DOUBLE), 4)", "mean": "round(avg(label), 4)", "min": "CAST(min(label) AS DOUBLE)", "max": "CAST(max(label) AS DOUBLE)"}[fun]
+
+    def run(spark, d):
+        got = S.Spatial.of(point_frame(spark, d)).rasterize((-0.25, 0.25, -0.25, 0.25), 16, 8, "label", fun)
+        return got.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+    run.__name__ = f"rasterize_{fun}"
+    query(f'SELECT CAST(8 - floor((y + 0.25) / 0.0625) AS INTEGER) AS "row", CAST(floor((x + 0.25) / 0.03125) + 1 AS INTEGER) AS col, {value} AS value FROM {P} WHERE x >= -0.25 AND x < 0.25 AND y >= -0.25 AND y < 0.25 GROUP BY 1, 2')(run)
+
+
+for _fun in ("count", "sum", "mean", "min", "max"):
+    _raster(_fun)
+
+# ---- spatial joins
+
+
+@query(f"SELECT poly AS \"poly_ID\", vec_id AS \"feat_ID\" FROM {B} JOIN {P} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def pip_rectangles(spark, d):
+    return S.overlap(box_frame(spark, d), point_frame(spark, d).withColumnRenamed("vec_id", "feat_ID"))
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x >= -0.2 AND y >= -0.2 AND x + y <= 0.1")
+def pip_triangle_wkt(spark, d):
+    p = S.points(point_frame(spark, d).withColumnsRenamed({"x_index": "x", "y_index": "y"}), id_col="vec_id")
+    return S.Spatial.of(p).relate("POLYGON((-0.2 -0.2, 0.3 -0.2, -0.2 0.3, -0.2 -0.2))").df().select("vec_id")
+
+
+def _overlap(spark, d, count_col):
+    p = point_frame(spark, d)
+    found = S.overlap(box_frame(spark, d), p.withColumnRenamed("vec_id", "feat_ID").withColumn("feat_ID", F.col("feat_ID") % 7).withColumn("k", F.col("label").cast("double") + 1), ["k"])
+    cells = p.select(F.col("label").cast("long").alias("cell_id")).distinct()
+    m = S.overlap_matrix(found, cells, spark.range(7).select(F.col("id").alias("feat_id")), count_col)
+    return m.triplets.select(F.col("row_id"), "col_id", "value")
+
+
+_PAIRS = f"(SELECT poly, vec_id % 7 AS f, label + 1 AS k FROM {B} JOIN {P} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)"
+
+
+@query(f"SELECT (SELECT count(DISTINCT label) FROM embeddings e WHERE e.label <= poly) AS row_id, f + 1 AS col_id, CAST(count(*) AS DOUBLE) AS value FROM {_PAIRS} GROUP BY 1, 2")
+def overlap_to_matrix_count(spark, d):
+    return _overlap(spark, d, None)
+
+
+@query(f"SELECT (SELECT count(DISTINCT label) FROM embeddings e WHERE e.label <= poly) AS row_id, f + 1 AS col_id, CAST(sum(k) AS DOUBLE) AS value FROM {_PAIRS} GROUP BY 1, 2")
+def overlap_to_matrix_sum(spark, d):
+    return _overlap(spark, d, "k")
+
+
+@query(f"SELECT CAST((CASE WHEN x >= 0 THEN 1 ELSE 0 END) + (CASE WHEN y > 0 THEN 2 ELSE 0 END) AS INTEGER) AS tile_index, count(*) AS n FROM {P} WHERE x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 GROUP BY 1")
+def tile_counts(spark, d):
+    plan = [(0, -1.0, 0.0, -1.0, 0.0), (1, 0.0, 1.0, -1.0, 0.0), (2, -1.0, 0.0, 0.0, 1.0), (3, 0.0, 1.0, 0.0, 1.0)]
+    return S.tiled(point_frame(spark, d), plan).where("tile_index is not null").groupBy("tile_index").agg(F.count("*").alias("n"))
+
+
+def _spread_sql(v: str) -> str:
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = f"(({v} | ({v} << {shift})) & {mask})"
+    return v
+
+
+@query(f"SELECT vec_id, {_spread_sql('i')} | ({_spread_sql('j')} << 1) AS z FROM (SELECT vec_id, CAST(trunc((x + 1) / 2 * 65535) AS BIGINT) AS i, CAST(trunc((y + 1) / 2 * 65535) AS BIGINT) AS j FROM {P})")
+def morton_order_key(spark, d):
+    return point_frame(spark, d).select("vec_id", S.morton(F.col("x_index"), F.col("y_index"), (-1.0, 1.0, -1.0, 1.0)).alias("z"))
+
+
+@query(f"SELECT poly AS \"poly_ID\", round((x1 - x0) * (y1 - y0), 6) AS area FROM {B}")
+def polygon_areas(spark, d):
+    return S.areas(box_frame(spark, d)).withColumn("area", F.round("area", 6))
+
+
+# ---- matrix statistics
+
+
+@query(f"SELECT c.cell_id AS cells, CAST(count(t.value) AS DOUBLE) AS nr_feats, round(count(t.value) / (SELECT CAST(count(*) AS DOUBLE) FROM part) * 100, 4) AS perc_feats, coalesce(sum(t.value), 0.0) AS total_expr FROM {C} c LEFT JOIN {T} t USING (row_id) GROUP BY 1")
+def mat_cell_stats(spark, d):
+    return r4(matrix(spark, d).cell_stats(), "perc_feats")
+
+
+_FEAT = f"SELECT f.feat_id AS feats, CAST(count(t.value) FILTER (t.value > 10) AS DOUBLE) AS nr_cells, coalesce(sum(t.value), 0.0) AS total_expr, coalesce(sum(t.value) FILTER (t.value > 10), 0.0) AS det FROM {FE} f LEFT JOIN {T} t USING (col_id) GROUP BY 1"
+
+
+@query(f"SELECT feats, nr_cells, round(nr_cells / n * 100, 4) AS perc_cells, total_expr, round(total_expr / n, 4) AS mean_expr, CASE WHEN nr_cells > 0 THEN round(det / nr_cells, 4) ELSE CAST('nan' AS DOUBLE) END AS mean_expr_det FROM ({_FEAT}), (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders)")
+def mat_feat_stats(spark, d):
+    return r4(matrix(spark, d).feat_stats(10), "perc_cells", "mean_expr", "mean_expr_det")
+
+
+_GROUPED = f"""SELECT f.feat_id AS feats, g.label, g.n AS n_cells, coalesce(s, 0.0) AS total_expr, coalesce(q, 0.0) AS sumsq, coalesce(k, 0.0) AS nr_cells FROM {FE} f CROSS JOIN
+(SELECT label, CAST(count(*) AS DOUBLE) AS n FROM {C} GROUP BY 1) g LEFT JOIN (SELECT col_id, label, sum(value) AS s, sum(value * value) AS q, CAST(count(*) AS DOUBLE) AS k FROM {T} t JOIN {C} c USING (row_id) GROUP BY 1, 2) a ON a.col_id = f.col_id AND a.label = g.label"""
+
+
+@query(f"SELECT feats, label, n_cells, total_expr, round(total_expr / n_cells, 4) AS mean_expr, sumsq, round(sqrt(greatest(sumsq - n_cells * (total_expr / n_cells) * (total_expr / n_cells), 0.0) / (n_cells - 1)), 4) AS sd, nr_cells, round(nr_cells / n_cells * 100, 4) AS perc_cells FROM ({_GROUPED})")
+def mat_feat_stats_grouped(spark, d):
+    return r4(matrix(spark, d).grouped_feat_stats(priorities(spark, d)).drop("mean_expr_det"), "mean_expr", "sd", "perc_cells")
+
+
+def _norm_sql(scale: float = 6000.0) -> str:
+    return f"(SELECT row_id, col_id, value * ({scale} / CASE WHEN s = 0 THEN 1 ELSE s END) AS value FROM {T} JOIN (SELECT row_id, sum(value) AS s FROM {T} GROUP BY 1) USING (row_id))"
+
+
+_LOGNORM = f"(SELECT row_id, col_id, ln(value + 1) / ln(2) AS value FROM {_norm_sql()})"
+
+
+@query(f"SELECT f.feat_id AS feats, g.label, round(coalesce(s, 0.0), 4) AS total_expr, round(coalesce(s, 0.0) / g.n, 6) AS mean_expr FROM {FE} f CROSS JOIN (SELECT label, count(*) AS n FROM {C} GROUP BY 1) g LEFT JOIN (SELECT col_id, label, sum(value) AS s FROM {_LOGNORM} JOIN {C} USING (row_id) GROUP BY 1, 2) a ON a.col_id = f.col_id AND a.label = g.label")
+def mat_norm_grouped_stats(spark, d):
+    got = matrix(spark, d).library_norm().log_norm().grouped_feat_stats(priorities(spark, d))
+    return got.select("feats", "label", F.round("total_expr", 4).alias("total_expr"), F.round("mean_expr", 6).alias("mean_expr"))
+
+
+@query(f"SELECT 'row_sums' AS what, f.feat_id AS id, coalesce(sum(value), 0.0) AS value FROM {FE} f LEFT JOIN {T} USING (col_id) GROUP BY 2 UNION ALL SELECT 'col_means', c.cell_id, round(coalesce(sum(value), 0.0) / (SELECT count(*) FROM part), 4) FROM {C} c LEFT JOIN {T} USING (row_id) GROUP BY 2")
+def mat_margins(spark, d):
+    m = matrix(spark, d)
+    a = m.margins("row_sums").select(F.lit("row_sums").alias("what"), "id", "value")
+    return a.unionByName(r4(m.margins("col_means").select(F.lit("col_means").alias("what"), "id", "value"), "value"))
+
+
+@query(f"SELECT c.cell_id AS id, coalesce(sum(value), 0.0) AS value FROM {C} c LEFT JOIN {T} USING (row_id) GROUP BY 1")
+def mat_transpose_margin(spark, d):
+    return matrix(spark, d).t().margins("row_sums")
+
+
+@query(f"SELECT f.feat_id, coalesce(max(value), 0.0) AS top FROM {FE} f LEFT JOIN {T} USING (col_id) GROUP BY 1")
+def mat_max(spark, d):
+    return matrix(spark, d).accumulate("feat", ["max"]).select("feat_id", F.col("max").alias("top"))
+
+
+@query(f"SELECT f.feat_id, coalesce(sum(value * value), 0.0) AS sumsq, coalesce(sum(value * value * value), 0.0) AS sum3, coalesce(sum(value * value * value * value), 0.0) AS sum4 FROM {FE} f LEFT JOIN {T} USING (col_id) GROUP BY 1")
+def mat_power_sums(spark, d):
+    return matrix(spark, d).accumulate("feat", ["sumsq", "sum3", "sum4"]).drop("col_id")
+
+
+@query(f"SELECT f.feat_id, coalesce(sum(value * w), 0.0) AS wsum FROM {FE} f LEFT JOIN (SELECT col_id, value, CAST(o_custkey % 5 AS DOUBLE) AS w FROM {T} JOIN orders ON row_id = o_orderkey) USING (col_id) GROUP BY 1")
+def mat_wsum(spark, d):
+    w = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 5).cast("double").alias("w"))
+    return matrix(spark, d).accumulate("feat", ["wsum"], weights=w).select("feat_id", "wsum")
+
+
+_KEPT = f"(SELECT col_id FROM {T} WHERE value >= 20 GROUP BY 1 HAVING count(*) >= 12)"
+
+
+@query(f"SELECT 'feat' AS what, feat_id AS id FROM {FE} SEMI JOIN {_KEPT} USING (col_id) UNION ALL SELECT 'cell', cell_id FROM {C} SEMI JOIN (SELECT row_id FROM {T} SEMI JOIN {_KEPT} USING (col_id) WHERE value >= 20 GROUP BY 1 HAVING count(*) >= 2) USING (row_id)")
+def mat_filter_masks(spark, d):
+    f, c = matrix(spark, d).filter_masks(20, 12, 2)
+    return f.select(F.lit("feat").alias("what"), F.col("feat_id").alias("id")).unionByName(c.select(F.lit("cell").alias("what"), F.col("cell_id").alias("id")))
+
+
+@query(f"SELECT row_id, col_id, round(value, 4) AS value FROM {_norm_sql()}")
+def mat_libnorm(spark, d):
+    return r4(matrix(spark, d).library_norm().triplets, "value")
+
+
+@query(f"SELECT row_id, col_id, round(value, 4) AS value FROM {_LOGNORM}")
+def mat_lognorm(spark, d):
+    return r4(matrix(spark, d).library_norm().log_norm().triplets, "value").select("row_id", "col_id", "value")
+
+
+@query(f"SELECT row_id, col_id, round(value, 4) AS value FROM {_norm_sql()} WHERE col_id % 10 = 0")
+def mat_norm_then_subset(spark, d):
+    m = matrix(spark, d)
+    return r4(m.library_norm().subset(feats=m.feats.where("col_id % 10 = 0").select("feat_id")).triplets, "value").select("row_id", "col_id", "value")
+
+
+@query(f"SELECT row_id, col_id, 1.0::DOUBLE AS value FROM {T} WHERE value >= 25")
+def mat_compare_indicator(spark, d):
+    return matrix(spark, d).compare(">=", 25).triplets
+
+
+@query(f"SELECT row_id, col_id, 1.0::DOUBLE AS value FROM {T} WHERE col_id % 3 <> 0 AND value > col_id % 40")
+def mat_compare_per_row(spark, d):
+    m = matrix(spark, d)
+    return m.compare(">", m.feats.where("col_id % 3 != 0").select("col_id", (F.col("col_id") % 40).cast("double").alias("w"))).triplets
+
+
+@query(f"SELECT f.feat_id, coalesce(sum(value), 0.0) AS total FROM {FE} f LEFT JOIN {T} USING (col_id) GROUP BY 1")
+def mat_union_stats(spark, d):
+    m = matrix(spark, d)
+    halves = [m.subset(cells=m.cells.where(f"row_id % 2 = {i}").select("cell_id")) for i in (0, 1)]
+    halves = [Matrix(h.triplets, h.cells, m.feats, h.raw) for h in halves]
+    return Matrix.bind_cells(halves).accumulate("feat", ["sum"]).select("feat_id", F.col("sum").alias("total"))
+
+
+@query(f"SELECT feat_id, bin, n, (SELECT count(*) FROM orders) - sum(n) OVER (PARTITION BY feat_id) AS n_zero FROM (SELECT 'f' || col_id AS feat_id, CAST(least(ceil(value * 16 / top) - 1, 15) AS INTEGER) AS bin, count(*) AS n FROM {T} JOIN (SELECT col_id, max(value) AS top FROM {T} GROUP BY 1) USING (col_id) WHERE value > 0 GROUP BY 1, 2)".replace("sum(n) OVER (PARTITION BY feat_id)", "CAST(sum(n) OVER (PARTITION BY feat_id) AS BIGINT)"))
+def mat_hist(spark, d):
+    return matrix(spark, d).histogram(16)
+
+
+_HVF = f"SELECT feat_id AS feats, k AS nr_cells, s / n AS mean_expr, sqrt(greatest(q - n * (s / n) * (s / n), 0.0) / (n - 1)) AS sd FROM (SELECT f.feat_id, CAST(count(value) AS DOUBLE) AS k, coalesce(sum(value), 0.0) AS s, coalesce(sum(value * value), 0.0) AS q FROM {FE} f LEFT JOIN {T} USING (col_id) GROUP BY 1), (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders)"
+
+
+@query(f"SELECT feats, nr_cells, round(mean_expr, 4) AS mean_expr, round(sd, 4) AS sd, round(sd / mean_expr, 4) AS cov FROM ({_HVF}) WHERE mean_expr > 0")
+def hvf_cov(spark, d):
+    return r4(A.base_stats(matrix(spark, d)).where("mean_expr > 0").drop("total_expr"), "mean_expr", "sd", "cov")
+
+
+@query(f"""WITH h AS (SELECT *, sd / nullif(mean_expr, 0) AS cov FROM ({_HVF})),
+b AS (SELECT [{', '.join(f'quantile_cont(mean_expr, {i / 8})' for i in range(9))}] AS b, [{', '.join(f'quantile_cont(mean_expr, {i / 8}) FILTER (mean_expr > 0)' for i in range(9))}] AS p FROM h),
+c AS (SELECT CASE WHEN len(list_distinct(b)) < 9 THEN list_concat([0.0::DOUBLE], p[2:9]) ELSE b END AS b FROM b),
+g AS (SELECT feats, cov, CAST(greatest(len(list_filter(b[1:8], lambda e: e < mean_expr)), 1) AS INTEGER) AS bin FROM h, c)
+SELECT feats, bin, round((cov - avg(cov) OVER (PARTITION BY bin)) / stddev_samp(cov) OVER (PARTITION BY bin), 4) + 0.0 AS z FROM g""")
+def hvf_groups(spark, d):
+    got = A.variable_groups(matrix(spark, d), 8).select("feats", "bin", F.col("cov_group_zscore").alias("z"))
+    return r4(got, "z")
+
+
+@query(f"""WITH t AS {T}, g AS (SELECT col_id, sum(value) AS g FROM t GROUP BY 1), c AS (SELECT row_id, sum(value) AS c FROM t GROUP BY 1),
+tot AS (SELECT sum(c) AS t, CAST(count(*) AS DOUBLE) AS n FROM c), u AS (SELECT c, CAST(count(*) AS DOUBLE) AS k FROM c GROUP BY 1),
+z AS (SELECT col_id, sum(k * z0) AS a, sum(k * z0 * z0) AS b FROM (SELECT col_id, k, greatest(-m / sqrt(m + m * m / 100), -sqrt(n)) AS z0 FROM (SELECT col_id, k, g * c / t AS m, n FROM g, u, tot)) GROUP BY 1),
+s AS (SELECT col_id, sum(z1 - z0) AS a, sum(z1 * z1 - z0 * z0) AS b FROM (SELECT col_id, least(greatest((value - m) / sqrt(m + m * m / 100), -sqrt(n)), sqrt(n)) AS z1, greatest(-m / sqrt(m + m * m / 100), -sqrt(n)) AS z0 FROM (SELECT col_id, value, g * c / t AS m, n FROM t AS v JOIN g USING (col_id) JOIN c USING (row_id), tot)) GROUP BY 1)
+SELECT 'f' || p_partkey AS feats, round(coalesce((z.b + s.b - (z.a + s.a) * (z.a + s.a) / n) / (n - 1), 0.0), 4) AS var FROM part LEFT JOIN z ON p_partkey = z.col_id LEFT JOIN s ON p_partkey = s.col_id, tot""")
+def pearson_resid_var(spark, d):
+    return r4(A.pearson_residual_variance(matrix(spark, d)).select("feats", "var"), "var")
+
+
+# ---- markers, enrichment, products
+
+_MOM = f"(SELECT f.feat_id, g.label, g.n, coalesce(s, 0.0) AS s, coalesce(q, 0.0) AS q FROM {FE} f CROSS JOIN (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM {C} GROUP BY 1) g LEFT JOIN (SELECT col_id, label, sum(value) AS s, sum(value * value) AS q FROM {T} JOIN {C} USING (row_id) GROUP BY 1, 2) a ON a.col_id = f.col_id AND a.label = g.label)"
+
+
+@query(f"SELECT * FROM {_MOM}")
+def markers_moments(spark, d):
+    return A.moments(matrix(spark, d), priorities(spark, d))
+
+
+_WELCH = "round(d, 4) + 0.0 AS lfc, round((eh + et) * (eh + et) / (eh * eh / (hn - 1) + et * et / (tn - 1)), 3) AS df, round(d / sqrt(eh + et), 4) + 0.0 AS t"
+_ERR = "SELECT feat_id, host, target, hn, tn, hs / hn - ts / tn AS d, greatest((hq - hs * hs / hn) / (hn - 1), 1e-8) / hn AS eh, greatest((tq - ts * ts / tn) / (tn - 1), 1e-8) / tn AS et FROM "
+
+
+def _welch(df: DataFrame) -> DataFrame:
+    return r4(df.select("feat_id", "host", "target", "lfc", F.round("df", 3).alias("df"), "t"), "lfc", "t")
+
+
+@query(f"SELECT feat_id, host, target, {_WELCH} FROM ({_ERR} (SELECT h.feat_id, h.label AS host, t.label AS target, h.n AS hn, h.s AS hs, h.q AS hq, t.n AS tn, t.s AS ts, t.q AS tq FROM {_MOM} h JOIN {_MOM} t ON h.feat_id = t.feat_id AND h.label <> t.label))")
+def markers_welch_t(spark, d):
+    return _welch(A.welch(matrix(spark, d), priorities(spark, d)))
+
+
+@query(f"SELECT feat_id, host, {_WELCH} FROM ({_ERR} (SELECT feat_id, label AS host, '' AS target, n AS hn, s AS hs, q AS hq, sum(n) OVER w - n AS tn, sum(s) OVER w - s AS ts, sum(q) OVER w - q AS tq FROM {_MOM} WINDOW w AS (PARTITION BY feat_id)))")
+def markers_one_vs_rest(spark, d):
+    return _welch(A.welch(matrix(spark, d), priorities(spark, d), "one_vs_rest")).drop("target")
+
+
+_SIDE = "SELECT feat_id, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM {m} WHERE label IN ({l}) GROUP BY 1"
+
+
+@query(f"SELECT feat_id, {_WELCH} FROM ({_ERR} (SELECT h.feat_id, '' AS host, '' AS target, h.n AS hn, h.s AS hs, h.q AS hq, t.n AS tn, t.s AS ts, t.q AS tq FROM ({_SIDE.format(m=_MOM, l="'1-URGENT', '2-HIGH'")}) h JOIN ({_SIDE.format(m=_MOM, l="'3-MEDIUM', '5-LOW'")}) t USING (feat_id)))")
+def markers_nodes(spark, d):
+    return _welch(A.welch(matrix(spark, d), priorities(spark, d), "nodes", {"a": (["1-URGENT", "2-HIGH"], ["3-MEDIUM", "5-LOW"])})).drop("host", "target")
+
+
+_SIGN = "(SELECT p_partkey AS col_id, 't' || (p_partkey % 4) AS type FROM part WHERE p_partkey % 10 < 4)"
+
+
+@query(f"""WITH t AS {T}, n AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM orders) AS nc, (SELECT CAST(count(*) AS DOUBLE) FROM part) AS g), sg AS {_SIGN},
+m AS (SELECT p_partkey AS col_id, coalesce(s, 0.0) / nc AS m FROM part LEFT JOIN (SELECT col_id, sum(value) AS s FROM t GROUP BY 1) a ON p_partkey = a.col_id, n),
+w AS (SELECT sum(m) AS m1, sum(m * m) AS m2 FROM m),
+x AS (SELECT o_orderkey AS row_id, coalesce(x1, 0.0) - m1 AS s1, coalesce(x2, 0.0) - 2 * coalesce(xm, 0.0) + m2 AS s2, g FROM orders LEFT JOIN (SELECT row_id, sum(value) AS x1, sum(value * value) AS x2, sum(value * m) AS xm FROM t JOIN m USING (col_id) GROUP BY 1) a ON o_orderkey = row_id, w, n),
+c AS (SELECT row_id, s1 / g AS mid, sqrt(greatest(s2 - s1 * s1 / g, 0.0) / (g - 1)) AS sd FROM x),
+k AS (SELECT type, CAST(count(*) AS DOUBLE) AS k, sum(m) AS tm FROM sg JOIN m USING (col_id) GROUP BY 1),
+v AS (SELECT row_id, type, sum(value) AS tx FROM t JOIN sg USING (col_id) GROUP BY 1, 2)
+SELECT 'c' || c.row_id AS cell_id, k.type, round(((coalesce(tx, 0.0) - tm) / k - mid) * sqrt(k) / nullif(sd, 0), 4) + 0.0 AS zscore FROM c CROSS JOIN k LEFT JOIN v ON v.row_id = c.row_id AND v.type = k.type""")
+def page_scores(spark, d):
+    m = matrix(spark, d)
+    sign = m.feats.where("col_id % 10 < 4").select("feat_id", F.concat(F.lit("t"), F.col("col_id") % 4).alias("type"))
+    return r4(A.page_enrichment(m, sign, reverse_log=False), "zscore")
+
+
+_SMALL = f"(SELECT * FROM {T} WHERE col_id % 40 = 0)"
+_GRAM = f"SELECT a.col_id AS f1, b.col_id AS f2, sum(a.value * b.value) AS g FROM {_SMALL} a JOIN {_SMALL} b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2"
+
+
+def _few(spark, d) -> Matrix:
+    m = matrix(spark, d)
+    return m.subset(feats=m.feats.where("col_id % 40 = 0").select("feat_id"))
+
+
+@query(_GRAM)
+def gram_matrix(spark, d):
+    return A.gram(_few(spark, d))
+
+
+@query(f"WITH s AS (SELECT col_id, sum(value) AS s, sum(value * value) - sum(value) * sum(value) / n AS d, n FROM {_SMALL}, (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders) GROUP BY col_id, n) SELECT 'f' || f1 AS feat1, 'f' || f2 AS feat2, round((g - a.s * b.s / a.n) / sqrt(a.d * b.d), 4) + 0.0 AS r FROM ({_GRAM}) JOIN s a ON f1 = a.col_id JOIN s b ON f2 = b.col_id WHERE f1 < f2")
+def feat_cor_top(spark, d):
+    return r4(A.correlation(_few(spark, d)), "r")
+
+
+@query(f"SELECT c.cell_id, w.name, coalesce(v, 0.0) AS value FROM {C} c CROSS JOIN (SELECT unnest(['w0', 'w1', 'w2']) AS name) w LEFT JOIN (SELECT row_id, 'w' || (col_id % 3) AS name, sum(value * (col_id % 7)) AS v FROM {T} GROUP BY 1, 2) a ON a.row_id = c.row_id AND a.name = w.name")
+def crossprod_weights(spark, d):
+    m = matrix(spark, d)
+    return A.crossprod(m, m.feats.select("feat_id", F.concat(F.lit("w"), F.col("col_id") % 3).alias("name"), (F.col("col_id") % 7).cast("double").alias("w")))
+
+
+@query()
+def pca_gram_eigenvalues(spark, d):
+    got = A.pca(_few(spark, d), 10)
+    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got["sdev"])], "pc int, sdev double")
+
+
+@query()
+def hvf_loess(spark, d):
+    return A.variable_loess(matrix(spark, d))
+
+
+@query()
+def markers_p_values(spark, d):
+    return A.combine_markers(A.markers(matrix(spark, d), priorities(spark, d)))
+
+
+@query()
+def binarize_kmeans(spark, d):
+    return A.binarize(_few(spark, d), "kmeans", bins=64).triplets
+
+
+# ---- graphs
+
+_IN = "a % 6 <> 0 AND b % 3 = 0"
+
+
+def _some(g: Graph) -> DataFrame:
+    return g.nodes.where("(node_id % 2 = 0 and node_id % 6 != 0) or (node_id % 2 = 1 and node_id % 3 = 0)")
+
+
+@query(f"SELECT a AS from_id, b AS to_id, w AS weight FROM {E} WHERE {_IN}")
+def graph_induced(spark, d):
+    g = graph(spark, d)
+    return g.induced(_some(g)).edges
+
+
+@query(f"SELECT a AS from_id, b AS to_id, w AS weight FROM {E} WHERE NOT ({_IN})")
+def graph_negate(spark, d):
+    g = graph(spark, d)
+    return g.induced(_some(g), negate=True).edges
+
+
+@query(f"SELECT a AS from_id, b AS to_id, w AS weight FROM {E} WHERE a % 10 = 0 AND b % 7 = 0")
+def graph_slice_undirected(spark, d):
+    g = graph(spark, d)
+    return g.slice(g.nodes.where("node_id % 2 = 1 and node_id % 7 = 0"), g.nodes.where("node_id % 10 = 0")).edges
+
+
+@query(f"SELECT a AS from_id, b AS to_id, w AS weight FROM {E} WHERE a % 14 = 0 OR b % 7 = 0")
+def graph_endpoint(spark, d):
+    g = graph(spark, d)
+    return g.endpoint(g.nodes.where("node_id % 7 = 0")).edges
+
+
+@query(f"SELECT node, coalesce(sum(w), 0.0) AS degree FROM {N} LEFT JOIN (SELECT a AS node, w FROM {E} UNION ALL SELECT b, w FROM {E}) USING (node) GROUP BY 1")
+def graph_degree(spark, d):
+    return graph(spark, d).degree(weighted=True)
+
+
+_BOTH = f"(SELECT a AS node, b AS other, w FROM {E} UNION ALL SELECT b, a, w FROM {E})"
+
+
+@query(f"SELECT node, label, round(w / sum(w) OVER (PARTITION BY node), 4) AS prop FROM (SELECT node, label, sum(w) AS w FROM (SELECT * FROM {_BOTH} UNION ALL SELECT node, node, 1.0 FROM {N}) e LEFT JOIN (SELECT node AS other, label FROM {L}) l USING (other) GROUP BY 1, 2)")
+def graph_label_props(spark, d):
+    return r4(graph(spark, d).label_proportions(node_labels(spark, d), 1.0, weighted=True), "prop")
+
+
+@query(f"SELECT a, b, w FROM (SELECT least(a, b) AS a, greatest(a, b) AS b, avg(w) AS w FROM {E} GROUP BY 1, 2)")
+def graph_pairs_mean_weight(spark, d):
+    return graph(spark, d).pairs()
+
+
+# a small graph of the cells themselves: each order with the one 5 and the one 12 keys on
+_CE = "(SELECT a.o_orderkey AS i, a.o_orderkey + k AS j, w FROM orders a, (VALUES (5, 2.0::DOUBLE), (12, 0.5::DOUBLE)) s(k, w) WHERE a.o_orderkey + k IN (SELECT o_orderkey FROM orders))"
+
+
+def cell_graph(spark, d) -> Graph:
+    c = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    e = c.select(F.col("o_orderkey").alias("i"), F.explode(F.array(F.struct(F.lit(5).alias("k"), F.lit(2.0).alias("weight")), F.struct(F.lit(12).alias("k"), F.lit(0.5).alias("weight")))).alias("s")).select("i", (F.col("i") + F.col("s.k")).alias("j"), "s.weight")
+    e = e.join(c, F.col("j") == F.col("o_orderkey"), "left_semi")
+    name = lambda x: F.concat(F.lit("c"), F.col(x))
+    return Graph.of(e.select(name("i").alias("from_id"), name("j").alias("to_id"), "weight"), c.select(name("o_orderkey").alias("node_id")))
+
+
+@query(f"SELECT f.feat_id, coalesce(p, 0.0) AS edge_prod FROM {FE} f LEFT JOIN (SELECT x.col_id, sum(w * x.value * y.value) AS p FROM {_CE} JOIN {T} x ON x.row_id = i JOIN {T} y ON y.row_id = j AND y.col_id = x.col_id GROUP BY 1) USING (col_id)")
+def graph_edge_products(spark, d):
+    return cell_graph(spark, d).edge_products(matrix(spark, d))
+
+
+_CB = f"(SELECT i, j, w FROM {_CE} UNION ALL SELECT j, i, w FROM {_CE})"
+
+
+@query(f"SELECT f.feat_id, coalesce(ds, 0.0) AS deg_sum, coalesce(dq, 0.0) AS deg_sumsq FROM {FE} f LEFT JOIN (SELECT col_id, sum(deg * value) AS ds, sum(deg * value * value) AS dq FROM {T} JOIN (SELECT i AS row_id, sum(w) AS deg FROM {_CB} GROUP BY 1) USING (row_id) GROUP BY 1) USING (col_id)")
+def graph_edge_stats(spark, d):
+    return cell_graph(spark, d).edge_statistics(matrix(spark, d))[0].select("feat_id", "deg_sum", "deg_sumsq")
+
+
+@query(f"SELECT k, l, sum(w) AS w FROM (SELECT x.label AS k, y.label AS l, w FROM {_CB} JOIN {C} x ON x.row_id = i JOIN {C} y ON y.row_id = j) GROUP BY 1, 2")
+def graph_group_edges(spark, d):
+    return cell_graph(spark, d).group_edges(priorities(spark, d))
+
+
+@query(f"WITH a AS (SELECT i, y.label AS l, sum(w) AS w FROM {_CB} JOIN {C} y ON y.row_id = j GROUP BY 1, 2) SELECT x.label AS k, a.l, b.l AS m, sum(a.w * b.w) AS w FROM a JOIN a b USING (i) JOIN {C} x ON x.row_id = a.i GROUP BY 1, 2, 3")
+def graph_group_paths(spark, d):
+    return cell_graph(spark, d).group_paths(priorities(spark, d))
+
+
+@query(f"WITH o AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, j, w FROM {_CB} UNION ALL SELECT row_id, row_id, 1.0 FROM {C})) SELECT i AS row_id, col_id, round(sum(w * value), 4) AS value FROM o JOIN {T} ON row_id = j GROUP BY 1, 2")
+def graph_smooth_1hop(spark, d):
+    return r4(cell_graph(spark, d).smooth(matrix(spark, d)).triplets, "value").select("row_id", "col_id", "value")
+
+
+# ---- formats and identifiers
+
+
+@query("SELECT l_orderkey, l_partkey, l_orderkey // 50 * 50 AS parent_x, l_partkey // 50 * 50 AS parent_y FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+def bins_parent_floor(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
+    return S.parent_bins(li, 50, "l_orderkey", "l_partkey")
+
+
+@query("SELECT o_orderkey, translate(lpad(lower(to_hex(o_orderkey * 7919)), 8, '0'), '0123456789abcdef', 'abcdefghijklmnop') || '-1' AS code, o_orderkey * 7919 AS back FROM orders")
+def xenium_id_codec(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", ids.cell_code(F.col("o_orderkey") * 7919, F.lit(1)).alias("code"))
+    return o.withColumn("back", ids.cell_number(F.col("code")))
+
+
+@query("SELECT event_id, (65536 + user_id % 100) * 4294967296 + event_id AS packed FROM events")
+def transcript_id_packing(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", ids.transcript_id(F.col("user_id") % 100, F.col("event_id")).alias("packed"))
+
+
+@query("SELECT s_suppkey, feat, value FROM (UNPIVOT (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS n, CAST(s_acctbal AS DOUBLE) AS b FROM supplier) ON n, b INTO NAME feat VALUE value) WHERE value <> 0")
+def wide_to_long(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").cast("double").alias("n"), F.col("s_acctbal").cast("double").alias("b"))
+    return s.unpivot(["s_suppkey"], ["n", "b"], "feat", "value").where("value != 0")
+
+
+@query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN p_brand || '--' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) ELSE p_brand END AS name FROM part")
+def dedup_feature_names(spark, d):
+    return ids.distinct_names(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("name")), "name", "p_partkey")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS row_index FROM orders")
+def row_index_written(spark, d):
+    return writers.with_row_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), [F.desc("o_orderkey")])
+
+
+@query("SELECT o_custkey, min(o_orderstatus) AS any_status, bool_or(o_orderpriority = '1-URGENT') AS urgent FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")
+def parent_unit_flags(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    m = o.join(o.groupBy("o_custkey").agg(F.min("o_orderstatus").alias("any_status")), "o_custkey").select("o_custkey", "any_status", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return readers.parent_units(m, "o_custkey")
+
+
+# ---- streams (extension)
+
+
+@query("SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_hourly(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return windows.windowed(e, "ts", "1 hour", keys=("event_type",)).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def events_sessions(spark, d):
+    return windows.sessions(spark.read.parquet(f"{d}/events.parquet"), "ts", "6 hours", "user_id").select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
-def oracle_sql() -> dict:
-    return {}
