@@ -56,22 +56,34 @@ def log_simes(logp: np.ndarray) -> float:
     return float(np.min(own + np.log(len(own) / np.arange(1, len(own) + 1)))) if len(own) else float("nan")
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2) -> np.ndarray:
-    """Local regression with tricube weights, fitted at every x."""
+def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, knots: int = 257) -> np.ndarray:
+    """Local regression with tricube weights, fitted at every x; beyond 1000 points at quantiles of x, with cubics between them."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    n, k = len(x), max(min(int(np.floor(len(x) * span + 1e-9)), len(x)), min(degree + 1, len(x)))
+    n = len(x)
+    k = max(min(int(np.floor(n * span + 1e-9)), n), min(degree + 1, n))
     order = np.argsort(x, kind="stable")
-    xs, ys, out, lo = x[order], y[order], np.empty(len(x)), 0
-    for i in range(n):
-        while lo + k < n and xs[lo + k] - xs[i] < xs[i] - xs[lo]:
+    xs, ys = x[order], y[order]
+    at = xs if n <= 1000 else np.unique(np.quantile(xs, np.linspace(0, 1, knots)))
+    fit, lo = np.empty((len(at), 2)), 0
+    for i, v in enumerate(at):
+        while lo + k < n and xs[lo + k] - v < v - xs[lo]:
             lo += 1
         own = slice(lo, lo + k)
-        far = max(xs[i] - xs[lo], xs[lo + k - 1] - xs[i]) * (max(span, 1.0))
-        dist = xs[own] - xs[i]
+        far = max(v - xs[lo], xs[lo + k - 1] - v) * max(span, 1.0)
+        dist = xs[own] - v
         w = np.clip(1 - (np.abs(dist) / far if far > 0 else np.zeros(k)) ** 3, 0, None) ** 3
-        basis = np.vander(dist, degree + 1, increasing=True) * np.sqrt(w)[:, None]
-        out[order[i]] = np.linalg.lstsq(basis, ys[own] * np.sqrt(w), rcond=None)[0][0]
-    return out
+        basis = np.vander(dist, degree + 1, increasing=True)
+        normal = basis.T @ (basis * w[:, None])
+        fit[i] = np.linalg.lstsq(normal, basis.T @ (w * ys[own]), rcond=None)[0][:2] if degree else (np.average(ys[own], weights=w), 0.0)
+    out = np.empty(n)
+    if n <= 1000:
+        out[order] = fit[:, 0]
+        return out
+    j = np.clip(np.searchsorted(at, x, side="right") - 1, 0, len(at) - 2)
+    h = at[j + 1] - at[j]
+    t = (x - at[j]) / h
+    (f0, d0), (f1, d1) = fit[j].T, fit[j + 1].T
+    return f0 * (1 + 2 * t) * (1 - t) ** 2 + d0 * h * t * (1 - t) ** 2 + f1 * t * t * (3 - 2 * t) + d1 * h * t * t * (t - 1)
 
 
 def two_means_cut(position: np.ndarray, weight: np.ndarray) -> float:
