@@ -18,7 +18,8 @@ from cellquarry.operators import spatial as S
 from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table, bind_rows
-from cellquarry.sources import readers, writers
+from cellquarry.plans.indexing import with_row_index
+from cellquarry.sources import readers
 from cellquarry.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -724,7 +725,7 @@ def dedup_feature_names(spark, d):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS row_index FROM orders")
 def row_index_written(spark, d):
-    return writers.with_row_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), [F.desc("o_orderkey")])
+    return with_row_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), [F.desc("o_orderkey")])
 
 
 @query("SELECT o_custkey, min(o_orderstatus) AS any_status, bool_or(o_orderpriority = '1-URGENT') AS urgent FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from cellquarry.functions import stats as S
 from cellquarry.operators.matrix import Matrix
+from cellquarry.plans.rules import small
 
 NAN = float("nan")
 
@@ -84,11 +85,11 @@ def pearson_residual_variance(m: Matrix, theta: float = 100.0) -> DataFrame:
 
 def moments(m: Matrix, groups: DataFrame, sets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(feat_id, label, n, s, q): cells, sums and sums of squares; with ``sets`` pooled over each set's labels."""
-    a = m.accumulate("feat", ["sum", "sumsq"], groups=groups).join(F.broadcast(m.group_sizes(groups)), "label").select("feat_id", "label", F.col("n_cells").alias("n"), F.col("sum").alias("s"), F.col("sumsq").alias("q"))
+    a = m.accumulate("feat", ["sum", "sumsq"], groups=groups).join(m.group_sizes(groups), "label").select("feat_id", "label", F.col("n_cells").alias("n"), F.col("sum").alias("s"), F.col("sumsq").alias("q"))
     if sets is None:
         return a
     of = m.cells.sparkSession.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "pool string, label string")
-    return a.join(F.broadcast(of), "label").groupBy("feat_id", F.col("pool").alias("label")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    return a.join(small(of, sum(map(len, sets.values()))), "label").groupBy("feat_id", F.col("pool").alias("label")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
 def welch(m: Matrix, groups: DataFrame, comparison: str = "pairwise", nodes: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None, lfc: float = 0.0) -> DataFrame:

@@ -195,7 +195,7 @@ class Matrix:
 
     def grouped_feat_stats(self, groups: DataFrame, threshold: float = 0.0) -> DataFrame:
         """Every feature with every label, zeros filled in."""
-        a = self.accumulate("feat", ["sum", "sumsq", "nnz", "sum_det"], threshold, groups=groups).join(F.broadcast(self.group_sizes(groups)), "label")
+        a = self.accumulate("feat", ["sum", "sumsq", "nnz", "sum_det"], threshold, groups=groups).join(self.group_sizes(groups), "label")
         n, m = F.col("n_cells"), F.col("sum") / F.col("n_cells")
         var = F.greatest(F.col("sumsq") - n * m * m, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))
         return a.select(F.col("feat_id").alias("feats"), "label", "n_cells", F.col("sum").alias("total_expr"), m.alias("mean_expr"), "sumsq", F.coalesce(F.sqrt(var), F.lit(float("nan"))).alias("sd"), F.col("nnz").alias("nr_cells"), (F.col("nnz") / n * 100).alias("perc_cells"), F.when(F.col("nnz") > 0, F.try_divide("sum_det", "nnz")).otherwise(F.lit(float("nan"))).alias("mean_expr_det"))

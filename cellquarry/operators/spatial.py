@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from cellquarry.functions import geometry as G
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table
+from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.rules import half_planes, inside_box
 
 #: Relations for which a box around the target can be tested first.
@@ -337,13 +338,12 @@ def overlap_matrix(found: DataFrame, cells: DataFrame, feats: DataFrame, count_c
 
     Row and column ids are the ranks of the names in natural order of digits.
     """
+
     def ranked(d: DataFrame, name: str, key: str) -> DataFrame:
-        # a rank over the distinct ids of one dimension, in one range-partitioned pass
         natural = F.regexp_replace(F.col(name).cast("string"), r"(\d+)", r"0000000000000000000$1")
         natural = F.regexp_replace(natural, r"0*(\d{19})(?!\d)", "$1")
-        own = d.select(name).distinct().withColumn("__n", natural).orderBy("__n", name)
-        rows = own.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1] + 1))
-        return d.sparkSession.createDataFrame(rows, f"{name} {d.schema[name].dataType.simpleString()}, {key} long")
+        own = d.select(name).distinct().withColumn("__n", natural)
+        return with_row_index(own, ["__n", name], name=key).select(name, key)
 
     c, f = ranked(cells, "cell_id", "row_id"), ranked(feats, "feat_id", "col_id")
     t = found.join(c, found["poly_ID"] == c["cell_id"]).join(f, found["feat_ID"] == f["feat_id"])

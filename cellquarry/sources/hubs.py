@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellquarry.operators.matrix import Matrix
-from cellquarry.operators.spatial import parent_bins, points
+from cellquarry.operators.spatial import parent_bins, points, polygons
+from cellquarry.plans.indexing import with_row_index
 from cellquarry.sources import readers, zarr
 
 
@@ -77,9 +78,6 @@ class CosMxHub(Hub):
         return points(t, "x_global_px", "y_global_px")
 
     def polygons(self, slide: int = 1, fovs: Sequence[int] | None = None) -> DataFrame:
-        from cellquarry.operators.spatial import polygons
-        from cellquarry.sources.writers import with_row_index
-
         p = self.spark.read.csv(self.at("polygons", "polygons.csv", "polygons.csv.gz"), header=True, inferSchema=True)
         p = p.where(F.col("fov").isin(list(fovs))) if fovs is not None else p
         p = p.withColumn("poly_ID", F.format_string(f"c_{slide}_%d_%d", F.col("fov").cast("int"), F.col("cellID").cast("int")))

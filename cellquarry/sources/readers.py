@@ -12,6 +12,8 @@ from cellquarry.functions.ids import distinct_names
 from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.spatial import points, polygons
+from cellquarry.plans.indexing import with_row_index
+from cellquarry.plans.rules import small
 
 
 def read_matrix(spark: SparkSession, root: str) -> Matrix:
@@ -30,9 +32,7 @@ def read_tiles(spark: SparkSession, root: str, tiles: Sequence[int] | None = Non
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file in order, numbered from 1 (the two-pass index of a single sorted read)."""
-    from cellquarry.sources.writers import with_row_index
-
+    """Lines of a text file in order, numbered from 1 (the index of a single read)."""
     return with_row_index(spark.read.text(path), name="n")
 
 
@@ -53,8 +53,6 @@ def matrix_market(spark: SparkSession, mtx: str, barcodes: str, features: str, f
 
 def wide_csv(spark: SparkSession, path: str, cell_id_col: str = "cell_ID", skip: Sequence[str] = (), rows: Column | None = None, cell_name: Column | None = None) -> Matrix:
     """One row for each cell, one column for each feature; cells of zeros keep their id. ``rows`` filters, ``cell_name`` renames."""
-    from cellquarry.sources.writers import with_row_index
-
     df = spark.read.csv(path, header=True)
     df = df.where(rows) if rows is not None else df
     feats = [c for c in df.columns if c not in (cell_id_col, *skip)]
@@ -62,7 +60,7 @@ def wide_csv(spark: SparkSession, path: str, cell_id_col: str = "cell_ID", skip:
     df = with_row_index(df, name="row_id")
     dims = spark.createDataFrame([(i + 1, f) for i, f in enumerate(feats)], "col_id long, feat_id string")  # as many as columns
     long = df.select("row_id", *(F.col(f"`{f}`").cast("double").alias(f) for f in feats)).unpivot(["row_id"], feats, "feat_id", "value").where("value != 0")
-    t = long.join(F.broadcast(dims), "feat_id").select("row_id", "col_id", "value")
+    t = long.join(small(dims, len(feats)), "feat_id").select("row_id", "col_id", "value")
     return Matrix(t, df.select("row_id", F.col("__cell").alias("cell_id")), dims, t)
 
 
@@ -101,8 +99,6 @@ PART_COLUMNS = ("label_id", "part", "part_id", "polygon_id")
 
 def boundaries(spark: SparkSession, path: str, split: bool = False, flip: bool = True) -> DataFrame:
     """Polygons from (cell_id, vertex_x, vertex_y[, part]) rows in file order."""
-    from cellquarry.sources.writers import with_row_index
-
     df = spark.read.parquet(path) if "parquet" in path else spark.read.csv(path, header=True, inferSchema=True)
     part = next((c for c in PART_COLUMNS if c in df.columns), None)
     df = with_row_index(df, name="ord").withColumn("vertex_y", -F.col("vertex_y") if flip else F.col("vertex_y"))
@@ -129,8 +125,6 @@ def parent_units(mapping: DataFrame, unit: str) -> DataFrame:
 
 def bin_records(records: DataFrame) -> Matrix:
     """A matrix of bins from (gene, x, y, count) records: cells are places in order of y and x, duplicate genes add up."""
-    from cellquarry.sources.writers import with_row_index
-
     place = with_row_index(records.select("x", "y").distinct(), ["y", "x"], name="row_id")
     genes = records.select("gene").distinct()
     feats = with_row_index(genes, ["gene"], name="col_id").select("col_id", F.col("gene").alias("feat_id"))

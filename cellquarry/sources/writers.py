@@ -5,37 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.spatial import morton, quadtree, tile_threshold, tiled
+from cellquarry.plans.indexing import with_row_index
 
 
 def new_uid() -> str:
     return uuid.uuid4().hex[:8]
 
 
-def with_row_index(df: DataFrame, order: Sequence[str] = (), offset: int = 0, name: str = "row_index", within: Sequence[str] = ()) -> DataFrame:
-    """Adds 1 .. n (+ offset) in the given order, or as the rows come; ``within``: restarting in each group.
-
-    In two passes, without bringing all rows into one task: range-sorted partitions are counted, and
-    each adds what stands before it.
-    """
-    if within:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(*(order or within))) + offset).cast("long"))
-    own = df.orderBy(*order) if order else df
-    indexed = own.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = sorted((r["__p"], r["count"]) for r in indexed.groupBy("__p").count().collect())  # one row for each partition
-    before, start = 0, []
-    for p, n in counts:
-        start.append((p, before))
-        before += n
-    base = df.sparkSession.createDataFrame(start, "__p int, __s long")
-    return indexed.join(F.broadcast(base), "__p").withColumn(name, F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__s") + 1 + offset).drop("__p", "__m", "__s")
-
-
 def write_table(df: DataFrame, root: str, uid: str | None = None, order: Sequence[str] = (), offset: int = 0, mode: str = "append", compression: str = "snappy", callback: Callable[[DataFrame], DataFrame] | None = None) -> str:
     """Writes root/source_id=uid with a row index; an empty table is an error. Returns the uid."""
     if not df.limit(1).count():

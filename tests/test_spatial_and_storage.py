@@ -10,6 +10,7 @@ from cellquarry.operators import spatial as S
 from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table
+from cellquarry.plans.indexing import with_row_index
 from cellquarry.sources import readers, writers
 
 
@@ -122,7 +123,7 @@ def test_stored_handles(spark, tmp_path):
     g = Graph.of(spark.createDataFrame([(2, 1, 0.5)], "from_id int, to_id int, weight double"))
     writers.write_graph(g, str(tmp_path / "g"))
     assert readers.read_graph(spark, str(tmp_path / "g")).counts() == (1, 2)
-    assert [r.row_index for r in writers.with_row_index(spark.range(100).repartition(7), ["id"], 10).orderBy("id").collect()] == list(range(11, 111))
+    assert [r.row_index for r in with_row_index(spark.range(100).repartition(7), ["id"], 10).orderBy("id").collect()] == list(range(11, 111))
 
 
 def test_formats(spark, tmp_path):
