@@ -21,7 +21,7 @@ from cellquarry.llm.textkit import mix
 U64 = np.uint64
 MARK = 0x2581  # stands for a blank in pieces
 OTHER_MARK = 0x110000  # stands for that character itself in a text
-LONGEST_PART = 1 << 20
+LONGEST_PART = 1 << 19
 SLOT_BITS = 20
 
 
@@ -275,7 +275,7 @@ def encode_pieces(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_path, alpha)
         for batch in batches:
-            for part in pieces_of(batch, most=2 << 20):
+            for part in pieces_of(batch, most=1 << 20):
                 texts = part.column("text").to_pylist()
                 ids, n = lat.encode([t or "" for t in texts], [row_seed(i, seed) for i in part.column("doc_id").to_pylist()])
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
