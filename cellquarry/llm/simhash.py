@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellquarry.llm.common import forget, id_text, pieces_of, texts_of, written
@@ -122,22 +123,42 @@ def trie_links(fp: np.ndarray, root: np.ndarray, depth: int, budget: int, most:
     return label
 
 
-def near_edges(nodes: DataFrame, budget: int = 4, rows: int | None = None) -> DataFrame:
+def bit_tables(budget: int, blocks: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each way to choose blocks - budget of the blocks of 64 bits: their bits and all blocks (start, width), the chosen first."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    spans = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(sum(s[1] for s in own), [*own, *(s for s in spans if s not in own)]) for own in combinations(spans, blocks - budget)]
+
+
+def blocks_for(rows: int, budget: int, bucket: int = 4096, most: int = 8) -> int:
+    """The fewest blocks whose tables have about ``bucket`` evenly spread fingerprints under a root."""
+    return next((b for b in range(budget + 1, most) if rows / 2.0 ** (64 * (b - budget) / b) <= bucket), max(most, budget + 1))
+
+
+def reordered(fp: Column, spans: list[tuple[int, int]]) -> Column:
+    """The 64 bits of fp with its blocks in another order."""
+    out, at = None, 0
+    for start, width in spans:
+        part = F.shiftleft(F.shiftrightunsigned(F.shiftleft(fp, start), 64 - width), 64 - at - width)
+        out, at = part if out is None else out.bitwiseOR(part), at + width
+    return out
+
+
+def near_edges(nodes: DataFrame, budget: int = 4, rows: int | None = None, blocks: int | None = None) -> DataFrame:
     """Spanning edges (child, parent) of ``nodes`` (node long, fp long; distinct fp) that link at ``budget`` bits or fewer.
 
-    With budget + 1 blocks of bits one block at least is equal between linked fingerprints, so each
-    fingerprint enters budget + 1 tables, rotated until that block leads; equal blocks share a root,
-    from which trie_links() goes on. A link is found in some table for certain. Only enough edges to
-    connect a group leave a task, not its pairs.
+    Of ``blocks`` blocks of bits, blocks - budget at least are equal between linked fingerprints. Each
+    fingerprint enters a table for every choice of so many blocks, its bits reordered until those
+    lead; equal leading bits share a root, from which trie_links() goes on. A link is found in some
+    table for certain. More fingerprints (``rows``) take more blocks, so that roots stay small. Only
+    enough edges to connect a group leave a task, not its pairs.
     """
-    blocks = budget + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    widths = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.expr(f"shiftleft(fp, {c}) | shiftrightunsigned(fp, {64 - c})" if c else "fp").alias("r")) for i, c in enumerate(cuts[:-1]))))
-    keyed = nodes.select("node", tables.alias("x")).select("node", "x.t", "x.r")
-    key = F.coalesce(*(F.when(F.col("t") == i, F.shiftrightunsigned("r", 64 - w)) for i, w in enumerate(widths)))
-    keyed = keyed.withColumn("key", key)
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows or 0) * blocks // 500_000 + 1)
+    tables = bit_tables(budget, blocks or blocks_for(rows or 0, budget))
+    widths = [w for w, _ in tables]
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), reordered(F.col("fp"), spans).alias("r")) for i, (_, spans) in enumerate(tables))))
+    keyed = nodes.select("node", each.alias("x")).select("node", "x.t", "x.r")
+    keyed = keyed.withColumn("key", F.coalesce(*(F.when(F.col("t") == i, F.shiftrightunsigned("r", 64 - w)) for i, w in enumerate(widths))))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows or 0) * len(tables) // 500_000 + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("node").to_numpy(), b.column("t").to_numpy(), b.column("r").to_numpy().view(U64), b.column("key").to_numpy()) for b in batches]

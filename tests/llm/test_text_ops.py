@@ -184,6 +184,23 @@ def test_trie_links_in_dense_balls():
         assert (simhash.trie_links(fp, root, bits, 4, most=64) == want).all()
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_any_number_of_blocks_finds_all_links(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    fp = rng.integers(-(2**63), 2**63 - 1, 60)
+    near = fp.copy()
+    for _ in range(4):
+        near = near ^ (np.int64(1) << rng.integers(0, 63, 60))
+    all_ = np.unique(np.concatenate([fp, near]))
+    edges = simhash.near_edges(spark.createDataFrame([(i, int(f)) for i, f in enumerate(all_)], "node long, fp long"), 4, blocks=blocks)
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    a, b = np.triu_indices(len(all_), 1)
+    linked = np.bitwise_count((all_[a] ^ all_[b]).view(np.uint64)) <= 4
+    want = simhash.least_label(np.arange(len(all_)), a[linked], b[linked])
+    assert [got.get(i, i) for i in range(len(all_))] == want.tolist()
+    assert simhash.blocks_for(10**6, 4) == 5 and simhash.blocks_for(10**9, 4) == 6 and simhash.blocks_for(10**11, 4) == 7
+
+
 def test_groups_with_null_and_repeated_ids(spark):
     d = docs(spark, ["one two three four five", "one two three four five"])
     d = d.union(d.where("doc_id = 1")).union(d.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
