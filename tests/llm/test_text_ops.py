@@ -353,6 +353,45 @@ def test_planted_passages(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_every_repeated_run_of_words_is_found(spark):
+    """Texts are mosaics of shared bits, so most repeated runs hold bits that first stand in different texts."""
+    rng = random.Random(12)
+    bits = [prose(rng, rng.randint(6, 30)) for _ in range(25)]
+    long = [sum(rng.sample(bits, rng.randint(2, 5)), []) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        w = prose(rng, rng.randint(0, 30))
+        for _ in range(rng.randint(0, 3)):
+            w += (rng.choice(bits) if i < 40 or rng.random() < 0.5 else rng.choice(long)) + prose(rng, rng.choice([0, 0, 9]))
+        texts.append(" ".join(w))
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    held = {}
+    for r in got:
+        a, b = texts[r.doc_id].encode()[r.start : r.end].decode(), texts[r.source_doc_id].encode()[r.source_start : r.source_end].decode()
+        assert r.n_words == len(a.split()) >= 40 and r.similarity >= 0.8 and (r.similarity < 1 or a == b)
+        at = len(texts[r.doc_id].encode()[: r.start].decode().split())
+        held.setdefault(r.doc_id, set()).update(range(at, at + r.n_words))
+    seen, runs = {}, 0
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 39):
+            key = tuple(w[j : j + 40])
+            if key in seen:
+                runs += 1
+                assert set(range(j, j + 40)) <= held.get(i, set()), (i, j, seen[key])
+            seen.setdefault(key, (i, j))
+    assert runs > 300
+
+
+def test_unsettled_runs():
+    """Seeds at words 0, 4 .. 96; those up to 48 first stand in text 7, the others in text 8."""
+    w = np.arange(0, 100, 4)
+    s = np.where(w <= 48, 7, 8)
+    assert passages.unsettled(np.full(25, 9), w, s, w + 100, 5, 8, 40) == ([9], [[14, 51, 62, 68]])
+    assert passages.unsettled(np.full(5, 9), w[:5], s[:5], w[:5], 5, 8, 40) == ([], [])
+    assert passages.unsettled(w[:0], w[:0], s[:0], w[:0], 5, 8, 40) == ([], [])
+
+
 def test_seeds_cover_every_run():
     rng = random.Random(9)
     shared = prose(rng, 12)  # k + window - 1
