@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellquarry.catalog.project import resolve_view
 from cellquarry.functions import ids
 from cellquarry.operators import analysis as A
 from cellquarry.operators import spatial as S
@@ -735,6 +736,117 @@ def parent_unit_flags(spark, d):
     return readers.parent_units(m, "o_custkey")
 
 
+# ---- further verbs of the handles
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def join_renamed_key(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_name"), {"o_custkey": "c_custkey"}).df().select("o_orderkey", "c_name")
+
+
+@query(f"SELECT cell_id, feat_id, value FROM {T} JOIN {C} USING (row_id) JOIN {FE} USING (col_id)")
+def mat_named(spark, d):
+    return matrix(spark, d).named()
+
+
+@query(f"SELECT c.cell_id, coalesce(max(value) FILTER (col_id = 7), 0.0) AS f7, coalesce(max(value) FILTER (col_id = 11), 0.0) AS f11 FROM {C} c LEFT JOIN {T} USING (row_id) GROUP BY 1")
+def mat_wide(spark, d):
+    return matrix(spark, d).wide(["f7", "f11"])
+
+
+@query(f"SELECT row_id, col_id, round(pow(1.1, value) - 1, 4) AS value FROM {T}")
+def mat_expm1(spark, d):
+    return r4(matrix(spark, d).expm1(1.1).triplets, "value")
+
+
+@query(f"SELECT row_id, col_id, least(value, 20.0::DOUBLE) AS value FROM {T}")
+def mat_clamp(spark, d):
+    return matrix(spark, d).clamp(0.0, 20.0).triplets
+
+
+@query(f"SELECT feat_id, CASE WHEN feat_id LIKE '%7' THEN 'seven' WHEN feat_id LIKE 'f1%' THEN 'one' ELSE 'rna' END AS feat_type FROM {FE}")
+def feature_keywords(spark, d):
+    return readers.split_features(matrix(spark, d).feats, {"seven": "7$", "one": "^f1"}, "rna").select("feat_id", "feat_type")
+
+
+@query(f"WITH r AS (SELECT *, percent_rank() OVER (PARTITION BY col_id ORDER BY value) AS r FROM {T}) SELECT cell_id, 't' || col_id % 4 AS type, round(avg(r), 4) AS score FROM r JOIN {C} USING (row_id) WHERE col_id % 10 < 4 GROUP BY 1, 2")
+def rank_scores(spark, d):
+    m = matrix(spark, d)
+    return r4(A.rank_enrichment(m, m.feats.where("col_id % 10 < 4").select("feat_id", F.concat(F.lit("t"), F.col("col_id") % 4).alias("type"))), "score")
+
+
+@query(f"SELECT feat_id, y.label AS label, sum(w * value) AS nbr_sum FROM {_CB} JOIN {T} ON row_id = i JOIN {C} y ON y.row_id = j JOIN {FE} USING (col_id) GROUP BY 1, 2")
+def graph_neighbour_sums(spark, d):
+    return cell_graph(spark, d).neighbour_sums(matrix(spark, d), priorities(spark, d))
+
+
+@query(f"SELECT a AS node_id FROM {E} UNION SELECT b FROM {E}")
+def graph_vertices(spark, d):
+    return graph(spark, d).vertices()
+
+
+_K = "(SELECT a.o_orderkey AS a, a.o_orderkey + k AS b FROM orders a, (VALUES (5), (7), (12)) s(k) WHERE a.o_orderkey + k IN (SELECT o_orderkey FROM orders))"
+_KB = f"(SELECT a, b FROM {_K} UNION ALL SELECT b, a FROM {_K})"
+_TRI = f"SELECT 'triangle' AS motif, array_to_string(list_sort([x.label, y.label, z.label]), '-') AS labels FROM {_K} p JOIN {_K} q ON q.a = p.b JOIN {_K} r ON r.a = p.a AND r.b = q.b JOIN {C} x ON x.row_id = p.a JOIN {C} y ON y.row_id = p.b JOIN {C} z ON z.row_id = q.b"
+_WEDGE = f"SELECT 'wedge', least(x.label, y.label) || '-' || m.label || '-' || greatest(x.label, y.label) FROM {_KB} p JOIN {_KB} q ON q.a = p.a AND p.b < q.b ANTI JOIN {_KB} r ON r.a = p.b AND r.b = q.b JOIN {C} m ON m.row_id = p.a JOIN {C} x ON x.row_id = p.b JOIN {C} y ON y.row_id = q.b"
+
+
+@query(f"SELECT motif, labels, count(*) AS n FROM ({_TRI} UNION ALL {_WEDGE}) GROUP BY 1, 2")
+def graph_motifs(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    e = o.select(F.col("o_orderkey").alias("from_id"), F.explode(F.array(*map(F.lit, (5, 7, 12)))).alias("k")).select("from_id", (F.col("from_id") + F.col("k")).alias("to_id"))
+    e = e.join(o, F.col("to_id") == F.col("o_orderkey"), "left_semi")
+    return Graph.of(e, o.select(F.col("o_orderkey").alias("node_id"))).motifs(o.select(F.col("o_orderkey").alias("node_id"), F.col("o_orderpriority").alias("label")))
+
+
+_X = "(SELECT -0.2 AS a0, 0.5 AS a1, -0.3 AS b0, 0.2 AS b1)"
+
+
+@query(f"""
+WITH r AS (SELECT poly, (x0 <= a1 AND x1 >= a0 AND y0 <= b1 AND y1 >= b0) AS hit, (x0 >= a0 AND x1 <= a1 AND y0 >= b0 AND y1 <= b1) AS inside FROM {B}, {_X})
+SELECT poly AS "poly_ID", 'intersects' AS relation FROM r WHERE hit UNION ALL SELECT poly, 'disjoint' FROM r WHERE NOT hit
+UNION ALL SELECT poly, 'within' FROM r WHERE inside UNION ALL SELECT poly, 'covered_by' FROM r WHERE inside UNION ALL SELECT poly, 'overlaps' FROM r WHERE hit AND NOT inside
+""")
+def relate_rectangles(spark, d):
+    """No rectangle of the labels holds the fixed one whole, so what meets it without lying inside overlaps it."""
+    boxes, shape = box_frame(spark, d), "POLYGON((-0.2 -0.3, 0.5 -0.3, 0.5 0.2, -0.2 0.2, -0.2 -0.3))"
+    out = None
+    for name in ("intersects", "disjoint", "within", "covered_by", "overlaps"):
+        got = S.Spatial.of(boxes).relate(shape, name).df().select("poly_ID", F.lit(name).alias("relation"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"SELECT poly AS \"poly_ID\", ord, x, y FROM {B}, LATERAL (VALUES (0, x0, y0), (1, x1, y0), (2, x1, y1), (3, x0, y1)) v(ord, x, y)")
+def polygon_vertices(spark, d):
+    return S.vertices(box_frame(spark, d)).select("poly_ID", "ord", "x", "y")
+
+
+@query(f"SELECT poly AS \"poly_ID\", feat_id, sum(value) AS value FROM {B} JOIN {P} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 JOIN {T} ON row_id = vec_id JOIN {FE} USING (col_id) GROUP BY 1, 2")
+def bin_points_matrix(spark, d):
+    m = matrix(spark, d)
+    bins = m.rename(cells=m.cells.select("row_id", F.col("row_id").alias("cell_id")))
+    return S.bin_overlap(S.overlap(box_frame(spark, d), point_frame(spark, d).withColumnRenamed("vec_id", "feat_ID")), bins)
+
+
+@query(f"SELECT cell_id FROM {C} c JOIN {P} ON vec_id = row_id WHERE c.label = '1-URGENT' AND x BETWEEN -0.5 AND 0.0 AND y BETWEEN -0.5 AND 0.5")
+def view_cells(spark, d):
+    p = point_frame(spark, d).withColumn("cell_id", F.concat(F.lit("c"), F.col("vec_id")))
+    return resolve_view(matrix(spark, d).cells.select("cell_id"), [{"filter": "label = '1-URGENT'", "column": "label"}, {"crop": (-0.5, 0.0, -0.5, 0.5)}], [(priorities(spark, d), "cell_id")], p)
+
+
+@query()
+def deconvolution_shares(spark, d):
+    m = _few(spark, d)
+    sign = m.feats.select("feat_id", F.concat(F.lit("t"), (F.col("col_id") / 40).cast("int") % 4).alias("type"), (1 + F.col("col_id") % 3).cast("double").alias("value"))
+    return A.deconvolve(m, sign)
+
+
+@query()
+def markers_combined(spark, d):
+    return A.combine_markers(A.markers(matrix(spark, d), priorities(spark, d)), "any")
+
+
 # ---- streams (extension)
 
 

@@ -144,12 +144,23 @@ class Graph:
         return replace(m, triplets=t, log_=(*m.log_, "smooth"))
 
     def motifs(self, labels: DataFrame) -> DataFrame:
-        """(motif, labels, n): triangles and open wedges (middle label second) by label."""
+        """(motif, labels, n): triangles and open wedges (middle label second) by label, among labelled nodes.
+
+        Triangles are listed from their end of least degree, so no node lists over sqrt(2 edges) ends.
+        Wedges are counted from each node's neighbours by label, less those that triangles close.
+        """
         p = self.pairs().select("a", "b")
-        lab = lambda name: labels.select(F.col("node_id").alias(name), F.col("label").alias(f"l{name}"))
-        tri = p.join(p.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(p.select("a", F.col("b").alias("c")), ["a", "c"]).join(lab("a"), "a").join(lab("b"), "b").join(lab("c"), "c")
-        triangles = tri.groupBy(F.array_join(F.array_sort(F.array("la", "lb", "lc")), "-").alias("labels")).agg(F.count("*").alias("n")).select(F.lit("triangle").alias("motif"), "labels", "n")
         both = p.union(p.select("b", "a"))
-        wedge = both.select(F.col("a").alias("m"), F.col("b").alias("x")).join(both.select(F.col("a").alias("m"), F.col("b").alias("y")), "m").where("x < y").join(p.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").join(lab("m"), "m").join(lab("x"), "x").join(lab("y"), "y")
-        wedges = wedge.groupBy(F.concat_ws("-", F.least("lx", "ly"), "lm", F.greatest("lx", "ly")).alias("labels")).agg(F.count("*").alias("n")).select(F.lit("wedge").alias("motif"), "labels", "n")
-        return triangles.unionByName(wedges)
+        degree = both.groupBy("a").agg(F.count("*").alias("d"))
+        up = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").where(F.struct("d", "a") < F.struct("e", "b")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("e", "b").alias("place"))
+        lab = lambda name: labels.select(F.col("node_id").alias(name), F.col("label").alias(f"l{name}"))
+        two = up.join(up.select("x", F.col("y").alias("z"), F.col("place").alias("beyond")), "x").where("place < beyond")
+        tri = two.join(both.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi").join(lab("x"), "x").join(lab("y"), "y").join(lab("z"), "z")
+        tri = tri.groupBy(F.array_sort(F.array("lx", "ly", "lz")).alias("ls")).agg(F.count("*").alias("n"))
+        near = both.select(F.col("a").alias("m"), F.col("b").alias("x")).join(lab("x"), "x").groupBy("m", "lx").agg(F.count("*").alias("c"))
+        pairs = near.join(near.select("m", F.col("lx").alias("ly"), F.col("c").alias("c2")), "m").where("lx <= ly").join(lab("m"), "m")
+        every = pairs.select("lx", "lm", "ly", F.when(F.col("lx") == F.col("ly"), F.expr("c * (c - 1) div 2")).otherwise(F.col("c") * F.col("c2")).alias("n"))
+        turns = F.explode(F.array(*(F.struct(F.get("ls", F.lit(i)).alias("lx"), F.get("ls", F.lit(m)).alias("lm"), F.get("ls", F.lit(j)).alias("ly")) for i, m, j in ((1, 0, 2), (0, 1, 2), (0, 2, 1)))))
+        closed = tri.select(turns.alias("w"), "n").select("w.*", (-F.col("n")).alias("n"))
+        wedges = every.unionByName(closed).groupBy(F.concat_ws("-", "lx", "lm", "ly").alias("labels")).agg(F.sum("n").alias("n")).where("n > 0")
+        return tri.select(F.lit("triangle").alias("motif"), F.array_join("ls", "-").alias("labels"), "n").unionByName(wedges.select(F.lit("wedge").alias("motif"), "labels", "n"))

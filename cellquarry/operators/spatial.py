@@ -79,7 +79,7 @@ def centre_and_box(polys: list[G.Rings]) -> tuple[float, ...]:
 
 
 def vertices(df: DataFrame, id_col: str = "poly_ID") -> DataFrame:
-    """(id, part, ring, ord, x, y): one row for each vertex."""
+    """(id, part, ring, ord, x, y): one row for each vertex, without the one that closes a ring."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -353,7 +353,8 @@ def overlap_matrix(found: DataFrame, cells: DataFrame, feats: DataFrame, count_c
 
 def bin_overlap(found: DataFrame, bins: Matrix) -> DataFrame:
     """(poly_ID, feat_id, value): bins found in polygons (feat_ID is the bin) replaced by what they hold."""
-    return found.join(bins.named().withColumnRenamed("cell_id", "feat_ID"), "feat_ID").groupBy("poly_ID", "feat_id").agg(F.sum("value").alias("value"))
+    inside = found.select("poly_ID", F.col("feat_ID").alias("bin_id"))  # feat_ID and feat_id are one name to Spark
+    return inside.join(bins.named().withColumnRenamed("cell_id", "bin_id"), "bin_id").groupBy("poly_ID", "feat_id").agg(F.sum("value").alias("value"))
 
 
 def parent_bins(df: DataFrame, size: int, x: str = "x", y: str = "y") -> DataFrame:
