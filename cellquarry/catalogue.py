@@ -799,20 +799,23 @@ def graph_motifs(spark, d):
     return Graph.of(e, o.select(F.col("o_orderkey").alias("node_id"))).motifs(o.select(F.col("o_orderkey").alias("node_id"), F.col("o_orderpriority").alias("label")))
 
 
-_X = "(SELECT -0.2 AS a0, 0.5 AS a1, -0.3 AS b0, 0.2 AS b1)"
+_R = "(SELECT DISTINCT CAST(label AS BIGINT) AS poly, 10 * label AS x0, 10 * label + 15 AS x1 FROM embeddings)"
 
 
 @query(f"""
-WITH r AS (SELECT poly, (x0 <= a1 AND x1 >= a0 AND y0 <= b1 AND y1 >= b0) AS hit, (x0 >= a0 AND x1 <= a1 AND y0 >= b0 AND y1 <= b1) AS inside FROM {B}, {_X})
+WITH r AS (SELECT poly, x0 <= 75 AND x1 >= 25 AS hit, x0 < 75 AND x1 > 25 AS deep, x0 >= 25 AND x1 <= 75 AS inside FROM {_R})
 SELECT poly AS "poly_ID", 'intersects' AS relation FROM r WHERE hit UNION ALL SELECT poly, 'disjoint' FROM r WHERE NOT hit
-UNION ALL SELECT poly, 'within' FROM r WHERE inside UNION ALL SELECT poly, 'covered_by' FROM r WHERE inside UNION ALL SELECT poly, 'overlaps' FROM r WHERE hit AND NOT inside
+UNION ALL SELECT poly, 'touches' FROM r WHERE hit AND NOT deep UNION ALL SELECT poly, 'overlaps' FROM r WHERE deep AND NOT inside
+UNION ALL SELECT poly, 'within' FROM r WHERE inside UNION ALL SELECT poly, 'covered_by' FROM r WHERE inside
 """)
 def relate_rectangles(spark, d):
-    """No rectangle of the labels holds the fixed one whole, so what meets it without lying inside overlaps it."""
-    boxes, shape = box_frame(spark, d), "POLYGON((-0.2 -0.3, 0.5 -0.3, 0.5 0.2, -0.2 0.2, -0.2 -0.3))"
+    """A row of rectangles, one for each label, against a fixed one that is taller than they are."""
+    x = (F.col("label") * 10).cast("double")
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), (x + a).alias("x"), F.lit(y).alias("y")) for i, (a, y) in enumerate(((0, 0.0), (15, 0.0), (15, 10.0), (0, 10.0))))))
+    boxes = S.polygons(spark.read.parquet(f"{d}/embeddings.parquet").select("label").distinct().select(F.col("label").cast("long").alias("poly_ID"), corner.alias("v")).select("poly_ID", "v.*"))
     out = None
-    for name in ("intersects", "disjoint", "within", "covered_by", "overlaps"):
-        got = S.Spatial.of(boxes).relate(shape, name).df().select("poly_ID", F.lit(name).alias("relation"))
+    for name in ("intersects", "disjoint", "touches", "overlaps", "within", "covered_by"):
+        got = S.Spatial.of(boxes).relate("POLYGON((25 -10, 75 -10, 75 30, 25 30, 25 -10))", name).df().select("poly_ID", F.lit(name).alias("relation"))
         out = got if out is None else out.unionByName(got)
     return out
 
