@@ -91,12 +91,13 @@ def score_texts(texts: list[str], weight: np.ndarray, ratio_norm: np.ndarray, bi
 def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The model, fitted in one task on about ``train_rows`` labelled rows (the bound of the classifier's sample).
 
-    Rows with a null id or a quality other than 0 and 1 take no part; of several labels of an id the least counts.
+    Rows with a null id or a quality other than 0 and 1 take no part; of several labels of an id the least
+    counts, and of several texts the least, so that an id that repeats on and on does not outgrow the bound.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(crc_mod(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = hash_sample(known, "doc_id", train_rows, known.count())
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # about train_rows ids of 12 bytes
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # about train_rows ids of 12 bytes
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -257,6 +257,9 @@ def test_quality(spark):
     none = quality.score_quality(docs(spark, ["a"]), labels.limit(0)).collect()
     assert none[0].score == 0.5
     assert quality.score_quality(docs(spark, []), labels).count() == 0
+    once = docs(spark, texts)
+    again = once.unionByName(once).unionByName(once.where("doc_id = 3").withColumn("text", F.lit("~ later by name")))
+    assert all((a == b).all() for a, b in zip(quality.learn_quality(once, labels), quality.learn_quality(again, labels), strict=True))
 
 
 def test_dual_descent_is_optimal():
