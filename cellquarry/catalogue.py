@@ -560,19 +560,14 @@ _SMALL = f"(SELECT * FROM {T} WHERE col_id % 40 = 0)"
 _GRAM = f"SELECT a.col_id AS f1, b.col_id AS f2, sum(a.value * b.value) AS g FROM {_SMALL} a JOIN {_SMALL} b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2"
 
 
-def _few(spark, d) -> Matrix:
-    m = matrix(spark, d)
-    return m.subset(feats=m.feats.where("col_id % 40 = 0").select("feat_id"))
-
-
 @query(_GRAM)
 def gram_matrix(spark, d):
-    return A.gram(_few(spark, d))
+    return A.gram(matrix(spark, d))
 
 
 @query(f"WITH s AS (SELECT col_id, sum(value) AS s, sum(value * value) - sum(value) * sum(value) / n AS d, n FROM {_SMALL}, (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders) GROUP BY col_id, n) SELECT 'f' || f1 AS feat1, 'f' || f2 AS feat2, round((g - a.s * b.s / a.n) / sqrt(a.d * b.d), 4) + 0.0 AS r FROM ({_GRAM}) JOIN s a ON f1 = a.col_id JOIN s b ON f2 = b.col_id WHERE f1 < f2")
 def feat_cor_top(spark, d):
-    return r4(A.correlation(_few(spark, d)), "r")
+    return r4(A.correlation(matrix(spark, d)), "r")
 
 
 @query(f"SELECT c.cell_id, w.name, coalesce(v, 0.0) AS value FROM {C} c CROSS JOIN (SELECT unnest(['w0', 'w1', 'w2']) AS name) w LEFT JOIN (SELECT row_id, 'w' || (col_id % 3) AS name, sum(value * (col_id % 7)) AS v FROM {T} GROUP BY 1, 2) a ON a.row_id = c.row_id AND a.name = w.name")
@@ -583,7 +578,7 @@ def crossprod_weights(spark, d):
 
 @query()
 def pca_gram_eigenvalues(spark, d):
-    got = A.pca(_few(spark, d), 10)
+    got = A.pca(matrix(spark, d), 10, powers=20, most_bytes=2.5e8)  # above about 5600 features: method random
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got["sdev"])], "pc int, sdev double")
 
 
@@ -599,7 +594,7 @@ def markers_p_values(spark, d):
 
 @query()
 def binarize_kmeans(spark, d):
-    return A.binarize(_few(spark, d), "kmeans", bins=64).triplets
+    return A.binarize(matrix(spark, d), "kmeans", bins=64).triplets
 
 
 # ---- graphs
@@ -840,7 +835,7 @@ def view_cells(spark, d):
 
 @query()
 def deconvolution_shares(spark, d):
-    m = _few(spark, d)
+    m = matrix(spark, d)
     sign = m.feats.select("feat_id", F.concat(F.lit("t"), (F.col("col_id") / 40).cast("int") % 4).alias("type"), (1 + F.col("col_id") % 3).cast("double").alias("value"))
     return A.deconvolve(m, sign)
 

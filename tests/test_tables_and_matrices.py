@@ -248,3 +248,22 @@ def test_streams(spark, tmp_path):
     windows.accumulate_stream(s, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = {r.col_id: (r["sum"], r.nnz) for r in windows.partial_sums(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {k: (sum(i for i in range(30) if i % 3 == k), 10) for k in range(3)}
+
+
+def test_queries_over_features_take_all_of_them(spark):
+    from cellquarry import catalogue
+
+    d = "/root/testdata/sf0.001"
+    m = catalogue.matrix(spark, d)
+    cells, feats = (sorted(r[0] for r in x.select(c).collect()) for x, c in ((m.cells, "row_id"), (m.feats, "col_id")))
+    own = m.triplets.toPandas()
+    x = np.zeros((len(cells), len(feats)))
+    np.add.at(x, (np.searchsorted(cells, own.row_id), np.searchsorted(feats, own.col_id)), own.value)
+    run = lambda name: catalogue.queries()[name](spark, d)
+    got = {(r.f1, r.f2): r.g for r in run("gram_matrix").collect()}
+    g = np.triu(x.T @ x)
+    assert got == {(feats[i], feats[j]): g[i, j] for i, j in zip(*np.nonzero(g), strict=True)}
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    assert np.allclose([r.sdev for r in run("pca_gram_eigenvalues").orderBy("pc").collect()], np.linalg.svd(z, compute_uv=False)[:10] / np.sqrt(len(cells) - 1), atol=1e-5)
+    assert {r.col_id for r in run("binarize_kmeans").select("col_id").distinct().collect()} == set(own.col_id)
+    assert run("deconvolution_shares").select("cell_id").distinct().count() == own.row_id.nunique()
