@@ -427,3 +427,17 @@ def test_edits_against_a_table():
             for j in range(1, len(y) + 1):
                 t[i][j] = t[i - 1][j - 1] if x[i - 1] == y[j - 1] else 1 + min(t[i - 1][j], t[i][j - 1])
         assert passages.edits(x, y) == t[-1][-1]
+
+
+def test_fuzzy_passages_are_found_at_their_own_threshold(spark):
+    rng = random.Random(3)
+    texts, planted = [], set()
+    for i in range(150):
+        p = prose(rng, 60)
+        q = list(p)
+        for j in rng.sample(range(60), (6, 7, 9)[i % 3]):
+            q[j] = f"new{rng.randrange(10**6)}"
+        texts += [" ".join(prose(rng, 50) + x + prose(rng, 50)) for x in (p, q)]
+        planted.add(2 * i + 1)
+    got = {r.doc_id for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    assert got <= planted and len(got) >= 0.95 * len(planted)
