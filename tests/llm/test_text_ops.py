@@ -441,3 +441,13 @@ def test_fuzzy_passages_are_found_at_their_own_threshold(spark):
         planted.add(2 * i + 1)
     got = {r.doc_id for r in passages.repeated_passages(docs(spark, texts)).collect()}
     assert got <= planted and len(got) >= 0.95 * len(planted)
+
+
+def test_fuzzy_passage_whose_parts_first_stand_in_several_texts(spark):
+    rng = random.Random(5)
+    w = prose(rng, 60)
+    near = list(w)
+    near[20] = near[40] = "replaced"
+    texts = [" ".join(x) for x in (w[:20] + prose(rng, 30), prose(rng, 30) + w[20:40], prose(rng, 30) + w[40:], prose(rng, 30) + w, near + prose(rng, 30))]
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    assert [(r.doc_id, r.source_doc_id, r.n_words) for r in got if r.doc_id == 4] == [(4, 3, 60)]
