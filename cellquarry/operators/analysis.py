@@ -223,12 +223,17 @@ def gram(m: Matrix) -> DataFrame:
     return a.join(b, "row_id").where("f1 <= f2").groupBy("f1", "f2").agg(F.sum(F.col("v1") * F.col("v2")).alias("g"))
 
 
-def correlation(m: Matrix) -> DataFrame:
-    """(f1, f2, r): Pearson correlations of pairs of features that share a cell at least; other pairs follow from the sums alone."""
+def correlation(m: Matrix, sparse: bool = False) -> DataFrame:
+    """(feat1, feat2, r): Pearson correlations of all pairs of features, the first with the lesser col_id; null where one does not vary.
+
+    A pair that shares no cell has no product sum and follows from the sums alone; ``sparse`` leaves such pairs out.
+    """
     s = m.accumulate("feat", ["sum", "sumsq"]).crossJoin(F.broadcast(m.n_cells())).select("col_id", "feat_id", (F.col("sum") / F.col("n_cells")).alias("mu"), (F.col("sumsq") - F.col("sum") * F.col("sum") / F.col("n_cells")).alias("d"), "n_cells")
     left = s.select(F.col("col_id").alias("f1"), F.col("feat_id").alias("feat1"), F.col("mu").alias("m1"), F.col("d").alias("d1"), "n_cells")
     right = s.select(F.col("col_id").alias("f2"), F.col("feat_id").alias("feat2"), F.col("mu").alias("m2"), F.col("d").alias("d2"))
-    return gram(m).where("f1 < f2").join(left, "f1").join(right, "f2").select("feat1", "feat2", F.try_divide(F.col("g") - F.col("n_cells") * F.col("m1") * F.col("m2"), F.sqrt(F.col("d1") * F.col("d2"))).alias("r"))
+    shared = gram(m).where("f1 < f2")
+    pairs = shared.join(left, "f1").join(right, "f2") if sparse else left.join(right, F.col("f1") < F.col("f2")).join(shared, ["f1", "f2"], "left").na.fill(0.0, ["g"])
+    return pairs.select("feat1", "feat2", F.try_divide(F.col("g") - F.col("n_cells") * F.col("m1") * F.col("m2"), F.sqrt(F.col("d1") * F.col("d2"))).alias("r"))
 
 
 def crossprod(m: Matrix, weights: DataFrame) -> DataFrame:

@@ -267,3 +267,14 @@ def test_queries_over_features_take_all_of_them(spark):
     assert np.allclose([r.sdev for r in run("pca_gram_eigenvalues").orderBy("pc").collect()], np.linalg.svd(z, compute_uv=False)[:10] / np.sqrt(len(cells) - 1), atol=1e-5)
     assert {r.col_id for r in run("binarize_kmeans").select("col_id").distinct().collect()} == set(own.col_id)
     assert run("deconvolution_shares").select("cell_id").distinct().count() == own.row_id.nunique()
+
+
+def test_correlation_of_features_without_a_shared_cell(spark):
+    x = np.array([[3.0, 0, 0, 1], [0, 2.0, 0, 0], [0, 0, 4.0, 2.0], [0, 0, 0, 0]])
+    t = spark.createDataFrame([(c, f, float(x[f, c])) for f, c in zip(*map(lambda v: v.tolist(), np.nonzero(x)), strict=True)], "row_id long, col_id long, value double")
+    cells = spark.createDataFrame([(c, f"c{c}") for c in range(4)], "row_id long, cell_id string")
+    feats = spark.createDataFrame([(f, f"f{f}") for f in range(4)], "col_id long, feat_id string")
+    got = {(r.feat1, r.feat2): r.r for r in A.correlation(Matrix.of(t, cells, feats)).collect()}
+    want = np.corrcoef(x[:3])
+    assert len(got) == 6 and all(v is None for (_, b), v in got.items() if b == "f3")
+    assert all(abs(v - want[int(a[1]), int(b[1])]) < 1e-9 for (a, b), v in got.items() if b != "f3")
