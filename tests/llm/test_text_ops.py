@@ -451,3 +451,12 @@ def test_fuzzy_passage_whose_parts_first_stand_in_several_texts(spark):
     texts = [" ".join(x) for x in (w[:20] + prose(rng, 30), prose(rng, 30) + w[20:40], prose(rng, 30) + w[40:], prose(rng, 30) + w, near + prose(rng, 30))]
     got = passages.repeated_passages(docs(spark, texts)).collect()
     assert [(r.doc_id, r.source_doc_id, r.n_words) for r in got if r.doc_id == 4] == [(4, 3, 60)]
+
+
+def test_segment_that_is_not_similar_enough_is_parted():
+    x, y = (np.arange(200, dtype=np.uint64) + np.uint64(n) for n in (0, 0))
+    for i in range(60, 180, 20):  # 12 words changed, 8 equal, over and over
+        y[i : i + 12] = 1000 + i
+    y[20] = 5000
+    got = passages.align(x, y, [[0, 195, 0, 195]], 5, 21, 40, 0.8)
+    assert [g[:4] for g in got if g[0] == 0] == [(0, 60, 0, 60)]
