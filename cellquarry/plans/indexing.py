@@ -1,25 +1,13 @@
-"""Row numbers at scale, and tables written to cut lineage."""
+"""Row numbers at scale."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def fixed(df: DataFrame) -> DataFrame:
-    """The rows written to Parquet in the folder that spark.checkpoint.dir names (a temporary one where it is unset) and read back: they cannot come out otherwise a second time."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/fixed-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from cellquarry.plans.store import written
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column] = (), offset: int = 0, name: str = "row_index", within: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +20,7 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column] = (), offset: in
     if within:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(*(order or within))) + offset).cast("long"))
     own = df.orderBy(*order) if order else df
-    indexed = fixed(own.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    indexed = written(own.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     counts = sorted((r["__p"], r["count"]) for r in indexed.groupBy("__p").count().collect())  # a row for each partition
     before, start = 0, []
     for p, n in counts:
