@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes the rows to a Parquet table in the shared folder and reads them back."""
-    path, conf = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")  # what was shuffled for the table is of no more use
-    try:
-        df.select("*").write.parquet(path)
-    finally:
-        conf.set(CLEAN_UP, before) if before is not None else conf.unset(CLEAN_UP)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what written() stored, once nothing reads it any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+from cellquarry.plans.store import forget, shared_dir, written  # noqa: F401
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,17 +17,25 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def hash_sample(df: DataFrame, col: str, rows: int, total: int, seed: int = 17) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by the hash of ``col`` alone; all of them if there are fewer."""
+def hash_sample(df: DataFrame, cols: str | list[str], rows: int, total: int, seed: int = 17) -> DataFrame:
+    """About ``rows`` of ``total`` rows, chosen by the hash of ``cols`` alone; all of them if there are fewer."""
     if total <= rows:
         return df
     slots = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(slots)) < int(slots * rows / total))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *([cols] if isinstance(cols, str) else cols)), F.lit(slots)) < int(slots * rows / total))
 
 
 def pieces_of(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellquarry.llm.common import forget, id_text, pieces_of, texts_of, written
+from cellquarry.llm.common import forget, fresh, id_text, pieces_of, texts_of, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 U64 = np.uint64
@@ -130,9 +130,9 @@ def bit_tables(budget: int, blocks: int) -> list[tuple[int, list[tuple[int, int]
     return [(sum(s[1] for s in own), [*own, *(s for s in spans if s not in own)]) for own in combinations(spans, blocks - budget)]
 
 
-def blocks_for(rows: int, budget: int, bucket: int = 4096, most: int = 8) -> int:
+def blocks_for(rows: int, budget: int, bucket: int = 4096) -> int:
     """The fewest blocks whose tables have about ``bucket`` evenly spread fingerprints under a root."""
-    return next((b for b in range(budget + 1, most) if rows / 2.0 ** (64 * (b - budget) / b) <= bucket), max(most, budget + 1))
+    return next(b for b in range(budget + 1, 64) if rows / 2.0 ** (64 * (b - budget) / b) <= bucket)
 
 
 def reordered(fp: Column, spans: list[tuple[int, int]]) -> Column:
@@ -212,31 +212,30 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, budget: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
-    Fingerprints link at ``budget`` differing bits or fewer; component_id is the smallest doc_id
+    Rows whose fingerprints differ in ``budget`` bits or fewer are linked; component_id is the smallest doc_id
     reachable. A null or empty text, or one of white space, has fingerprint zero, linked like any
-    other. Rows that repeat an id
-    keep one result each, and their fingerprints count as one group. A null id joins its group, but names it only
-    if the group has no other id (then component_id is null).
+    other. Rows that repeat an id are rows of their own, linked by their texts alone, so that an id may stand in several groups.
+    A row with a null id links like any other, but names a group only if the group has no id (then component_id is null).
     """
-    spark = docs.sparkSession
     marked = written(fingerprints(docs, k, id_col, text_col))
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    known = nodes.where("node is not null")
-    total = nodes.count()
-    found = components(near_edges(known.select("node", "fp"), budget, total))
-    groups = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(near_edges(nodes.select(F.col("fp").alias("node"), "fp"), budget, nodes.count()))
+    groups = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    named = groups.groupBy("group").agg(F.min("least").alias("component_id"))
+    return marked.join(groups.join(named, "group").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each near-duplicate group; all columns stay.
 
-    Of rows that repeat an id one stays; rows without an id stay as they are.
+    Of rows that repeat an id the one with the least text stays, if any does; rows without an id stay as they are.
     """
     marked = written(near_duplicates(docs, budget, k, id_col, text_col))
-    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(keep, docs[id_col].cast("long") == keep["kept_id"], "left").where(F.col("kept_id").isNotNull() | docs[id_col].isNull()).select(*(docs[c] for c in docs.columns))
+    key = fresh("kept_id", docs.columns)
+    keep = marked.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    own = docs.join(keep, docs[id_col].cast("long") == keep[key], "left").where(keep[key].isNotNull() | docs[id_col].isNull()).drop(key)
     if marked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        named = own.where(F.col(id_col).isNotNull())
-        return named.dropDuplicates([id_col]).unionByName(own.where(F.col(id_col).isNull()))
+        row = F.struct(*(own[c] for c in own.columns))
+        least = own.where(own[id_col].isNotNull()).groupBy(own[id_col].alias(key)).agg(F.min_by(row, F.struct(own[text_col].cast("string").alias("t"), F.to_json(row).alias("r"))).alias("row"))
+        return least.select("row.*").unionByName(own.where(own[id_col].isNull()))
     return own
