@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellquarry.llm.common import hash_sample
-from cellquarry.llm.vectors import common_size, distinct, matrix, nearest, query_blocks, usable
+from cellquarry.llm.vectors import columns, common_size, distinct, nearest, queries_of, search_blocks, usable
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -72,24 +72,19 @@ class MultiIndex:
         b = query[self.half :] if len(query) > 1 else np.zeros(1)
         return np.array(walk(-(self.left @ query[: self.half]), -(self.right @ b), counts, enough), np.int64)
 
-
-    def mask(self, query: np.ndarray, counts: list[int], enough: int) -> bytes:
-        """The cells that a query takes, a bit each."""
-        bits = np.zeros(self.cells, np.uint8)
-        bits[self.probes(query, counts, enough)] = 1
-        return np.packbits(bits).tobytes()
-
-    def recall(self, sample: np.ndarray, share: float, k: int, queries: int = 100) -> float:
-        """Share of the k nearest, by brute force over the sample, that lie in the cells taken."""
+    def share(self, sample: np.ndarray, recall: float, k: int, queries: int = 200) -> float:
+        """The share of the entries that a query's cells must hold so that ``recall`` of the k nearest, by brute force over the sample, lie in them."""
         cell = self.assign(sample)
-        counts, hit, all_ = np.bincount(cell, minlength=self.cells).tolist(), 0, 0
+        counts, need = np.bincount(cell, minlength=self.cells), []
         for i in range(min(queries, len(sample))):
             score = sample @ sample[i]
             score[i] = -np.inf
             best = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
-            hit += np.isin(cell[best], self.probes(sample[i], counts, int(share * len(sample)))).sum()
-            all_ += len(best)
-        return hit / max(all_, 1)
+            order = self.probes(sample[i], counts.tolist(), len(sample))
+            before = np.zeros(self.cells)
+            before[order] = np.cumsum(counts[order]) - counts[order]
+            need += before[cell[best]].tolist()
+        return (float(np.quantile(need, recall, method="higher")) + 1) / len(sample) if need else 1.0
 
 
 class Block:
@@ -100,6 +95,7 @@ class Block:
         cell = index.assign(vecs)
         order = np.argsort(cell, kind="stable")
         self.vecs, self.ids = vecs[order], [own[i] for i in order.tolist()]
+        self.longest = float(np.sqrt((vecs**2).sum(axis=1).max(initial=0.0)))
         self.cells, first = np.unique(cell[order], return_index=True)
         self.cut = [*first.tolist(), len(order)]
 
@@ -117,7 +113,8 @@ class Block:
 
     def best(self, query_id: int, query: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         least = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k + 1 else -np.inf
-        rows = np.flatnonzero((score >= least - 1e-9) & (score > -np.inf))
+        margin = 4 * len(query) * np.finfo(float).eps * self.longest * np.sqrt((query**2).sum())  # how far two orders of summation can differ
+        rows = np.flatnonzero((score >= least - margin) & (score > -np.inf))
         ids = [self.ids[r] for r in rows.tolist()]
         exact = np.array([(self.vecs[r] * query).sum() for r in rows.tolist()])
         exact = np.repeat(exact, [len(i) for i in ids])
@@ -128,66 +125,90 @@ class Block:
         return ids[top], exact[top]
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, modulo: int = 20, centroids: int = 64, sample_rows: int = 20_000, recall: float = 0.96, least: int = 2_000, block_rows: int = 100_000, query_bytes: int = 32 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def deal(counts: np.ndarray, most: int, least_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each cell and how many blocks it is split into; cells follow each other until a block holds about ``most`` entries."""
+    most = max(1, min(most, -(-int(counts.sum()) // least_blocks)))
+    parts = np.maximum(-(-counts // most), 1)
+    first, block, held = np.zeros(len(counts), np.int64), 0, 0
+    for c, (n, p) in enumerate(zip(counts.tolist(), parts.tolist(), strict=True)):
+        if held and (held + n > most):
+            block, held = block + 1, 0
+        first[c] = block
+        if p > 1:
+            block, held = block + p, 0
+        else:
+            held += n
+    return first, parts
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, modulo: int = 20, centroids: int | None = None, sample_rows: int = 20_000, recall: float = 0.97, block_bytes: int = 32 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each row whose id ``modulo`` divides.
 
-    The centroids are fitted on about ``sample_rows`` vectors (the bound of the index's sample, chosen by
-    the hash of the id); every row is indexed. A query takes cells until they hold a share of the
-    distinct vectors, and ``least`` or all at least; the share is the smallest tenth that finds ``recall``
-    of the nearest within the sample, against brute force. Rows are dealt out by id in blocks of about
-    ``block_rows``; queries reach them in blocks of ``query_bytes`` at most, one pass for each.
-    Vectors that are null, zero, of another size than most, or hold null or non-finite components
+    The centroids, 4 n**(1/4) of each half unless given (1024 at most), are fitted on about ``sample_rows`` vectors (the bound of the
+    index's sample, chosen by the hash of id and vector); every row is indexed. A query takes cells, nearest first, until
+    they hold a share of the entries: the least that finds ``recall`` of the nearest within the sample, against brute
+    force. Cells lie in blocks of about ``block_bytes``, a fuller cell in several; a query travels to the blocks that hold its
+    cells. Vectors that are null, zero, of another size than most, or hold null or non-finite components
     take no part, nor do null ids. Rows that repeat id and vector count once; equal vectors of other
     ids all count, ties to the smaller id. Without candidates a query has no rows.
     """
     spark = vectors.sparkSession
     v = usable(vectors, id_col, vec_col, zero=False)
     dims, n = common_size(v)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = v.where(F.size("vec") == dims)
-    sample = matrix(iter(hash_sample(v, "vec_id", sample_rows, n).toArrow().combine_chunks().to_batches()), dims)[1]
-    if not len(sample):
-        return empty
-    index = MultiIndex(sample, centroids)
-    share = next(s / 10 for s in range(1, 11) if s == 10 or index.recall(sample, s / 10, k) >= recall)
-    blocks = max(spark.sparkContext.defaultParallelism, -(-n // block_rows))
-    dealt = v.repartition(blocks, "vec_id")
+    some = hash_sample(v, ["vec_id", "vec"], sample_rows, n).distinct().limit(2 * sample_rows).toArrow()
+    if not len(some):  # all rows are copies of few
+        some = v.limit(sample_rows).toArrow()
+    sample = columns(some.combine_chunks().to_batches()[0], dims)
+    index = MultiIndex(sample, centroids or min(max(round(4 * n**0.25), 4), 1024))
+    share = index.share(sample, recall, k)
     shared = spark.sparkContext.broadcast(index)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs = matrix(batches, dims)
-        n = np.bincount(shared.value.assign(distinct(ids, vecs, 1)[0]), minlength=shared.value.cells)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["cell", "n"])
-
-    held = [0] * index.cells
-    for r in dealt.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # centroids**2 rows at most
-        held[r.cell] = r.n
-    enough = max(int(share * sum(held)), least, k + 1)
-    counts = spark.sparkContext.broadcast((held, enough))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(shared.value.assign(columns(b, dims)), pa.int64())], ["vec_id", "vec", "cell"])
+
+    celled = v.mapInArrow(assign, "vec_id long, vec array<double>, cell long")
+    counts = np.zeros(index.cells, np.int64)
+    for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row for each cell, centroids**2 at most
+        counts[r.cell] = r.n
+    first, parts = deal(counts, block_bytes // (dims * 8), spark.sparkContext.defaultParallelism)
+    enough = max(int(np.ceil(share * n)), k + 1)
+    plan = spark.sparkContext.broadcast((counts.tolist(), enough, first, parts))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts = plan.value[2:]
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            split = b.column("part").to_numpy() % parts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + split, pa.int32()), b.column("vec_id"), b.column("vec")], ["block", "vec_id", "vec"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, enough, first, parts = plan.value
+        index = shared.value
         for b in batches:
-            q = np.asarray(b.column("vec").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array([shared.value.mask(x, *counts.value) for x in q], pa.binary())], ["vec_id", "vec", "taken"])
-
-    out = None
-    for b in query_blocks(v, modulo, dims, query_bytes, index.cells // 8):
-        t = b.repartition(spark.sparkContext.defaultParallelism).mapInArrow(route, "vec_id long, vec array<double>, taken binary").toArrow().combine_chunks().to_batches()[0]
-        queries = np.asarray(t.column("vec").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
-        block = spark.sparkContext.broadcast((t.column("vec_id").to_numpy(), queries, b"".join(t.column("taken").to_pylist())))
-
-        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, queries, taken = block.value
-            own = Block(shared.value, *matrix(batches, dims), k)
-            if not len(own.vecs):
-                return
-            taken = np.unpackbits(np.frombuffer(taken, np.uint8).reshape(len(ids), -1), axis=1)
-            for i, found, score in own.search(ids, queries, taken, k):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
-
-        part = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return empty if out is None else nearest(out, k)
+            out, of, masks = [], [], []
+            for i, q in enumerate(columns(b, dims)):
+                cells = index.probes(q, counts, enough)
+                bits = np.zeros(index.cells, np.uint8)
+                bits[cells] = 1
+                one, many = np.unique(first[cells[parts[cells] == 1]]), cells[parts[cells] > 1]
+                blocks = np.unique(np.concatenate([one, *(np.arange(first[c], first[c] + parts[c]) for c in many.tolist())]))
+                out.append(blocks)
+                of += [i] * len(blocks)
+                masks += [np.packbits(bits).tobytes()] * len(blocks)
+            own = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else [], pa.int32()), b.column("vec_id").take(own), b.column("vec").take(own), pa.array(masks, pa.binary())], ["block", "vec_id", "vec", "taken"])
+
+    salted = celled.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)))
+    entries = salted.mapInArrow(place, "block int, vec_id long, vec array<double>")
+    queries = queries_of(v, modulo).repartition(spark.sparkContext.defaultParallelism).mapInArrow(route, "block int, vec_id long, vec array<double>, taken binary")
+
+    def search(own: Block, ids: np.ndarray, vecs: np.ndarray, taken: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for s in range(0, len(ids), 256):
+            bits = np.unpackbits(np.frombuffer(b"".join(taken[s : s + 256]), np.uint8).reshape(len(taken[s : s + 256]), -1), axis=1)
+            yield from own.search(ids[s : s + 256], vecs[s : s + 256], bits, k)
+
+    return nearest(search_blocks(entries, queries, dims, lambda ids, vecs: Block(shared.value, ids, vecs, k), search, "double"), k)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellquarry.llm.vectors import common_size, distinct, matrix, nearest, query_blocks, usable
+from cellquarry.llm.vectors import common_size, distinct, nearest, queries_of, search_blocks, usable
 
 
 class SortedLists:
@@ -63,36 +62,26 @@ class SortedLists:
         return ids[best], points[best]
 
 
-def exact_top_k(vectors: DataFrame, k: int = 10, modulo: int = 100, scale: int = 1024, block_rows: int = 50_000, query_bytes: int = 32 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 10, modulo: int = 100, scale: int = 1024, block_bytes: int = 32 << 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products, over floor(scale * component), for each row whose id ``modulo`` divides.
 
-    Rows are dealt out by id in blocks of about ``block_rows``, each with its sorted lists; queries reach
-    them in blocks of ``query_bytes`` at most, one pass for each. Vectors that are null, of another
-    size than most, or hold null or non-finite components take no part, nor do null ids; zero vectors
-    do. Rows that repeat id and vector count once; ties go to the smaller id. Scores are exact while
-    they fit in a long.
+    Rows are dealt out by the hash of id and vector in blocks of about ``block_bytes``, each with its sorted lists; every query
+    travels to every block. Vectors that are null, of another size than most, or hold null or non-finite components
+    take no part, nor do null ids; zero vectors do. Rows that repeat id and vector count once; ties go to the
+    smaller id. Scores are exact while they fit in a long.
     """
     spark = vectors.sparkSession
     v = usable(vectors, id_col, vec_col, zero=True)
     dims, n = common_size(v)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not n:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     v = v.where(F.size("vec") == dims).select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    dealt = v.repartition(max(spark.sparkContext.defaultParallelism, -(-n // block_rows)), "vec_id")
-    out = None
-    for b in query_blocks(v, modulo, dims, query_bytes):
-        block = spark.sparkContext.broadcast(matrix(iter(b.toArrow().combine_chunks().to_batches()), dims))
+    blocks = max(spark.sparkContext.defaultParallelism, -(-n * dims * 8 // block_bytes))
+    entries = v.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)).cast("int"))
+    queries = queries_of(v, modulo).withColumn("taken", F.lit(None).cast("binary")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            own = SortedLists(*matrix(batches, dims), k)
-            if not len(own.rows):
-                return
-            ids, queries = block.value
-            found = [own.search(i, q, k) for i, q in zip(ids.tolist(), queries, strict=True)]
-            of = np.repeat(ids, [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64())], ["query_id", "vec_id", "score"])
+    def search(own: SortedLists, ids: np.ndarray, vecs: np.ndarray, _: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, q in zip(ids.tolist(), vecs, strict=True):
+            yield i, *own.search(i, q, k)
 
-        part = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-        out = part if out is None else out.unionByName(part)
-    return empty if out is None else nearest(out, k)
+    return nearest(search_blocks(entries, queries, dims, lambda ids, vecs: SortedLists(ids, vecs, k), search, "long"), k)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +25,17 @@ def common_size(vectors: DataFrame) -> tuple[int, int]:
     return (found["n"], found["count"]) if found else (0, 0)
 
 
-def matrix(batches: Iterator[pa.RecordBatch], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids and vectors of a partition, rows that repeat both once, by id."""
-    ids, vecs = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
-    for b in batches:
-        ids.append(b.column("vec_id").to_numpy())
-        col = b.column("vec")
-        vecs.append(np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims))
-    ids, vecs = np.concatenate(ids), np.concatenate(vecs)
-    order = np.argsort(ids, kind="stable")
-    ids, vecs = ids[order], vecs[order]
-    for i in np.flatnonzero(np.diff(ids) == 0):  # repeated ids are rare
-        j = i
-        while j >= 0 and ids[j] == ids[i + 1]:
-            if (vecs[j] == vecs[i + 1]).all():
-                ids[j] = np.iinfo(np.int64).min
-            j -= 1
-    keep = ids != np.iinfo(np.int64).min
+def columns(batch: pa.RecordBatch, dims: int, vec: str = "vec") -> np.ndarray:
+    """A batch's vectors as rows of doubles."""
+    return np.asarray(batch.column(vec).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+
+
+def once(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, those that repeat id and vector once."""
+    rows = np.ascontiguousarray(vecs + 0.0).view(np.dtype((np.void, vecs.shape[1] * 8))).ravel()
+    order = np.lexsort((np.unique(rows, return_inverse=True)[1], ids))
+    ids, vecs, rows = ids[order], vecs[order], rows[order]
+    keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])[: len(ids)]
     return ids[keep], vecs[keep]
 
 
@@ -55,13 +50,49 @@ def distinct(ids: np.ndarray, vecs: np.ndarray, most: int) -> tuple[np.ndarray,
     return vecs[one], [ids[order[a : min(b, a + most)]] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def query_blocks(vectors: DataFrame, modulo: int, dims: int, most_bytes: int, extra: int = 0) -> Iterator[DataFrame]:
-    """The queries (ids divisible by ``modulo``; a repeated id counts once, with its least vector) in blocks of about ``most_bytes``."""
-    q = vectors.where((F.col("vec_id") % modulo == 0) & (F.size("vec") == dims)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n = q.count()
-    blocks = max(1, -(-n * ((dims + 1) * 8 + extra) // most_bytes))
-    for b in range(blocks if n else 0):
-        yield q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+def queries_of(vectors: DataFrame, modulo: int) -> DataFrame:
+    """(vec_id, vec) of the ids divisible by ``modulo``; a repeated id counts once, with its least vector."""
+    return vectors.where(F.col("vec_id") % modulo == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
+def search_blocks(entries: DataFrame, queries: DataFrame, dims: int, build: Callable[[np.ndarray, np.ndarray], Any], search: Callable[[Any, np.ndarray, np.ndarray, list], Iterator[tuple[int, np.ndarray, np.ndarray]]], score: str) -> DataFrame:
+    """(query_id, vec_id, score): each block of ``entries`` (block, vec_id, vec) searched for its ``queries`` (block, vec_id, vec, taken binary).
+
+    Both travel to the block's task, which builds its lists from the entries (they come first, and a block is of
+    bounded size) and streams the queries past them; nothing goes through the driver.
+    """
+    both = entries.select("block", F.lit(False).alias("asks"), "vec_id", "vec", F.lit(None).cast("binary").alias("taken")).unionByName(queries.select("block", F.lit(True).alias("asks"), "vec_id", "vec", "taken"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vecs, own, held, full = None, [], [], None, 0, 1 << 16
+        for batch in batches:
+            block, asks, vec_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asks", "vec_id"))
+            vec = columns(batch, dims)
+            cut = np.flatnonzero((block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if a == b:
+                    continue
+                if block[a] != now:
+                    now, ids, vecs, own, held, full = block[a], [], [], None, 0, 1 << 16
+                if not asks[a]:
+                    ids.append(vec_id[a:b])
+                    vecs.append(vec[a:b].copy())
+                    held += b - a
+                    if held >= full:  # rows that repeat don't pile up
+                        x, y = once(np.concatenate(ids), np.concatenate(vecs))
+                        ids, vecs, held, full = [x], [y], len(x), max(full, 2 * len(x))
+                    continue
+                if own is None and ids:
+                    own = build(*once(np.concatenate(ids), np.concatenate(vecs)))
+                    ids, vecs = [], []
+                if own is None:  # a block without entries
+                    continue
+                found = list(search(own, vec_id[a:b], vec[a:b], batch.column("taken").slice(a, b - a).to_pylist()))
+                if found:
+                    of = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"])
+
+    return both.repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
