@@ -14,13 +14,57 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from cellquarry.llm.common import id_text, pieces_of, texts_of
 
 NONE = np.iinfo(np.int32).max
-#: Fixed value: the pre-token pattern of the byte-level vocabulary; white space is spelled out, as the Unicode property has it.
-_S = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+#: The parts of the byte-level vocabulary's pre-token pattern.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def pattern(letter: str, number: str, blank: str, other: str) -> str:
+    """The pre-token pattern over given classes of characters."""
+    return rf"{ENDINGS}| ?{letter}+| ?{number}+| ?{other}+|{blank}+(?={blank}|\Z)|{blank}+"
+
+
+@lru_cache(4)
+def split_patterns(path: str) -> tuple[str, str, str]:
+    """Patterns that part texts as the library does, whatever Unicode version either knows: (usual, characters the usual one mistakes, for texts that have some).
+
+    The library parts a string of all characters; the runs it makes, each tested beside a letter and a digit, give its
+    classes. Characters that the ``regex`` package puts into other classes are few; only texts with them take the exact pattern.
+    """
+    pre_tokenize = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    own = np.zeros(0x110000, np.uint8)  # 1 letter, 2 number, 3 blank, 0 other
+    for _, (a, b) in pre_tokenize(every):
+        first = every[a] if every[a] != " " or b - a == 1 else every[a + 1]
+        kind = next((k for k, probe in ((1, "a"), (2, "1"), (0, "!")) if len(pre_tokenize(probe + first)) == 1), 3)
+        own[ord(every[a]) : ord(every[b - 1]) + 1] = kind
+    own[0x20] = 3
+    known = np.zeros(0x110000, np.uint8)
+    for kind, p in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        for m in regex.finditer(p, every):
+            known[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
+    own[0xD800:0xE000] = known[0xD800:0xE000] = 0
+    blank = "".join(f"\\U{c:08x}" for c in np.flatnonzero(own == 3).tolist())
+    odd = own != known
+
+    def ranges(which: np.ndarray) -> str:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], which, [False]]).astype(np.int8))).reshape(-1, 2)
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.tolist())
+
+    usual = pattern(r"\p{L}", r"\p{N}", f"[{blank}]", rf"[^{blank}\p{{L}}\p{{N}}]")
+    strange = odd & (np.minimum(own, known) + np.maximum(own, known) % 3 > 0)  # blank or other: both are spelled out
+    if not strange.any():
+        return usual, "(?!)", usual
+    s, letters, numbers = ranges(strange), ranges(strange & (own == 1)), ranges(strange & (own == 2))
+    letter = rf"(?:[{letters}]|(?![{s}])\p{{L}})" if letters else rf"(?:(?![{s}])\p{{L}})"
+    number = rf"(?:[{numbers}]|(?![{s}])\p{{N}})" if numbers else rf"(?:(?![{s}])\p{{N}})"
+    rest = ranges(strange & (own == 0))
+    other = rf"(?:[^{blank}\p{{L}}\p{{N}}]|[{rest}])" if rest else rf"[^{blank}\p{{L}}\p{{N}}]"
+    return usual, f"[{s}]", pattern(letter, number, f"[{blank}]", other)
 
 
 def byte_letters() -> list[str]:
@@ -33,7 +77,7 @@ def byte_letters() -> list[str]:
 class Merger:
     """A byte-level BPE vocabulary read from a tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, patterns: tuple[str, str, str]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -43,7 +87,8 @@ class Merger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        self.split = regex.compile(PATTERN).findall
+        usual, strange, exact = map(regex.compile, patterns)
+        self.split = lambda t: (exact if strange.search(t) else usual).findall(t)
         special = [regex.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
         self.known: dict[str, int] = {}
@@ -119,8 +164,8 @@ class Merger:
 
 
 @lru_cache(2)
-def merger(path: str) -> Merger:
-    return Merger(path)
+def merger(path: str, patterns: tuple[str, str, str]) -> Merger:
+    return Merger(path, patterns)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,8 +176,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     executor can open.
     """
 
+    patterns = split_patterns(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(tokenizer_path)
+        m = merger(tokenizer_path, patterns)
         for batch in batches:
             for part in pieces_of(batch):
                 texts = texts_of(part)
