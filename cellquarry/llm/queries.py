@@ -61,7 +61,7 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellquarry.llm.mixture import mix_sources
 
     docs = table(spark, sf_dir, "documents")
-    return mix_sources(docs, source_domain(), MIX_WEIGHTS, share=1.0, most_epochs=2, details=True).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return mix_sources(docs, source_domain(), MIX_WEIGHTS, share=1.0, most_epochs=2, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), details=True).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
