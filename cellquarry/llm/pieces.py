@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,60 @@ class Lattice:
             ids, owner = grown, np.repeat(owner, many)
         return ids, np.bincount(owner, minlength=len(text)), words
 
+    def long_word(self, word: str, key: int, chunk: int = 1 << 16) -> np.ndarray:
+        """Ids of one word too long to hold all its edges: forward by chunks, of which only the totals are kept, and backward by the same chunks.
+
+        ``word`` begins with its mark as \\0, if it has one.
+        """
+        n, width = len(word), self.longest
+        total = np.zeros(n + 1)
+
+        def entering(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Edges into lo + 1 .. hi by end and length, where those of each end begin, and the code points from ``lo`` - ``width``."""
+            at = max(lo - width, 0)
+            raw = word[at:hi]
+            points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            points[points == MARK] = OTHER_MARK
+            points[(points == 0x20) | (points == 0)] = MARK
+            frm, to, piece = self.edges(points, np.full(len(points), len(points)))
+            own = to + at > lo
+            frm, to, piece = frm[own] + at, to[own] + at, piece[own]
+            order = np.argsort((to << 5) | (to - frm))
+            frm, to, piece = frm[order], to[order], piece[order]
+            return frm, to, piece, np.searchsorted(to, np.arange(lo + 1, hi + 2)), points[lo - at :]
+
+        for lo in range(0, n, chunk):
+            hi = min(lo + chunk, n)
+            frm, to, piece, cut, _ = entering(lo, hi)
+            worth, back, ends = self.worth[piece].tolist(), frm.tolist(), cut.tolist()
+            near = {i: float(total[i]) for i in range(max(lo - width, 0), lo + 1)}
+            for i in range(lo + 1, hi + 1):
+                paths = [worth[e] + near[back[e]] for e in range(ends[i - lo - 1], ends[i - lo])]
+                top = max(paths)
+                near[i] = top + log(sum(exp(x - top) for x in paths))
+            total[lo + 1 : hi + 1] = [near[i] for i in range(lo + 1, hi + 1)]
+        out, state, turn, drawn = [], n, 0, []
+        for lo in range((n - 1) // chunk * chunk, -1, -chunk):
+            frm, to, piece, cut, points = entering(lo, min(lo + chunk, n))
+            chance, back, kinds, ends = np.exp(self.worth[piece] + total[frm] - total[to]).tolist(), frm.tolist(), piece.tolist(), cut.tolist()
+            found = []
+            while state > lo:
+                if turn % 4096 == 0:
+                    turns = np.arange(turn, turn + 4096, dtype=U64) * U64(0x9E3779B97F4A7C15)
+                    drawn = ((mix(U64(key) + turns) >> U64(11)).astype(np.float64) * 2.0**-53).tolist()
+                e, last, u = ends[state - lo - 1], ends[state - lo] - 1, drawn[turn % 4096]
+                while e < last and u >= chance[e]:
+                    u -= chance[e]
+                    e += 1
+                if kinds[e] == self.size:
+                    p = int(points[back[e] - lo])
+                    found += self.byte_id[np.frombuffer((chr(p) if p != OTHER_MARK else chr(MARK)).encode("utf-8", "surrogatepass"), np.uint8)].tolist()[::-1]
+                else:
+                    found.append(kinds[e])
+                state, turn = back[e], turn + 1
+            out.append(np.array(found[::-1], np.int32))
+        return np.concatenate(out[::-1])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, blanks before texts included."""
         n = self.raw_size[ids]
@@ -228,13 +283,25 @@ class Lattice:
             for x in (parts, first, keys, base, owner):
                 x.clear()
 
+        def alone(i: int, word: str) -> None:
+            """A long word by itself; what waits goes first."""
+            if parts:
+                flush()
+            got = self.long_word(word, int(mix(U64(seeds[i]) + mix(np.array([bases[i] + 1], U64)))[0]))
+            if self.decode(got) != word.replace("\x00", " ", 1 if word.startswith("\x00") else 0).encode("utf-8", "surrogatepass"):
+                raise ValueError("a text does not decode to itself")
+            ids.append(got)
+            sizes[i] += len(got)
+            bases[i] += 1
+
         for i, t in enumerate(texts):
             at = 0
             while at < len(t):
-                end = min(len(t), at + LONGEST_PART)
-                while end < len(t) and not (t[end] == " " and t[end - 1] != " "):  # parts end where words do
-                    nxt = t.find(" ", end)
-                    end = len(t) if nxt < 0 else nxt + (t[nxt - 1] == " ")
+                end, is_long = word_end(t, at, LONGEST_PART)
+                if is_long:
+                    alone(i, ("\x00" if at == 0 else "") + t[at:end])
+                    held, at = 0, end
+                    continue
                 parts.append(t[at:end])
                 first.append(at == 0)
                 keys.append(seeds[i])
@@ -250,6 +317,20 @@ class Lattice:
         return np.concatenate([*ids, np.zeros(0, np.int32)]), sizes
 
 
+def word_end(t: str, at: int, most: int) -> tuple[int, bool]:
+    """Where a part that begins at ``at`` ends, ``most`` characters on at most and where a word does; (end, True) for a single word longer than that."""
+    if len(t) - at <= most:
+        return len(t), False
+    cut = t.rfind(" ", at + 1, at + most + 1)
+    if cut > at:
+        cut = at + len(t[at:cut].rstrip(" "))  # to the first of the blanks
+        if cut > at:
+            return cut, False
+    end = at + len(t[at:]) - len(t[at:].lstrip(" "))
+    end = t.find(" ", end)
+    return (len(t) if end < 0 else end), True
+
+
 @lru_cache(2)
 def lattice(path: str, alpha: float) -> Lattice:
     return Lattice(path, alpha)
@@ -264,7 +345,8 @@ def encode_pieces(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: in
 
     A piece weighs as its rank to the power -``alpha``; the sample depends on seed, id and text alone. A
     character without a piece is spelt in byte pieces, and so is the blank mark itself. A null text
-    has null pieces (n_pieces 0), an empty one none; a null id counts as 0. Every batch is decoded and
+    has null pieces (n_pieces 0), an empty one none; a null id counts as 0; rows that repeat are sampled alike. A word of any length is held in bounded
+    parts, beside 8 bytes for each of its characters. Every batch is decoded and
     compared before it leaves. With ``keep`` the columns of ``docs`` stay (names that clash are
     dropped from them).
     """
