@@ -22,7 +22,8 @@ BITS = 18
 def indicators(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
     """Sorted distinct hashed features of each text: words, word pairs, 3-grams of bytes and runs of one word.
 
-    A run of 3 to 10 times the same word counts as an n-gram of its length, whatever the word.
+    Beside the n-grams proper stand skeleton n-grams, which tell only that words repeat: a text whose longest run of one word has n words has those
+    of 3, 6, 12 .. n words, whatever the word.
     """
     raw = [t.encode() for t in texts]
     words = Words(raw)
@@ -38,21 +39,19 @@ def indicators(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
         data = np.frombuffer(b, np.uint8).astype(np.uint64)
         tri = mix((data[:-2] << np.uint64(16)) | (data[1:-1] << np.uint64(8)) | data[2:] | np.uint64(1 << 40)) >> shift if len(data) > 2 else data[:0]
         one = single[words.first[i] : words.first[i + 1]]
-        most = min(int(length[words.first[i] : words.first[i + 1]].max(initial=0)), 10)
-        runs = mix(np.arange(3, most + 1, dtype=np.uint64) + np.uint64(1 << 41)) >> shift
+        most = int(length[words.first[i] : words.first[i + 1]].max(initial=0))
+        runs = mix(np.arange((most // 3).bit_length(), dtype=np.uint64) + np.uint64(1 << 41)) >> shift
         out.append(np.unique(np.concatenate([one, runs, pair[pair_first[i] : pair_first[i + 1]], tri])).astype(np.int32))
     return out
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float = 1.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights by hashed feature; the last one is the intercept. One class only: an intercept of its sign."""
+def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by hashed feature, the last one the intercept, and the squares of the log-count ratios. One class only: an intercept of its sign."""
     size, y = 1 << bits, np.where(labels > 0, 1.0, -1.0)
     weight = np.zeros(size + 1)
-    if not len(y):
-        return weight
     if len(set(y.tolist())) < 2:
-        weight[-1] = y[0]
-        return weight
+        weight[-1] = y[0] if len(y) else 0.0
+        return weight, np.zeros(size)
     count = {s: np.ones(size) for s in (1.0, -1.0)}
     for f, s in zip(features, y, strict=True):
         count[s][f] += 1
@@ -77,7 +76,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: flo
             break
     weight[:size] = w * ratio
     weight[-1] = bias
-    return weight
+    return weight, ratio**2
 
 
 def score_texts(texts: list[str], weight: np.ndarray, ratio_norm: np.ndarray, bits: int = BITS) -> list[float]:
@@ -88,16 +87,22 @@ def score_texts(texts: list[str], weight: np.ndarray, ratio_norm: np.ndarray, bi
     return out
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The model, fitted in one task on about ``train_rows`` labelled rows (the bound of the classifier's sample).
+def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, train_bytes: int = 128 << 20, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The model, fitted in one task on labelled rows: ``train_rows`` of them, about, and so many that their features take ``train_bytes`` (the bounds of the classifier's sample).
 
-    Rows with a null id or a quality other than 0 and 1 take no part; of several labels of an id the least
-    counts, and of several texts the least, so that an id that repeats on and on does not outgrow the bound.
+    Rows are taken by the hash of their id. Rows with a null id or a quality other than 0 and 1 take no part; of several labels of an id the least
+    counts, and of several texts the least, so that an id that repeats on and on does not outgrow the bounds.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(crc_mod(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = hash_sample(known, "doc_id", train_rows, known.count())
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # about train_rows ids of 12 bytes
+    own = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id")  # about train_rows ids of 12 bytes
+    sizes = own.groupBy("doc_id", "quality").agg(F.max(F.least(F.coalesce(F.octet_length("text"), F.lit(0)) * 2, F.lit(1 << bits)) * 4).alias("n"))  # bytes of features, at most
+    sized = sizes.orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").collect()  # about train_rows rows
+    upto = np.cumsum([r.n for r in sized])
+    taken = [(r.doc_id, r.quality) for r, n in zip(sized, upto.tolist(), strict=True) if n <= train_bytes]
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int")
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +112,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, y, f) for b in batches for i, y, f in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("f").to_pylist(), strict=True))
-        feats, y = [np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows])
-        weight = fit(feats, y, bits)
-        count = {s: np.ones(1 << bits) for s in (0, 1)}
-        for f, s in zip(feats, y.tolist(), strict=True):
-            count[s][f] += 1
-        ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([(ratio**2).tobytes()], pa.binary())], ["weight", "squares"])
+        weight, squares = fit([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows]), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([squares.tobytes()], pa.binary())], ["weight", "squares"])
 
     model = rows.mapInArrow(features, "doc_id long, y int, f binary").repartition(1).mapInArrow(train, "weight binary, squares binary").collect()[0]
     return np.frombuffer(model.weight), np.frombuffer(model.squares)
@@ -125,7 +125,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
     Learns from labelled rows whose crc32(id) mod 3 is not 1 only. A null text counts as empty and gets
     the intercept's score; without labelled rows every score is 0.5. A null id is not held out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels, train_rows, bits, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels, train_rows, bits=bits, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, squares = shared.value
