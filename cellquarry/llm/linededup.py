@@ -44,7 +44,7 @@ def repeated_positions(docs: DataFrame, size: int) -> DataFrame:
     first = windows.groupBy("h").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     first = written(first)  # the join below then has exchanges of its own, so hot windows can be split
     later = windows.join(first, "h").where(F.struct("id", "mark", "pos") > F.col("first"))
-    return later.groupBy("id", "mark").agg(F.collect_list("pos").alias("positions"))
+    return later.groupBy("id", "mark").agg(F.collect_set("pos").alias("positions"))  # rows that repeat give each place once
 
 
 def dedup_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -38,6 +39,19 @@ def test_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
 
 
+def test_texts_part_as_the_library_parts_them():
+    """Every character beside a letter and a CJK sign, and those the regex package takes otherwise beside all kinds."""
+    patterns = bpecount.split_patterns(BPE)
+    split, library = bpecount.Merger(BPE, patterns).split, Tokenizer.from_file(BPE).pre_tokenizer.pre_tokenize_str
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    strange = [c for c in every if re.match(patterns[1], c)]
+    for form, signs in (("a%s榱", every), *((f, strange) for f in ("%s1", "1%s", " %s", "%s!", "%s%s"))):
+        text = "\n".join(form.replace("%s", c) for c in signs)
+        assert split(text) == [text[a:b] for _, (a, b) in library(text)], form
+    own = Tokenizer.from_file(BPE)
+    assert bpecount.Merger(BPE, patterns).counts(["\U0001dff6\u69b1"]) == [len(own.encode("\U0001dff6\u69b1").ids)]
+
+
 def test_counts_of_nothing_and_repeats(spark):
     assert bpecount.count_tokens(docs(spark, []), BPE).count() == 0
     d = docs(spark, ["one two"])
@@ -99,6 +113,36 @@ def test_long_texts_part_at_words(monkeypatch):
     assert (lat.encode([text], [9])[0] == whole).all()
 
 
+def test_long_words_are_sampled_in_chunks(spark, monkeypatch):
+    """The same pieces whatever the chunk; the same share of segmentations as words in one go; blanks, marks and bytes come back."""
+    lat, rng = pieces.lattice(MODEL, 1.0), random.Random(3)
+    word = "\x00" + "".join(rng.choice("thisngé😀▁") for _ in range(3000))
+    whole = lat.long_word(word, 5)
+    assert all((lat.long_word(word, 5, chunk) == whole).all() for chunk in (37, 1000)) and lat.long_word(word, 6).tolist() != whole.tolist()
+    n, short, long_ = 3000, {}, {}
+    ids, sizes = lat.encode(["this"] * n, [pieces.row_seed(i, 5) for i in range(n)])
+    for k in np.split(ids, np.cumsum(sizes)[:-1]):
+        short[tuple(k.tolist())] = short.get(tuple(k.tolist()), 0) + 1
+    for i in range(n):
+        k = tuple(lat.long_word("\x00this", pieces.row_seed(i, 9)).tolist())
+        long_[k] = long_.get(k, 0) + 1
+    assert all(abs(short.get(k, 0) - long_.get(k, 0)) < 5 * np.sqrt(short.get(k, 0) + long_.get(k, 0) + 1) for k in {*short, *long_})
+    monkeypatch.setattr(pieces, "LONGEST_PART", 40)
+    for t in ("x" * 500, " " * 300 + "a" * 300, "a b " + "é😀▁" * 90 + " c d" * 30 + " " * 100, "short"):
+        ids, size = lat.encode([t, "end"], [1, 2])
+        assert lat.decode(ids[: size[0]]) == (" " + t).encode() and size.sum() == len(ids)
+
+
+def test_pieces_of_odd_rows(spark):
+    d = docs(spark, ["one two", "y" * 600_000])
+    d = d.unionByName(d.where("doc_id = 0")).unionByName(d.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))).withColumns({"pieces": F.lit(1), "n_pieces": F.lit(2)})
+    got = pieces.encode_pieces(d, MODEL, keep=True)
+    assert set(got.columns) == {*d.columns} and got.schema["pieces"].dataType.simpleString() == "array<int>"
+    rows = got.collect()
+    assert sum(r.doc_id is None for r in rows) == 1 and len({tuple(r.pieces) for r in rows if r.doc_id == 0}) == 1 and rows[0].fp == "x"
+    assert {r.text for r in pieces.decode_pieces(got, MODEL).collect()} == {"one two", "y" * 600_000}
+
+
 # ---- line dedup
 
 
@@ -208,6 +252,33 @@ def test_groups_with_null_and_repeated_ids(spark):
     assert sorted(r.doc_id is None for r in simhash.one_of_each(d).collect()) == [False, True]
 
 
+def near_texts(n, words=60, seed=3):
+    """Texts whose fingerprints are a few bits apart from the first, in a chain."""
+    rng = random.Random(seed)
+    out = [[f"w{rng.randrange(500)}" for _ in range(words)]]
+    while len(out) < n:
+        w = [*out[-1]]
+        w[rng.randrange(words)] = f"z{rng.randrange(99)}"
+        if 0 < (slow_print(" ".join(w)) ^ slow_print(" ".join(out[-1]))).bit_count() <= 4:
+            out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_rows_without_an_id_link_and_bridge(spark):
+    texts = near_texts(12)
+    fp = [slow_print(t) for t in texts]
+    i, j, k = next((i, j, k) for i in range(12) for j in range(12) for k in range(12) if (fp[i] ^ fp[j]).bit_count() <= 4 and (fp[j] ^ fp[k]).bit_count() <= 4 < (fp[i] ^ fp[k]).bit_count())
+    d = spark.createDataFrame([(5, texts[i]), (None, texts[j]), (9, texts[k]), (7, "far away from all of these"), (7, texts[k]), (None, "so is this one, on its own")], "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(d).collect()}
+    name = lambda f: f"{f:016x}"
+    assert got[5, name(fp[i])] == got[None, name(fp[j])] == got[9, name(fp[k])] == got[7, name(fp[k])] == 5
+    assert got[7, name(slow_print("far away from all of these"))] == 7 and got[None, name(slow_print("so is this one, on its own"))] is None
+    clash = d.withColumns({"kept_id": F.lit(1), "KEPT_ID_": F.lit(2), "component_id": F.lit(3), "fp": F.lit(4)})
+    kept = simhash.one_of_each(clash).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, texts[j]), (-1, "so is this one, on its own"), (5, texts[i]), (7, min("far away from all of these", texts[k]))])
+    assert kept[0].kept_id == 1 and len(kept[0]) == 6
+
+
 # ---- language, quality
 
 
@@ -230,15 +301,55 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict_language(docs(spark, ["hello"], lang=lambda i: None)).collect()} == {"und"}
 
 
-def test_out_of_place_distance_by_hand():
-    p = langid.Profiles([("a", 10, 0), ("a", 20, 1), ("b", 20, 0), ("b", 30, 1)], 3)
-    ranks = {"a": {10: 0, 20: 1}, "b": {20: 0, 30: 1}}
-    grams = [20, 10, 99]
-    want = {k: sum(abs(i - r[g]) if g in r else 3 for i, g in enumerate(grams)) for k, r in ranks.items()}
-    at = np.minimum(np.searchsorted(p.codes, grams), len(p.codes) - 1)
-    at = np.where(p.codes[at] == grams, at, len(p.codes))
-    got = np.where(p.rank[:, at] < 0, 3, np.abs(p.rank[:, at] - np.arange(3))).sum(axis=1)
-    assert dict(zip(p.names, got.tolist(), strict=True)) == want
+def plain_grams(text):
+    """1- to 3-grams of the lower-cased words between edge marks, as code points."""
+    words, out = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in text.lower())), {}
+    line = "_" + "".join(w + "_" for w in words)
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if g[:1] == "_" == g or (n == 3 and g[1] == "_"):
+                continue
+            code = tuple(map(ord, g)) + (0,) * (3 - n)
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def ranked(counts, size):
+    return sorted(counts, key=lambda c: (-counts[c], c))[:size]
+
+
+def test_language_against_plain_profiles(spark):
+    rng, kinds = random.Random(8), {"en": "etaoin shrdlu", "de": "enisra tdhulß", "fr": "esaitn ruloéè"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice([*kinds])
+        text = " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 25)))
+        rows.append((i, rng.choice([text, text.upper(), text + " 12, é!"]), None if i % 9 == 0 else lang))
+    rows += [rows[3], rows[3], (None, rows[5][1], "de"), (1000, None, "en"), (1001, "ÆØ", "xx"), (1002, "ÆØ", "aa"), (1003, "Æ Ø", None)]
+    size, counts = 20, {}
+    for i, text, lang in rows:
+        if lang and text is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            own = counts.setdefault(lang, {})
+            for g, n in plain_grams(text).items():
+                own[g] = own.get(g, 0) + n
+    rank = {lang: {g: r for r, g in enumerate(ranked(c, size))} for lang, c in counts.items()}
+
+    def predict(text):
+        grams = ranked(plain_grams(text or ""), size)
+        if not grams:
+            return "und", 0.0
+        far = {lang: sum(abs(i - r[g]) if g in r else size for i, g in enumerate(grams)) for lang, r in rank.items()}
+        best = min(sorted(far), key=far.get)
+        return best, 1 - far[best] / (size * len(grams))
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"held_out": F.lit("x"), "code": F.lit(1)})
+    got = langid.predict_language(d, size=size).collect()
+    key = lambda r: (r[0] is None, r[0], r[1])
+    want = sorted(((i, *predict(t)) for i, t, _ in rows), key=key)
+    assert [(r.doc_id, r.lang_pred) for r in sorted(((r) for r in got), key=lambda r: (r.doc_id is None, r.doc_id, r.lang_pred))] == [w[:2] for w in want]
+    assert np.allclose(sorted(r.score for r in got), sorted(w[2] for w in want))
+    assert predict("ÆØ")[0] == "aa"  # two languages with one profile: the name that sorts first
 
 
 def test_quality(spark):
@@ -267,7 +378,7 @@ def test_dual_descent_is_optimal():
     rng = np.random.default_rng(0)
     feats = [np.unique(rng.integers(0, 16, 5)) for _ in range(60)]
     y = np.array([int(3 in f or rng.random() < 0.2) for f in feats])
-    w = quality.fit(feats, y, bits=4, rounds=3000)
+    w, squares = quality.fit(feats, y, bits=4, rounds=3000)
     count = {s: np.ones(16) for s in (0, 1)}
     for f, s in zip(feats, y.tolist(), strict=True):
         count[s][f] += 1
@@ -276,6 +387,7 @@ def test_dual_descent_is_optimal():
     for i, f in enumerate(feats):
         x[i, f] = r[f] / np.sqrt((r[f] ** 2).sum())
         x[i, 16] = 1
+    assert np.allclose(squares, r**2)
     s = np.where(y > 0, 1, -1)
     cost = lambda v: v @ v / 2 + np.maximum(0, 1 - s * (x @ v)).sum()
     own = np.append(np.divide(w[:16], r, out=np.zeros(16), where=r != 0), w[16])
@@ -286,41 +398,111 @@ def test_dual_descent_is_optimal():
 # ---- mixture
 
 
-def test_budgets():
+def plain_spread(budget, weights, room):
+    """Shares by weight; what a child has no room for goes round again among its siblings."""
+    out, open_ = dict.fromkeys(weights, 0.0), {k for k in weights if weights[k] > 0 and room[k] > 0}
+    while open_ and budget > 1e-9:
+        total = sum(weights[k] for k in open_)
+        full = {k for k in open_ if room[k] <= budget * weights[k] / total}
+        if not full:
+            return out | {k: budget * weights[k] / total for k in open_}
+        for k in full:
+            out[k] = room[k]
+            budget -= room[k]
+        open_ -= full
+    return out
+
+
+def plain_budgets(supply, total, weights, epochs):
+    out = {}
+
+    def down(path, budget):
+        if len(path) == 3:
+            out[path] = int(budget + 1e-6)
+            return
+        children = {leaf[: len(path) + 1] for leaf in supply if leaf[: len(path)] == path}
+        room = {c: epochs * sum(n for leaf, n in supply.items() if leaf[: len(c)] == c) for c in children}
+        for c, b in plain_spread(budget, {c: weights.get(c, 1.0) for c in children}, room).items():
+            down(c, b)
+
+    down((), min(total, epochs * sum(supply.values())))
+    return out
+
+
+def tree(spark, supply, share, weights, epochs):
+    d = spark.createDataFrame([(*k, n) for k, n in supply.items()], "d string, l string, s string, n long")
+    return {(r.d, r.l, r.s): r.budget for r in mixture.budgets(d, share, weights, epochs).collect()}
+
+
+def test_budgets(spark):
     supply = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 100, ("b", "x", "4"): 1000}
-    got = mixture.budgets(supply, 200, {}, 1)
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 40, ("a", "y", "3"): 50, ("b", "x", "4"): 100}
-    got = mixture.budgets({("a", "x", "1"): 10, ("a", "y", "3"): 20, ("b", "x", "4"): 1000}, 200, {}, 1)  # nothing left in a: b takes the rest
+    assert tree(spark, supply, 200 / 1210, {}, 1) == {("a", "x", "1"): 10, ("a", "x", "2"): 40, ("a", "y", "3"): 50, ("b", "x", "4"): 100}
+    got = tree(spark, {("a", "x", "1"): 10, ("a", "y", "3"): 20, ("b", "x", "4"): 1000}, 200 / 1030, {}, 1)  # nothing left in a: b takes the rest
     assert got == {("a", "x", "1"): 10, ("a", "y", "3"): 20, ("b", "x", "4"): 170}
-    assert mixture.budgets(supply, 110, {("a",): 10.0}, 1)["b", "x", "4"] == 10
-    assert sum(mixture.budgets(supply, 10**9, {}, 2).values()) == 2 * 1210 and mixture.budgets({}, 5, {}, 1) == {}
+    assert tree(spark, supply, 110 / 1210, {("a",): 10.0}, 1)["b", "x", "4"] == 10
+    assert sum(tree(spark, supply, 10**6, {}, 2).values()) == 2 * 1210 and tree(spark, {}, 5, {}, 1) == {}
+
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 1.7])
+def test_budgets_of_many_leaves(spark, share):
+    rng = random.Random(int(share * 10))
+    supply = {(f"d{rng.randrange(6)}", f"l{rng.randrange(4)}", f"s{i}"): int(10 ** rng.uniform(0, 5)) for i in range(120)}
+    weights = {("d1",): 4.0, ("d2",): 0.0, ("d3", "l1"): 0.2, next(iter(supply)): 9.0}
+    want, got = plain_budgets(supply, share * sum(supply.values()), weights, 2), tree(spark, supply, share, weights, 2)
+    assert {k for k in want if want[k]} <= set(got)
+    assert all(abs(want[k] - b) <= 1 for k, b in got.items())
 
-@pytest.mark.parametrize("share, epochs", [(0.5, 1), (1.0, 2), (3.0, 2)])
-def test_mixture_takes_prefixes(spark, share, epochs):
+
+def order_keys(d, whole, seed=11):
+    """(key, id, hash) of each row in an epoch's order."""
+    key = F.xxhash64(F.lit(seed), F.lit(whole).cast("long"), F.col("doc_id"), F.xxhash64("text"))
+    return {r.doc_id: (r.k, r.doc_id, r.m) for r in d.select("doc_id", key.alias("k"), F.xxhash64("text").alias("m")).collect()}
+
+
+@pytest.mark.parametrize("share, epochs, path", [(0.5, 1, None), (1.0, 2, BPE), (3.0, 2, None)])
+def test_mixture_is_the_prefix_of_a_sorted_scan(spark, share, epochs, path):
     rng = random.Random(7)
     texts = ["w " * rng.randint(0, 30) for _ in range(400)] + [None, ""]
     d = docs(spark, texts, lang=lambda i: None if i % 11 == 0 else "de" if i % 4 else "en", source=lambda i: "src0" if i % 3 else f"src{i % 5}")
-    out = mixture.mix_sources(d, F.col("source"), {("src0",): 2.0}, share, epochs, details=True)
-    got = [r for r in out.collect()]
-    n = {i: len((t or "").split()) for i, t in enumerate(texts)}
+    clash = d.withColumns({c: F.lit("x") for c in ("domain", "n_tokens", "Epoch", "row", "whole", "d", "mark")})
+    got = mixture.mix_sources(clash, F.col("source"), {("src0",): 2.0}, share, epochs, tokenizer_path=path, details=True)
+    assert got.columns == [*d.columns, "row", "whole", "d", "mark", "domain", "n_tokens", "epoch"]
+    got = got.collect()
+    own = Tokenizer.from_file(BPE)
+    n = {i: len(own.encode(t or "").ids) if path else len((t or "").split()) for i, t in enumerate(texts)}
     leaf = {r.doc_id: (r.source, r.lang or mixture.NONE, r.source) for r in d.collect()}
     supply = {}
     for i, k in leaf.items():
         supply[k] = supply.get(k, 0) + n[i]
-    want = mixture.budgets(supply, share * sum(supply.values()), {("src0",): 2.0}, epochs)
-    for k, budget in want.items():
-        own = [(r.doc_id, r.epoch, r.n_tokens) for r in got if leaf[r.doc_id] == k]
-        total = sum(x[2] for x in own)
-        assert len({x[:2] for x in own}) == len(own)
-        assert budget <= total < budget + max([n[i] for i in leaf if leaf[i] == k], default=0) + 1, (k, budget, total)
-        counts = [sum(1 for x in own if x[0] == i) for i in leaf if leaf[i] == k]
-        assert max(counts) - min(counts) <= 1
-    again = mixture.mix_sources(d.repartition(7), F.col("source"), {("src0",): 2.0}, share, epochs, details=True)
-    assert sorted(map(repr, again.collect())) == sorted(map(repr, got))
+    want = set()
+    for k, budget in plain_budgets(supply, share * sum(supply.values()), {("src0",): 2.0}, epochs).items():
+        if not supply[k] or not budget:
+            continue
+        whole, rest = divmod(budget, supply[k])
+        mine = [i for i in leaf if leaf[i] == k]
+        want |= {(i, e) for i in mine for e in range(whole)}
+        held, keys = 0, order_keys(d, whole)
+        for i in sorted(mine, key=keys.get):
+            if held >= rest:
+                break
+            want.add((i, whole))
+            held += n[i]
+    assert {(r.doc_id, r.epoch) for r in got} == want and len(got) == len(want)
+    assert all(r.n_tokens == n[r.doc_id] and r.domain == r.source for r in got)
+    again = mixture.mix_sources(d.repartition(7), F.col("source"), {("src0",): 2.0}, share, epochs, tokenizer_path=path, details=True)
+    assert sorted((r.doc_id, r.epoch) for r in again.collect()) == sorted(want)
     assert mixture.mix_sources(docs(spark, []), F.col("source")).count() == 0
 
 
+def test_mixture_of_equal_rows_keeps_to_its_budget(spark):
+    d = docs(spark, ["ten words " * 5], source=lambda i: "a").crossJoin(spark.range(100)).drop("id").withColumn("n_chars", F.monotonically_increasing_id())
+    d = d.unionByName(d.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string")))
+    for share, rows in ((0.25, 50), (0.004, 2), (1.0, 200)):
+        out = mixture.mix_sources(d, F.lit(None), share=share, most_epochs=3)
+        assert out.count() == rows and out.columns == d.columns
+    assert mixture.mix_sources(d, F.lit(None), share=1.255, most_epochs=3).count() == 252  # 125.5 rows a leaf: the 26th is needed
+
+
 # ---- passages
 
 
@@ -460,3 +642,42 @@ def test_segment_that_is_not_similar_enough_is_parted():
     y[20] = 5000
     got = passages.align(x, y, [[0, 195, 0, 195]], 5, 21, 40, 0.8)
     assert [g[:4] for g in got if g[0] == 0] == [(0, 60, 0, 60)]
+
+
+# ---- rows and columns of all kinds
+
+
+NAMES = ("domain", "epoch", "n_tokens", "kept_id", "bucket", "data", "h", "raw", "row", "key", "n", "m", "mark", "positions", "f", "y", "score", "held_out", "quality", "source_doc_id", "start", "component_id", "pieces", "n_pieces", "n_bytes", "anchors", "number", "group")
+
+
+def operators(spark):
+    labels = spark.createDataFrame([(i, i % 2, "a", "b") for i in range(40)], "doc_id long, quality int, text string, y string")
+    return {
+        "op2": lambda d: passages.repeated_passages(d, least_words=10),
+        "op4": lambda d: pieces.encode_pieces(d, MODEL),
+        "op5": lambda d: quality.score_quality(d, labels),
+        "op5 stage": lambda d: quality.keep_good(d, labels).select("doc_id", "text"),
+        "op6": lambda d: linededup.dedup_lines(d, counts=True).select("doc_id", "text", "n_lines", "n_removed"),
+        "op7": lambda d: mixture.mix_sources(d, F.col("source"), details=True).select("doc_id", F.col("domain").alias("leaf"), F.col("n_tokens").alias("size")),
+        "op8": lambda d: langid.predict_language(d),
+        "op9": lambda d: bpecount.count_tokens(d, BPE),
+        "op10": lambda d: simhash.near_duplicates(d),
+        "op10 stage": lambda d: simhash.one_of_each(d).select("doc_id", "text"),
+    }
+
+
+@pytest.mark.parametrize("name", ["op2", "op4", "op5", "op5 stage", "op6", "op7", "op8", "op9", "op10", "op10 stage"])
+def test_clashing_columns_null_ids_and_repeats(spark, name):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(prose(rng, 4)) for _ in range(5)) for _ in range(10)]
+    texts = [*texts, *texts[:3], texts[0] + "\n" + texts[1], None, "", " \n \n ", "one"]
+    rows = [(i, t, "en" if i % 3 else "de", "src0") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (0, "another text of id 0", None, None), (None, texts[4], "en", "src0"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    run = operators(spark)[name]
+    plain = sorted(map(repr, run(d).collect()))
+    more = d.withColumns({c: F.lit("x") for c in NAMES if name != "op7" or c not in ("domain", "n_tokens", "epoch")})
+    assert sorted(map(repr, run(more.repartition(3)).collect())) == plain
+    assert run(more.limit(0)).count() == 0
+    if name in ("op4", "op5", "op6", "op8", "op9", "op10"):
+        assert len(plain) == len(rows)
