@@ -7,6 +7,7 @@ join customers and suppliers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table, bind_rows
 from cellquarry.plans.indexing import with_row_index
-from cellquarry.sources import readers
+from cellquarry.plans.store import shared_dir
+from cellquarry.sources import readers, writers
+from cellquarry.sources.writers import write_matrix
 from cellquarry.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +56,20 @@ def table(spark: SparkSession, d: str, name: str, index: str = "row_index") -> T
     return Table.read(spark, f"{d}/{name}.parquet", index=index)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def matrix(spark: SparkSession, d: str) -> Matrix:
+    """The stored matrix of a folder's tables: written once in a session, its triplets sorted by cell, and read by every query."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        root = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+        write_matrix(fresh_matrix(spark, d), root, renumber=False)
+        _STORED[key] = root
+    return readers.read_matrix(spark, _STORED[key])
+
+
+def fresh_matrix(spark: SparkSession, d: str) -> Matrix:
     li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").cast("double").alias("value"))
     cells = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("c"), F.col("o_orderkey")).alias("cell_id"))
     feats = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("col_id"), F.concat(F.lit("f"), F.col("p_partkey")).alias("feat_id"))
@@ -200,19 +216,19 @@ def chain_head_then_filter(spark, d):
 
 @query("SELECT c_custkey AS id, 'cust' AS source_id FROM customer UNION ALL SELECT s_suppkey, 'supp' FROM supplier")
 def union_all_rows(spark, d):
-    c = Table(table(spark, d, "customer").frame.selectExpr("c_custkey as id"))
-    return bind_rows([c, Table(table(spark, d, "supplier").frame.selectExpr("s_suppkey as id"))], ["cust", "supp"]).df()
+    c = Table(table(spark, d, "customer").df().selectExpr("c_custkey as id"))
+    return bind_rows([c, Table(table(spark, d, "supplier").df().selectExpr("s_suppkey as id"))], ["cust", "supp"]).df()
 
 
 @query("SELECT c_custkey AS id, c_name AS name, CAST(NULL AS DOUBLE) AS nation FROM customer UNION ALL SELECT s_suppkey, NULL, CAST(s_nationkey AS DOUBLE) FROM supplier")
 def union_missing_cols(spark, d):
-    c = Table(table(spark, d, "customer").frame.selectExpr("c_custkey as id", "c_name as name"))
-    return bind_rows([c, Table(table(spark, d, "supplier").frame.selectExpr("s_suppkey as id", "cast(s_nationkey as double) as nation"))]).df().drop("source_id")
+    c = Table(table(spark, d, "customer").df().selectExpr("c_custkey as id", "c_name as name"))
+    return bind_rows([c, Table(table(spark, d, "supplier").df().selectExpr("s_suppkey as id", "cast(s_nationkey as double) as nation"))]).df().drop("source_id")
 
 
 @query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct_ids(spark, d):
-    return table(spark, d, "customer").frame.select(F.col("c_nationkey").alias("nation")).union(table(spark, d, "supplier").frame.select("s_nationkey")).distinct()
+    return table(spark, d, "customer").df().select(F.col("c_nationkey").alias("nation")).union(table(spark, d, "supplier").df().select("s_nationkey")).distinct()
 
 
 # ---- crops and affine verbs
@@ -225,7 +241,7 @@ def crop_aabb(spark, d):
     return S.Spatial.of(point_frame(spark, d)).crop(BOX).df().select("vec_id")
 
 
-@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.05 AND 0.3 AND y BETWEEN -0.1 AND 0.3")
+@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.05 AND 0.15 AND y BETWEEN -0.1 AND 0.1")
 def window_override(spark, d):
     return Table(point_frame(spark, d)).crop(BOX).window((-0.05, 0.3, -0.1, 0.3)).df().select("vec_id")
 
@@ -556,8 +572,7 @@ def page_scores(spark, d):
     return r4(A.page_enrichment(m, sign, reverse_log=False), "zscore")
 
 
-_SMALL = f"(SELECT * FROM {T} WHERE col_id % 40 = 0)"
-_GRAM = f"SELECT a.col_id AS f1, b.col_id AS f2, sum(a.value * b.value) AS g FROM {_SMALL} a JOIN {_SMALL} b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2"
+_GRAM = f"SELECT a.col_id AS f1, b.col_id AS f2, sum(a.value * b.value) AS g FROM {T} a JOIN {T} b ON a.row_id = b.row_id AND a.col_id <= b.col_id GROUP BY 1, 2"
 
 
 @query(_GRAM)
@@ -565,7 +580,7 @@ def gram_matrix(spark, d):
     return A.gram(matrix(spark, d))
 
 
-@query(f"WITH s AS (SELECT col_id, sum(value) AS s, sum(value * value) - sum(value) * sum(value) / n AS d, n FROM {_SMALL}, (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders) GROUP BY col_id, n) SELECT 'f' || f1 AS feat1, 'f' || f2 AS feat2, round((g - a.s * b.s / a.n) / sqrt(a.d * b.d), 4) + 0.0 AS r FROM ({_GRAM}) JOIN s a ON f1 = a.col_id JOIN s b ON f2 = b.col_id WHERE f1 < f2")
+@query(f"WITH s AS (SELECT p_partkey AS col_id, coalesce(sum(value), 0.0) AS s, coalesce(sum(value * value), 0.0) - coalesce(sum(value), 0.0) * coalesce(sum(value), 0.0) / n AS d, n FROM part LEFT JOIN {T} ON p_partkey = col_id, (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders) GROUP BY p_partkey, n) SELECT 'f' || a.col_id AS feat1, 'f' || b.col_id AS feat2, round((coalesce(g, 0.0) - a.s * b.s / a.n) / nullif(sqrt(a.d * b.d), 0), 4) + 0.0 AS r FROM s a JOIN s b ON a.col_id < b.col_id LEFT JOIN ({_GRAM}) ON f1 = a.col_id AND f2 = b.col_id")
 def feat_cor_top(spark, d):
     return r4(A.correlation(matrix(spark, d)), "r")
 
@@ -587,12 +602,14 @@ def hvf_loess(spark, d):
     return A.variable_loess(matrix(spark, d))
 
 
-@query()
-def markers_p_values(spark, d):
-    return A.combine_markers(A.markers(matrix(spark, d), priorities(spark, d)))
+_TOP = f"SELECT col_id, max(value) AS top FROM {T} GROUP BY 1 HAVING max(value) > 0"
+_CUT = f"""WITH m AS ({_TOP}), c AS (SELECT col_id, least(ceil(value * 64 / top) - 1, 63) + 0.5 AS pos, CAST(count(*) AS DOUBLE) AS n FROM {T} JOIN m USING (col_id) WHERE value > 0 GROUP BY 1, 2),
+h AS (SELECT * FROM c UNION ALL SELECT col_id, 0.0, (SELECT count(*) FROM orders) - sum(n) FROM c GROUP BY 1),
+k AS (SELECT col_id, pos, sum(n) OVER w AS cw, sum(n * pos) OVER w AS cs, sum(n) OVER (PARTITION BY col_id) AS tw, sum(n * pos) OVER (PARTITION BY col_id) AS ts, row_number() OVER (PARTITION BY col_id ORDER BY pos DESC) AS back FROM h WINDOW w AS (PARTITION BY col_id ORDER BY pos)),
+b AS (SELECT col_id, arg_max(cs / cw + (ts - cs) / (tw - cw), (cw * (cs / cw) * (cs / cw) + (tw - cw) * ((ts - cs) / (tw - cw)) * ((ts - cs) / (tw - cw)), -pos)) / 2 AS edge FROM k WHERE back > 1 GROUP BY 1)"""
 
 
-@query()
+@query(f"{_CUT} SELECT row_id, col_id, 1.0::DOUBLE AS value FROM {T} JOIN m USING (col_id) JOIN b USING (col_id) WHERE value * (64 / top) > edge")
 def binarize_kmeans(spark, d):
     return A.binarize(matrix(spark, d), "kmeans", bins=64).triplets
 
@@ -842,9 +859,122 @@ def deconvolution_shares(spark, d):
 
 @query()
 def markers_combined(spark, d):
+    """With the p values of Student's t, which SQL lacks; the combinations below take a stand-in for them."""
     return A.combine_markers(A.markers(matrix(spark, d), priorities(spark, d)), "any")
 
 
+_PV = f"(SELECT feat_id, host, target, lfc, -abs(t) AS log_p FROM (SELECT feat_id, host, target, d AS lfc, round(d / sqrt(eh + et), 4) AS t FROM ({_ERR} (SELECT h.feat_id, h.label AS host, t.label AS target, h.n AS hn, h.s AS hs, h.q AS hq, t.n AS tn, t.s AS ts, t.q AS tq FROM {_MOM} h JOIN {_MOM} t ON h.feat_id = t.feat_id AND h.label <> t.label))))"
+
+
+def _combined(kind: str, value: str, place: str) -> None:
+    def run(spark, d):
+        pairs = A.welch(matrix(spark, d), priorities(spark, d)).withColumn("log_p", -F.abs(F.round("t", 4)))
+        return r4(A.combine_markers(pairs, kind), "log_p", "mean_lfc", "log_fdr").select("host", "feat_id", "log_p", "mean_lfc", "top", "log_fdr")
+
+    run.__name__ = f"markers_combined_{kind}"
+    query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY host, target ORDER BY log_p, feat_id) AS rank, count(*) OVER (PARTITION BY host, feat_id) AS n, row_number() OVER (PARTITION BY host, feat_id ORDER BY log_p, target) AS i FROM {_PV}),
+c AS (SELECT host, feat_id, {value} AS log_p, avg(lfc) AS mean_lfc, list_sort(list(rank))[greatest({place}, 1)] AS top FROM r GROUP BY 1, 2),
+f AS (SELECT *, log_p + ln(count(*) OVER (PARTITION BY host) / CAST(row_number() OVER (PARTITION BY host ORDER BY log_p, feat_id) AS DOUBLE)) AS a FROM c)
+SELECT host, feat_id, round(log_p, 4) + 0.0 AS log_p, round(mean_lfc, 4) + 0.0 AS mean_lfc, CAST(top AS INTEGER) AS top, round(least(0.0, min(a) OVER (PARTITION BY host ORDER BY log_p, feat_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) + 0.0 AS log_fdr FROM f""")(run)
+
+
+_combined("any", "min(log_p + ln(n / CAST(i AS DOUBLE)))", "0")
+_combined("some", "max(least(0.0, log_p + ln(CAST(n - i + 1 AS DOUBLE)))) FILTER (i <= ceil(n * 0.5))", "CAST(ceil(count(*) * 0.5) AS INTEGER)")
+_combined("all", "max(log_p)", "count(*)")
+
+
+# ---- chains, stored sources and sinks
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.1 ORDER BY vec_id LIMIT 7")
+def crop_then_head(spark, d):
+    return Table(point_frame(spark, d), "vec_id").crop(BOX).head(7).df().select("vec_id")
+
+
+@query(f"SELECT DISTINCT label FROM {P} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.1")
+def crop_then_unique(spark, d):
+    return Table(point_frame(spark, d), "vec_id").crop(BOX).select("label").unique().df().select("label")
+
+
+@query(f"WITH p AS (SELECT vec_id FROM {P} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.1), k AS (SELECT CAST(ceil(count(*) / 5.0) AS BIGINT) AS k, count(*) AS n FROM p) SELECT vec_id FROM p, k WHERE n <= 5 OR (vec_id - 1) % k = 0")
+def crop_then_sample(spark, d):
+    return Table(point_frame(spark, d), "vec_id").row_sample(5).crop(BOX).df().select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE (x BETWEEN -0.2 AND 0.1 AND y BETWEEN -0.2 AND 0.1) OR (x BETWEEN -0.05 AND 0.3 AND y BETWEEN -0.1 AND 0.3)")
+def relate_union(spark, d):
+    """Points in either of two squares that overlap."""
+    p = S.points(point_frame(spark, d).withColumnsRenamed({"x_index": "x", "y_index": "y"}), id_col="vec_id")
+    return S.Spatial.of(p).relate(["POLYGON((-0.2 -0.2, 0.1 -0.2, 0.1 0.1, -0.2 0.1))", "POLYGON((-0.05 -0.1, 0.3 -0.1, 0.3 0.3, -0.05 0.3))"]).df().select("vec_id")
+
+
+@query(f"SELECT vec_id FROM {P} SEMI JOIN {B} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def relate_table(spark, d):
+    """Points that meet any of the labels' rectangles, which overlap."""
+    p = S.points(point_frame(spark, d).withColumnsRenamed({"x_index": "x", "y_index": "y"}), id_col="vec_id")
+    return S.Spatial.of(p).relate(box_frame(spark, d)).df().select("vec_id")
+
+
+@query(f"SELECT poly AS \"poly_ID\", vec_id % 7 AS \"feat_ID\", 1 + label AS count, CAST(label AS INTEGER) AS pt_tile_index, CAST(vec_id AS INTEGER) AS pt_row_index FROM {B} JOIN {P} ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def overlap_row_keys(spark, d):
+    """Points that repeat their feature keep their own keys and counts."""
+    p = point_frame(spark, d).select((F.col("vec_id") % 7).alias("feat_ID"), (1 + F.col("label")).alias("count"), F.col("label").alias("tile_index"), F.col("vec_id").alias("row_index"), "x_index", "y_index")
+    return S.overlap(box_frame(spark, d), p)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT x.row_id, f.col_id, t.value FROM {T} t JOIN (SELECT dense_rank() OVER (ORDER BY row_id) AS row_id, row_id AS r FROM {C}) x ON x.r = t.row_id JOIN (SELECT dense_rank() OVER (ORDER BY col_id) AS col_id, col_id AS c FROM {FE}) f ON f.c = t.col_id")
+def matrix_market_roundtrip(spark, d):
+    """Written as MatrixMarket and read again; both numberings follow the order of the ids."""
+    root = _folder(spark)
+    writers.write_market(fresh_matrix(spark, d), root)
+    writers.market_file(spark, root)
+    return readers.matrix_market(spark, f"{root}/matrix.mtx", f"{root}/barcodes", f"{root}/features").triplets
+
+
+@query(f"SELECT cell_id, feat_id, value FROM {T} JOIN {C} USING (row_id) JOIN {FE} USING (col_id) WHERE row_id BETWEEN 100 AND 900")
+def matrix_stored_range(spark, d):
+    """A range of cells of a stored matrix: a predicate on the sorted key."""
+    m = matrix(spark, d)
+    return m.subset(cells=m.cells.where("row_id between 100 and 900").select("cell_id")).named()
+
+
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS row_index, 'aaaa' AS source_id FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey DESC), 'bbbb' FROM orders WHERE o_orderstatus = 'F'")
+def table_stored(spark, d):
+    """Two sources written under one root and read as one table."""
+    root, o = _folder(spark), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    writers.write_table(o, root, "aaaa", ["o_orderkey"])
+    writers.write_table(o.where("o_orderstatus = 'F'"), root, "bbbb", [F.desc("o_orderkey")])
+    return Table.read(spark, root).df()
+
+
+@query("SELECT a.o_orderkey AS from_id, a.o_orderkey + 5 AS to_id, 1.0::DOUBLE AS weight FROM orders a WHERE a.o_orderkey + 5 IN (SELECT o_orderkey FROM orders) AND a.o_orderkey % 2 = 0")
+def graph_stored(spark, d):
+    root, o = _folder(spark), spark.read.parquet(f"{d}/orders.parquet")
+    e = o.select(F.col("o_orderkey").alias("from_id"), (F.col("o_orderkey") + 5).alias("to_id"))
+    e = e.join(o, F.col("to_id") == F.col("o_orderkey"), "left_semi")
+    writers.write_graph(Graph.of(e, o.select(F.col("o_orderkey").alias("node_id"))), root)
+    return readers.read_graph(spark, root).edges.where("from_id % 2 = 0").select("from_id", "to_id", "weight")
+
+
+@query(f"SELECT i AS \"from\", j AS \"to\", w AS weight FROM (SELECT dense_rank() OVER (ORDER BY node) AS i, node AS a FROM {N}) JOIN {E} USING (a) JOIN (SELECT dense_rank() OVER (ORDER BY node) AS j, node AS b FROM {N}) USING (b)")
+def graph_materialised(spark, d):
+    """Edges by dense numbers of all nodes."""
+    g = graph(spark, d)
+    return Graph(g.edges, g.nodes, picked=g.nodes).materialise()[1]
+
+
+@query("SELECT a.o_orderpriority || '-' || a.o_orderkey AS from_id, b.o_orderpriority || '-' || b.o_orderkey AS to_id FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 5")
+def graph_relabelled(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    e = o.select(F.col("o_orderkey").alias("from_id"), (F.col("o_orderkey") + 5).alias("to_id")).join(o, F.col("to_id") == F.col("o_orderkey"), "left_semi")
+    names = o.select(F.col("o_orderkey").alias("node_id"), F.concat_ws("-", "o_orderpriority", "o_orderkey").alias("name"))
+    return Graph.of(e, o.select(F.col("o_orderkey").alias("node_id"))).relabel(names).edges.select("from_id", "to_id")
+
+
 # ---- streams (extension)
 
 

@@ -56,34 +56,43 @@ def log_simes(logp: np.ndarray) -> float:
     return float(np.min(own + np.log(len(own) / np.arange(1, len(own) + 1)))) if len(own) else float("nan")
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, knots: int = 257) -> np.ndarray:
-    """Local regression with tricube weights, fitted at every x; beyond 1000 points at quantiles of x, with cubics between them."""
+def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, at: np.ndarray | None = None) -> np.ndarray:
+    """Local regression with tricube weights, fitted at every x, or at the places ``at``."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     k = max(min(int(np.floor(n * span + 1e-9)), n), min(degree + 1, n))
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
-    at = xs if n <= 1000 else np.unique(np.quantile(xs, np.linspace(0, 1, knots)))
-    fit, lo = np.empty((len(at), 2)), 0
-    for i, v in enumerate(at):
+    places = x if at is None else np.asarray(at, float)
+    where, lo, out = np.argsort(places, kind="stable"), 0, np.empty(len(places))
+    for i in where.tolist():
+        v = places[i]
         while lo + k < n and xs[lo + k] - v < v - xs[lo]:
             lo += 1
         own = slice(lo, lo + k)
         far = max(v - xs[lo], xs[lo + k - 1] - v) * max(span, 1.0)
         dist = xs[own] - v
         w = np.clip(1 - (np.abs(dist) / far if far > 0 else np.zeros(k)) ** 3, 0, None) ** 3
-        basis = np.vander(dist, degree + 1, increasing=True)
-        normal = basis.T @ (basis * w[:, None])
-        fit[i] = np.linalg.lstsq(normal, basis.T @ (w * ys[own]), rcond=None)[0][:2] if degree else (np.average(ys[own], weights=w), 0.0)
-    out = np.empty(n)
-    if n <= 1000:
-        out[order] = fit[:, 0]
-        return out
-    j = np.clip(np.searchsorted(at, x, side="right") - 1, 0, len(at) - 2)
-    h = at[j + 1] - at[j]
-    t = (x - at[j]) / h
-    (f0, d0), (f1, d1) = fit[j].T, fit[j + 1].T
-    return f0 * (1 + 2 * t) * (1 - t) ** 2 + d0 * h * t * (1 - t) ** 2 + f1 * t * t * (3 - 2 * t) + d1 * h * t * t * (t - 1)
+        if not degree:
+            out[i] = np.average(ys[own], weights=w)
+            continue
+        unit = dist / (far if far > 0 else 1.0)
+        basis = np.vander(unit, degree + 1, increasing=True)
+        weighted = basis * w[:, None]
+        out[i] = np.linalg.lstsq(basis.T @ weighted, weighted.T @ ys[own], rcond=None)[0][0]
+    return out
+
+
+def damped_shares(a: np.ndarray, b: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Non-negative weights of a's columns that make up b, by damped weighted least squares, scaled to 1."""
+    x = nnls(a, b)
+    for _ in range(rounds):
+        w = 1 / np.maximum(a @ x, 1e-3)
+        w = np.minimum(w / w.min(), 100.0)
+        old, x = x, nnls(a * w[:, None], b * w)
+        if np.abs(x - old).max(initial=0) < 1e-6:
+            break
+    return x / x.sum() if x.sum() > 0 else x
 
 
 def two_means_cut(position: np.ndarray, weight: np.ndarray) -> float:

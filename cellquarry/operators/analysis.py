@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import log
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ from cellquarry.functions import stats as S
 from cellquarry.operators.matrix import Matrix
 from cellquarry.plans.rules import small
 
+if TYPE_CHECKING:
+    from cellquarry.operators.graph import Graph
+
 NAN = float("nan")
 
 # ---- variable features
@@ -31,15 +35,24 @@ def base_stats(m: Matrix, threshold: float = 0.0) -> DataFrame:
     return out.withColumn("cov", F.coalesce(F.try_divide("sd", "mean_expr"), F.lit(NAN)))
 
 
-def variable_loess(m: Matrix, span: float = 0.75) -> DataFrame:
-    """Residuals of cov ~ log(mean) by local regression, largest first; one row for each feature goes to one task."""
-    own = base_stats(m).where("nr_cells > 0 and mean_expr > 0")
+def variable_loess(m: Matrix, span: float = 0.75, chunk: int = 256) -> DataFrame:
+    """Residuals of cov ~ log(mean) by local regression fitted at every feature, largest first.
+
+    Every task gets all means and covs (16 bytes a feature) and fits ``chunk`` features; features without a mean have no fit.
+    """
+    own = base_stats(m).where("nr_cells > 0 and mean_expr > 0").withColumn("x", F.log("mean_expr"))
+    every = own.agg(F.array_sort(F.collect_list(F.struct("x", "cov"))).alias("p")).select(F.transform("p", lambda e: e["x"]).alias("xs"), F.transform("p", lambda e: e["cov"]).alias("ys"))
+    tasks = every.withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.size("xs") - 1, F.lit(0)), F.lit(chunk)))).where("size(xs) > 0").repartition("first")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(cov_diff=pdf["cov"] - S.loess(np.log(pdf["mean_expr"].to_numpy()), pdf["cov"].to_numpy(), span))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, first in enumerate(b.column("first").to_pylist()):
+                xs, ys = (b.column(c)[i].values.to_numpy() for c in ("xs", "ys"))
+                at = xs[first : first + chunk]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(S.loess(xs, ys, span, at=at))], ["x", "fit"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", cov_diff double"
-    return own.groupBy().applyInPandas(fit, schema).orderBy(F.desc("cov_diff"), "feats")
+    curve = tasks.mapInArrow(fit, "x double, fit double").groupBy("x").agg(F.min("fit").alias("fit"))  # equal means have one fit
+    return own.join(curve, "x").withColumn("cov_diff", F.col("cov") - F.col("fit")).drop("x", "fit").orderBy(F.desc("cov_diff"), "feats")
 
 
 def variable_groups(m: Matrix, n: int = 20) -> DataFrame:
@@ -191,27 +204,31 @@ def rank_enrichment(m: Matrix, sign: DataFrame) -> DataFrame:
     return r.join(sign.join(m.feats, "feat_id").select("col_id", "type").distinct(), "col_id").groupBy("row_id", "type").agg(F.avg("r").alias("score")).join(m.cells, "row_id").select("cell_id", "type", "score")
 
 
-def deconvolve(m: Matrix, signature: DataFrame, block: int = 1000) -> DataFrame:
-    """(cell_id, type, share): non-negative weights of the signature (feat_id, type, value) for each cell, scaled to 1, by damped weighted least squares."""
+def deconvolve(m: Matrix, signature: DataFrame) -> DataFrame:
+    """(cell_id, type, share): non-negative weights of the signature (feat_id, type, value) for each cell, scaled to 1, by damped weighted least squares.
+
+    A cell without values of the signature's features has shares of 0.
+    """
     sig = signature.toPandas().pivot_table(index="feat_id", columns="type", values="value", fill_value=0.0)  # features x types: small by nature
-    feats, types, a = {f: i for i, f in enumerate(sig.index)}, list(sig.columns), sig.to_numpy(float)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.zeros(len(feats))
-        for f, v in zip(pdf["feat_id"], pdf["value"], strict=True):
-            b[feats[f]] = v
-        x = S.nnls(a, b)
-        for _ in range(10):
-            w = 1 / np.maximum(a @ x, 1e-3)
-            w = np.minimum(w / w.min(), 100.0)
-            old, x = x, S.nnls(a * w[:, None], b * w)
-            if np.abs(x - old).max(initial=0) < 1e-6:
-                break
-        x = x / x.sum() if x.sum() > 0 else x
-        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "type": types, "share": x})
-
-    own = m.subset(feats=m.feats.join(signature.select("feat_id").distinct(), "feat_id").select("feat_id"))
-    return own.named().groupBy("cell_id").applyInPandas(run, "cell_id string, type string, share double")
+    names, types, a = sig.index.to_numpy(), list(sig.columns), sig.to_numpy(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("feats")
+            at, value = np.searchsorted(names, lists.flatten().to_pylist()), batch.column("vals").flatten().to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            share = np.zeros((batch.num_rows, len(types)))
+            for i, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if x < y:
+                    b = np.bincount(at[x:y], value[x:y], len(names))
+                    share[i] = S.damped_shares(a, b)
+            cells = batch.column("cell_id").take(pa.array(np.repeat(np.arange(batch.num_rows), len(types))))
+            yield pa.RecordBatch.from_arrays([cells, pa.array(types * batch.num_rows, pa.string()), pa.array(share.ravel())], ["cell_id", "type", "share"])
+
+    own = m.subset(feats=m.feats.join(signature.select("feat_id").distinct(), "feat_id").select("feat_id")).named()
+    lists = own.groupBy("cell_id").agg(F.collect_list("feat_id").alias("feats"), F.collect_list("value").alias("vals"))
+    every = m.cells.select("cell_id").join(lists, "cell_id", "left").select("cell_id", F.coalesce("feats", F.array().cast("array<string>")).alias("feats"), F.coalesce("vals", F.array().cast("array<double>")).alias("vals"))
+    return every.mapInArrow(run, f"cell_id {m.cells.schema['cell_id'].dataType.simpleString()}, type string, share double")
 
 
 # ---- products, correlation, components
@@ -223,11 +240,13 @@ def gram(m: Matrix) -> DataFrame:
     return a.join(b, "row_id").where("f1 <= f2").groupBy("f1", "f2").agg(F.sum(F.col("v1") * F.col("v2")).alias("g"))
 
 
-def correlation(m: Matrix, sparse: bool = False) -> DataFrame:
+def correlation(m: Matrix, sparse: bool = False, network: Graph | None = None, hops: int = 1) -> DataFrame:
     """(feat1, feat2, r): Pearson correlations of all pairs of features, the first with the lesser col_id; null where one does not vary.
 
-    A pair that shares no cell has no product sum and follows from the sums alone; ``sparse`` leaves such pairs out.
+    A pair that shares no cell has no product sum and follows from the sums alone; ``sparse`` leaves such pairs out. With a
+    ``network`` of the cells the values are first smoothed along it.
     """
+    m = network.smooth(m, hops) if network is not None else m
     s = m.accumulate("feat", ["sum", "sumsq"]).crossJoin(F.broadcast(m.n_cells())).select("col_id", "feat_id", (F.col("sum") / F.col("n_cells")).alias("mu"), (F.col("sumsq") - F.col("sum") * F.col("sum") / F.col("n_cells")).alias("d"), "n_cells")
     left = s.select(F.col("col_id").alias("f1"), F.col("feat_id").alias("feat1"), F.col("mu").alias("m1"), F.col("d").alias("d1"), "n_cells")
     right = s.select(F.col("col_id").alias("f2"), F.col("feat_id").alias("feat2"), F.col("mu").alias("m2"), F.col("d").alias("d2"))
@@ -253,21 +272,23 @@ def _moments_by_feature(m: Matrix, scale: bool) -> tuple[list[int], np.ndarray,
     return [x[0] for x in s], mu, sd, n
 
 
-def _block(batch: pa.RecordBatch, at: dict[int, int]) -> tuple[list, np.ndarray]:
-    rows, cols = batch.column("cols").to_pylist(), batch.column("vals").to_pylist()
-    x = np.zeros((len(rows), len(at)))
-    for i, (c, v) in enumerate(zip(rows, cols, strict=True)):
-        x[i, [at[k] for k in c]] = v
+def _block(batch: pa.RecordBatch, feats: np.ndarray) -> tuple[list, np.ndarray]:
+    """Cell names and a cells x features array of a batch of lists; ``feats``: the sorted ids."""
+    cols = batch.column("cols")
+    row = np.repeat(np.arange(batch.num_rows), cols.value_lengths().to_numpy(zero_copy_only=False))
+    x = np.zeros((batch.num_rows, len(feats)))
+    x[row, np.searchsorted(feats, cols.flatten().to_numpy(zero_copy_only=False))] = batch.column("vals").flatten().to_numpy(zero_copy_only=False)
     return batch.column("cell_id").to_pylist(), x
 
 
-def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, scale: bool = True, oversample: int = 10, powers: int = 2, seed: int = 1234, relerr: float = 0.01, most_bytes: float = 5e9) -> dict:
+def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, scale: bool = True, oversample: int = 10, powers: int = 2, seed: int = 1234, relerr: float = 0.01, most_bytes: float = 5e9, feats_to_use: Sequence[str] | DataFrame | None = None, dry_run: bool = False) -> dict:
     """Components of the cells over few thousand features: {"sdev", "loadings" (features x k), "features", "scores" DataFrame}.
 
     gram: eigenvectors of the features' Gram matrix, summed from blocks of cells; random: subspace
     iteration with the same block products; auto: gram where the matrix fits ``most_bytes``. Signs:
-    the largest loading of each component is positive.
+    the largest loading of each component is positive. ``dry_run`` tells method, size and features only.
     """
+    m = m if feats_to_use is None else m.subset(feats=feats_to_use)
     if method in ("exact", "irlba"):
         raise ValueError("a dense decomposition is not offered; use gram or random")
     feats, mu, sd, n = _moments_by_feature(m, scale)
@@ -277,7 +298,9 @@ def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, sca
         method = "gram" if p * p * 8 < most_bytes else "random"
     if ncp >= p:
         ncp = max(p - 1, 1)
-    at = {c: i for i, c in enumerate(feats)}
+    at = np.array(feats, np.int64)
+    if dry_run:
+        return {"method": method, "features": feats, "ncp": ncp, "bytes": 8.0 * p * (p if method == "gram" else ncp + oversample)}
     cells = m.triplets.groupBy("row_id").agg(F.collect_list("col_id").alias("cols"), F.collect_list("value").alias("vals"))
     cells = m.cells.join(cells, "row_id", "left").select("cell_id", F.coalesce("cols", F.array().cast("array<bigint>")).alias("cols"), F.coalesce("vals", F.array().cast("array<double>")).alias("vals")).persist()
 
@@ -330,14 +353,19 @@ def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, sca
 
 
 def binarize(m: Matrix, threshold: float | DataFrame | str = "kmeans", percentage_rank: float = 30.0, bins: int = 1024) -> Matrix:
-    """1 where a value passes: a number, (col_id, w), or a cut per feature from its histogram (kmeans: two means; rank: the top share)."""
+    """1 where a value passes: a number, (col_id, w), or a cut per feature from its histogram (kmeans: two means; rank: the top share).
+
+    A rule's cut is in units of histogram bins, so values are scaled to them before they are compared; a feature without positive values has no cut.
+    """
     if not isinstance(threshold, str):
         return m.compare(">", threshold)
-    h = m.histogram(bins).join(m.feats, "feat_id").join(m.triplets.groupBy("col_id").agg(F.max("value").alias("top")), "col_id").select("col_id", "bin", "n", "n_zero", "top")
+    h = m.histogram(bins).join(m.feats, "feat_id").select("col_id", "bin", "n", "n_zero")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pos, n = np.append(pdf["bin"] + 0.5, 0.0), np.append(pdf["n"], pdf["n_zero"].iloc[0])
         edge = S.two_means_cut(pos, n) if threshold == "kmeans" else S.rank_cut(pos, n, percentage_rank)
-        return pd.DataFrame({"col_id": [pdf["col_id"].iloc[0]], "w": [max(edge, 0.0) * pdf["top"].iloc[0] / bins]})
+        return pd.DataFrame({"col_id": [pdf["col_id"].iloc[0]], "w": [max(edge, 0.0)]})
 
-    return m.compare(">", h.groupBy("col_id").applyInPandas(cut, "col_id long, w double"))
+    top = m.triplets.groupBy("col_id").agg(F.max("value").alias("top")).where("top > 0")
+    scaled = m.multiply(top.select("col_id", (F.lit(float(bins)) / F.col("top")).alias("w")), axis="feat")
+    return scaled.compare(">", h.groupBy("col_id").applyInPandas(cut, "col_id long, w double"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellquarry.operators.matrix import Matrix
+from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.rules import keep_ids
+from cellquarry.plans.store import written
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,24 @@ class Graph:
     def counts(self) -> tuple[int, int]:
         return self.edges.count(), self.vertices().count()
 
+    def materialise(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes (id, node_id), edges (from, to, weight)): the view's vertices numbered 1 .. n in order, selected ones without edges included."""
+        nodes = with_row_index(self.vertices().select("node_id").distinct(), ["node_id"], name="id").select("id", "node_id")
+        own = self.edges.join(nodes.select(F.col("id").alias("from"), F.col("node_id").alias("from_id")), "from_id").join(nodes.select(F.col("id").alias("to"), F.col("node_id").alias("to_id")), "to_id")
+        return nodes, own.select("from", "to", "weight")
+
+    def relabel(self, names: DataFrame) -> Graph:
+        """Node ids replaced by names (node_id, name); edges and nodes without a name are an error."""
+        own = names.select(F.col("node_id").alias("__id"), F.col("name").alias("__name"))
+        if self.nodes.join(own, self.nodes["node_id"] == own["__id"], "left_anti").limit(1).count():
+            raise ValueError("every node needs a name")
+        to = lambda d, c: d.join(own, d[c] == own["__id"]).withColumn(c, F.col("__name")).drop("__id", "__name")
+        return replace(self, edges=to(to(self.edges, "from_id"), "to_id").select("from_id", "to_id", "weight"), nodes=to(self.nodes, "node_id"), picked=to(self.picked, "node_id") if self.picked is not None else None)
+
+    def to_pandas(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Vertices and edges (from, to, weight) as tables on the driver."""
+        return self.vertices().toPandas(), self.edges.select(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "weight").toPandas()
+
     def both_ways(self, loops: float = 0.0, weighted: bool = True) -> DataFrame:
         """(node, other, w) in both directions, with self loops of weight ``loops``."""
         w = F.col("weight") if weighted else F.lit(1.0)
@@ -95,9 +116,10 @@ class Graph:
 
     def edge_products(self, m: Matrix) -> DataFrame:
         """(feat_id, edge_prod): sums over pairs of w * v_a * v_b."""
-        v = m.triplets.join(m.cells, "row_id").select("cell_id", "col_id", "value")
-        a, b = v.select(F.col("cell_id").alias("a"), "col_id", F.col("value").alias("va")), v.select(F.col("cell_id").alias("b"), "col_id", F.col("value").alias("vb"))
-        got = self.pairs().join(a, "a").join(b, ["b", "col_id"]).groupBy("col_id").agg(F.sum(F.col("w") * F.col("va") * F.col("vb")).alias("edge_prod"))
+        ids = m.cells.select("cell_id", "row_id")
+        own = self.pairs().join(ids.withColumnsRenamed({"cell_id": "a", "row_id": "ra"}), "a").join(ids.withColumnsRenamed({"cell_id": "b", "row_id": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "w")  # triplets meet by number, not by name
+        a, b = (m.triplets.select(F.col("row_id").alias(k), "col_id", F.col("value").alias(f"v{k}")) for k in "ab")
+        got = own.join(a, "a").join(b, ["b", "col_id"]).groupBy("col_id").agg(F.sum(F.col("w") * F.col("va") * F.col("vb")).alias("edge_prod"))
         return m.feats.join(got, "col_id", "left").na.fill(0.0, ["edge_prod"]).select("feat_id", "edge_prod")
 
     def edge_statistics(self, m: Matrix) -> tuple[DataFrame, DataFrame]:
@@ -144,23 +166,45 @@ class Graph:
         return replace(m, triplets=t, log_=(*m.log_, "smooth"))
 
     def motifs(self, labels: DataFrame) -> DataFrame:
-        """(motif, labels, n): triangles and open wedges (middle label second) by label, among labelled nodes.
+        """(motif, labels, n): triangles and open wedges (middle label second) by label (node_id, label), among labelled nodes.
 
         Triangles are listed from their end of least degree, so no node lists over sqrt(2 edges) ends.
-        Wedges are counted from each node's neighbours by label, less those that triangles close.
+        Wedges are counted from each node's neighbours by label, less those that triangles close. With a column ``perm`` in the labels
+        the motifs are counted for each of its values.
         """
+        by = ["perm"] if "perm" in labels.columns else []
         p = self.pairs().select("a", "b")
         both = p.union(p.select("b", "a"))
         degree = both.groupBy("a").agg(F.count("*").alias("d"))
         up = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").where(F.struct("d", "a") < F.struct("e", "b")).select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("e", "b").alias("place"))
-        lab = lambda name: labels.select(F.col("node_id").alias(name), F.col("label").alias(f"l{name}"))
+        lab = lambda name: labels.select(F.col("node_id").alias(name), F.col("label").alias(f"l{name}"), *by)
         two = up.join(up.select("x", F.col("y").alias("z"), F.col("place").alias("beyond")), "x").where("place < beyond")
-        tri = two.join(both.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi").join(lab("x"), "x").join(lab("y"), "y").join(lab("z"), "z")
-        tri = tri.groupBy(F.array_sort(F.array("lx", "ly", "lz")).alias("ls")).agg(F.count("*").alias("n"))
-        near = both.select(F.col("a").alias("m"), F.col("b").alias("x")).join(lab("x"), "x").groupBy("m", "lx").agg(F.count("*").alias("c"))
-        pairs = near.join(near.select("m", F.col("lx").alias("ly"), F.col("c").alias("c2")), "m").where("lx <= ly").join(lab("m"), "m")
-        every = pairs.select("lx", "lm", "ly", F.when(F.col("lx") == F.col("ly"), F.expr("c * (c - 1) div 2")).otherwise(F.col("c") * F.col("c2")).alias("n"))
+        closed = two.join(both.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi").select("x", "y", "z")
+        tri = closed.join(lab("x"), "x").join(lab("y"), ["y", *by]).join(lab("z"), ["z", *by])
+        tri = tri.groupBy(*by, F.array_sort(F.array("lx", "ly", "lz")).alias("ls")).agg(F.count("*").alias("n"))
+        near = both.select(F.col("a").alias("m"), F.col("b").alias("x")).join(lab("x"), "x").groupBy("m", *by, "lx").agg(F.count("*").alias("c"))
+        pairs = near.join(near.select("m", *by, F.col("lx").alias("ly"), F.col("c").alias("c2")), ["m", *by]).where("lx <= ly").join(lab("m"), ["m", *by])
+        every = pairs.select(*by, "lx", "lm", "ly", F.when(F.col("lx") == F.col("ly"), F.expr("c * (c - 1) div 2")).otherwise(F.col("c") * F.col("c2")).alias("n"))
         turns = F.explode(F.array(*(F.struct(F.get("ls", F.lit(i)).alias("lx"), F.get("ls", F.lit(m)).alias("lm"), F.get("ls", F.lit(j)).alias("ly")) for i, m, j in ((1, 0, 2), (0, 1, 2), (0, 2, 1)))))
-        closed = tri.select(turns.alias("w"), "n").select("w.*", (-F.col("n")).alias("n"))
-        wedges = every.unionByName(closed).groupBy(F.concat_ws("-", "lx", "lm", "ly").alias("labels")).agg(F.sum("n").alias("n")).where("n > 0")
-        return tri.select(F.lit("triangle").alias("motif"), F.array_join("ls", "-").alias("labels"), "n").unionByName(wedges.select(F.lit("wedge").alias("motif"), "labels", "n"))
+        less = tri.select(*by, turns.alias("w"), "n").select(*by, "w.*", (-F.col("n")).alias("n"))
+        wedges = every.unionByName(less).groupBy(*by, F.concat_ws("-", "lx", "lm", "ly").alias("labels")).agg(F.sum("n").alias("n")).where("n > 0")
+        return tri.select(*by, F.lit("triangle").alias("motif"), F.array_join("ls", "-").alias("labels"), "n").unionByName(wedges.select(*by, F.lit("wedge").alias("motif"), "labels", "n"))
+
+    def motif_enrichment(self, labels: DataFrame, n_perm: int = 100, seed: int = 1234) -> DataFrame:
+        """(motif, labels, n, mean, sd, z, p): counts against those of ``n_perm`` permutations of the labels among the labelled nodes.
+
+        A permutation gives the i-th node the label of the node that is i-th by a seeded hash. p: share of permutations, the
+        observed one among them, with at least as many.
+        """
+        own = written(with_row_index(labels.where("label is not null").select("node_id", "label").distinct(), ["node_id"], name="i").select("i", "node_id", "label"))
+        dealt = own.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+        order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "node_id"), "node_id")
+        turned = dealt.select("perm", "label", F.row_number().over(order).cast("long").alias("i")).join(own.select("i", "node_id"), "i").select("perm", "node_id", "label")
+        counts = self.motifs(turned.unionByName(own.select(F.lit(0).alias("perm"), "node_id", "label")))
+        counts = written(counts)
+        seen = counts.where("perm = 0").select("motif", "labels", F.col("n").alias("observed"))
+        each = counts.where("perm > 0").join(seen, ["motif", "labels"], "full").groupBy("motif", "labels", F.coalesce("observed", F.lit(0)).alias("n"))
+        out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("q"), F.sum((F.col("n") >= F.coalesce("observed", F.lit(0))).cast("int")).alias("above"), F.count("n").alias("k"))
+        mean, zeros = F.col("s") / n_perm, F.when(F.col("n") == 0, n_perm - F.col("k")).otherwise(0)
+        sd = F.sqrt(F.greatest(F.col("q") / n_perm - mean * mean, F.lit(0.0)))
+        return out.select("motif", "labels", "n", mean.alias("mean"), sd.alias("sd"), F.try_divide(F.col("n") - mean, sd).alias("z"), ((F.coalesce("above", F.lit(0)) + zeros + 1) / (n_perm + 1)).alias("p"))

@@ -8,9 +8,11 @@ from functools import reduce
 from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.rules import keep_ids
 
 
@@ -56,30 +58,47 @@ class Matrix:
             if names is None:
                 continue
             own = keep_ids(getattr(out, dim), name, names, negate)
-            if not isinstance(names, DataFrame) and not negate and len(names) <= 1000 and own.count() < len(set(names)):
+            if not isinstance(names, DataFrame) and not negate and own.count() < len(set(names)):
                 raise KeyError(f"unknown {name}")
             ids = own.select(key)
             out = replace(out, **{dim: own, "triplets": keep_ids(out.triplets, key, ids), "raw": keep_ids(out.raw, key, ids)})
         return out
 
     def rename(self, cells: DataFrame | None = None, feats: DataFrame | None = None) -> Matrix:
-        """Other names: (row_id, cell_id) or (col_id, feat_id), one for each id."""
-        return replace(self, cells=self.cells.select("row_id").join(cells, "row_id") if cells is not None else self.cells, feats=self.feats.select("col_id").join(feats, "col_id") if feats is not None else self.feats)
+        """Other names: (row_id, cell_id) or (col_id, feat_id), exactly one for each id."""
+        out = self
+        for names, dim, key, name in ((cells, "cells", "row_id", "cell_id"), (feats, "feats", "col_id", "feat_id")):
+            if names is None:
+                continue
+            own = getattr(self, dim).select(key)
+            n, new = own.count(), own.join(names.select(key, name), key)
+            if new.count() != n or new.where(F.col(name).isNotNull()).select(key).distinct().count() != n:
+                raise ValueError(f"every {key} needs one {name}")
+            out = replace(out, **{dim: new})
+        return out
 
     @staticmethod
     def bind_cells(parts: Sequence[Matrix]) -> Matrix:
-        """Matrices with the same features and disjoint cells, side by side."""
+        """Matrices with the same features and different cells, side by side; where their row ids clash, those of later parts are shifted beyond the ones before."""
         if any(p.log_ or p.transposed for p in parts):
             raise ValueError("bind before transforms and transposition")
-        union = lambda what: reduce(lambda a, b: a.unionByName(b), (getattr(p, what) for p in parts))
-        cells = union("cells")
-        if cells.groupBy("cell_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        union = lambda what, own: reduce(lambda a, b: a.unionByName(b), (getattr(p, what) for p in own))
+        repeats = lambda d, c: d.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+        cells = union("cells", parts)
+        if repeats(cells, "cell_id"):
             raise ValueError("cells repeat")
         first = parts[0].feats
         for p in parts[1:]:
             if first.exceptAll(p.feats).limit(1).count() or p.feats.exceptAll(first).limit(1).count():
                 raise ValueError("features differ")
-        return Matrix(union("triplets"), cells, first, union("raw"))
+        if repeats(cells, "row_id"):
+            shifted, before = [], 0
+            for p in parts:
+                up = lambda d, n=before: d.withColumn("row_id", F.col("row_id") + n)
+                shifted.append(Matrix(up(p.triplets), up(p.cells), p.feats, up(p.raw)))
+                before += (p.cells.agg(F.max("row_id").alias("n")).first()["n"] or 0) + 1
+            parts, cells = shifted, union("cells", shifted)
+        return Matrix(union("triplets", parts), cells, first, union("raw", parts))
 
     def named(self) -> DataFrame:
         """(cell_id, feat_id, value) of the stored entries."""
@@ -97,6 +116,25 @@ class Matrix:
             out[fi[r.col_id], ci[r.row_id]] = r.value
         return (out.T if self.transposed else out), [x[1] for x in f], [x[1] for x in c]
 
+    def csr(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
+        """(indptr, indices, data, cell names, feature names) on the driver, cells as rows, ids in order: for views that fit there."""
+        c, f = (d.orderBy(k).toPandas() for d, k in ((self.cells.select("row_id", "cell_id"), "row_id"), (self.feats.select("col_id", "feat_id"), "col_id")))
+        t = self.triplets.select("row_id", "col_id", "value").toPandas()
+        rows, cols = np.searchsorted(c["row_id"], t["row_id"]), np.searchsorted(f["col_id"], t["col_id"])
+        order = np.lexsort((cols, rows))
+        at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(c)))])
+        return at, cols[order], t["value"].to_numpy(float)[order], c["cell_id"].tolist(), f["feat_id"].tolist()
+
+    @classmethod
+    def from_array(cls, spark: SparkSession, x: np.ndarray, feats: Sequence[str], cells: Sequence[str]) -> Matrix:
+        """A features x cells array on the driver, with names."""
+        if x.shape != (len(feats), len(cells)):
+            raise ValueError("names and array differ in size")
+        f, c = np.nonzero(x)
+        t = spark.createDataFrame(pd.DataFrame({"row_id": c + 1, "col_id": f + 1, "value": x[f, c].astype(float)}), "row_id long, col_id long, value double")
+        dim = lambda names, key, name: spark.createDataFrame([(i + 1, str(n)) for i, n in enumerate(names)], f"{key} long, {name} string")
+        return cls(t, dim(cells, "row_id", "cell_id"), dim(feats, "col_id", "feat_id"), t)
+
     def wide(self, feats: Sequence[str]) -> DataFrame:
         """Few features as columns, every cell a row, zeros filled in."""
         own = self.subset(feats=list(feats)).named().groupBy("cell_id").pivot("feat_id", list(feats)).agg(F.sum("value"))
@@ -193,12 +231,39 @@ class Matrix:
     def group_sizes(self, groups: DataFrame) -> DataFrame:
         return self.cells.join(groups.where("label is not null"), "cell_id").groupBy("label").agg(F.count("*").cast("double").alias("n_cells"))
 
-    def grouped_feat_stats(self, groups: DataFrame, threshold: float = 0.0) -> DataFrame:
-        """Every feature with every label, zeros filled in."""
-        a = self.accumulate("feat", ["sum", "sumsq", "nnz", "sum_det"], threshold, groups=groups).join(self.group_sizes(groups), "label")
-        n, m = F.col("n_cells"), F.col("sum") / F.col("n_cells")
-        var = F.greatest(F.col("sumsq") - n * m * m, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))
-        return a.select(F.col("feat_id").alias("feats"), "label", "n_cells", F.col("sum").alias("total_expr"), m.alias("mean_expr"), "sumsq", F.coalesce(F.sqrt(var), F.lit(float("nan"))).alias("sd"), F.col("nnz").alias("nr_cells"), (F.col("nnz") / n * 100).alias("perc_cells"), F.when(F.col("nnz") > 0, F.try_divide("sum_det", "nnz")).otherwise(F.lit(float("nan"))).alias("mean_expr_det"))
+    def by_position(self, labels: Sequence) -> DataFrame:
+        """(cell_id, label) of labels given in the order of the cells' ids; None for no label."""
+        spark, n = self.cells.sparkSession, self.cells.count()
+        if len(labels) != n:
+            raise ValueError(f"{len(labels)} labels for {n} cells")
+        places = spark.createDataFrame([(i + 1, None if x is None else str(x)) for i, x in enumerate(labels)], "__at long, label string")
+        return with_row_index(self.cells.select("row_id", "cell_id"), ["row_id"], name="__at").join(places, "__at").select("cell_id", "label")
+
+    def grouped_feat_stats(self, groups: DataFrame | Sequence, threshold: float = 0.0, stats: Sequence[str] = ("sum", "sumsq", "nnz", "sum_det")) -> DataFrame:
+        """Every feature with every label, zeros filled in; ``groups`` (cell_id, label), or labels in the order of the cells.
+
+        ``stats`` says which sums to take, and so which columns come: total_expr and mean_expr (sum), sumsq and sd (both), nr_cells and
+        perc_cells (nnz), mean_expr_det (nnz, sum_det). No cell with a label is an error.
+        """
+        if unknown := set(stats) - {"sum", "sumsq", "nnz", "sum_det"}:
+            raise ValueError(f"unknown stats: {sorted(unknown)}")
+        groups = groups if isinstance(groups, DataFrame) else self.by_position(groups)
+        sizes = self.group_sizes(groups)
+        if not sizes.limit(1).count():
+            raise ValueError("no cell has a label")
+        a = self.accumulate("feat", list(stats), threshold, groups=groups).join(sizes, "label")
+        n, m, nan = F.col("n_cells"), F.col("sum") / F.col("n_cells"), F.lit(float("nan"))
+        out = [F.col("feat_id").alias("feats"), "label", "n_cells"]
+        if "sum" in stats:
+            out += [F.col("sum").alias("total_expr"), m.alias("mean_expr")]
+            if "sumsq" in stats:
+                var = F.greatest(F.col("sumsq") - n * m * m, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))
+                out += ["sumsq", F.coalesce(F.sqrt(var), nan).alias("sd")]
+        if "nnz" in stats:
+            out += [F.col("nnz").alias("nr_cells"), (F.col("nnz") / n * 100).alias("perc_cells")]
+            if "sum_det" in stats:
+                out.append(F.when(F.col("nnz") > 0, F.try_divide("sum_det", "nnz")).otherwise(nan).alias("mean_expr_det"))
+        return a.select(*out)
 
     def margins(self, what: str) -> DataFrame:
         """(id, value) for row_sums, col_sums, row_means or col_means; features are rows unless transposed. Null and NaN entries do not count."""

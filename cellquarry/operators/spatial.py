@@ -17,9 +17,11 @@ from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table
 from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.rules import half_planes, inside_box
+from cellquarry.plans.store import forget, written
 
-#: Relations for which a box around the target can be tested first.
+#: Relations for which boxes can be tested first.
 MONOTONE = ("intersects", "touches", "crosses", "overlaps", "within", "contains", "covers", "covered_by")
+RELATIONS = (*MONOTONE, "disjoint")
 
 
 def morton(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
@@ -47,31 +49,53 @@ def points(df: DataFrame, x: str = "x", y: str = "y", id_col: str = "feat_ID") -
     return out.drop(*{x, y} - {"x_index", "y_index"}) if id_col in df.columns else out
 
 
-def polygons(vertices: DataFrame, id_col: str = "poly_ID", x: str = "x", y: str = "y", order: str = "ord", part: str | None = None, split: bool = False) -> DataFrame:
-    """(poly_ID, geom, x_index, y_index, xmin, xmax, ymin, ymax) from vertices; parts make one multipolygon or, ``split``, geometries of their own."""
+def polygons(vertices: DataFrame, id_col: str = "poly_ID", x: str = "x", y: str = "y", order: str = "ord", part: str | None = None, split: bool = False, ring: str | None = None) -> DataFrame:
+    """(poly_ID, geom, x_index, y_index, xmin, xmax, ymin, ymax) from vertices; parts make one multipolygon or, ``split``, geometries of their own.
+
+    ``ring`` numbers the rings of a part; all but the first are holes. Rings of fewer than three different places are left out, and shapes without any other.
+    """
+    if ring:
+        vertices, part = vertices.withColumn("__part", F.struct(*(F.col(c) for c in ([part] if part else [])), F.col(ring))), "__part"
+        name = vertices.schema["__part"].dataType.names
     keys = [id_col, part] if part else [id_col]
     rings = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("v"))
-    if part and split:
-        rings = rings.select(F.format_string("%s-%s", id_col, part).alias("poly_ID"), F.array("v").alias("parts"))
+    if ring:
+        ringed = rings.groupBy(F.col(id_col).alias("poly_ID"), *([F.col(f"__part.{name[0]}").alias("p")] if len(name) > 1 else [F.lit(0).alias("p")])).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"__part.{name[-1]}").alias("r"), "v"))), lambda s: s["v"]).alias("rings"))
+        if split:
+            rings = ringed.select(F.format_string("%s-%s", "poly_ID", "p").alias("poly_ID"), F.array("rings").alias("parts"))
+        else:
+            rings = ringed.groupBy("poly_ID").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "rings"))), lambda s: s["rings"]).alias("parts"))
+    elif part and split:
+        rings = rings.select(F.format_string("%s-%s", id_col, part).alias("poly_ID"), F.array(F.array("v")).alias("parts"))
     elif part:
-        rings = rings.groupBy(F.col(id_col).alias("poly_ID")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), "v"))), lambda s: s["v"]).alias("parts"))
+        rings = rings.groupBy(F.col(id_col).alias("poly_ID")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), "v"))), lambda s: F.array(s["v"])).alias("parts"))
     else:
-        rings = rings.select(F.col(id_col).alias("poly_ID"), F.array("v").alias("parts"))
+        rings = rings.select(F.col(id_col).alias("poly_ID"), F.array(F.array("v")).alias("parts"))
     kind = rings.schema["poly_ID"].dataType.simpleString()
 
     def build(batches):
         for b in batches:
-            out = []
-            for parts in b.column("parts").to_pylist():
-                polys = [[np.array([[p["x"], p["y"]] for p in v])] for v in parts]
-                polys = [[r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in p] for p in polys]
-                out.append((G.wkb_multi(polys), *centre_and_box(polys)))
+            out, kept = [], []
+            for i, parts in enumerate(b.column("parts").to_pylist()):
+                polys = [[np.array([[p["x"], p["y"]] for p in v], float).reshape(-1, 2) for v in rings] for rings in parts]
+                polys = [[ring_of(r) for r in p] for p in polys]
+                polys = [[p[0], *(r for r in p[1:] if len(r) > 2)] for p in polys if len(p[0]) > 2]
+                if polys:
+                    kept.append(i)
+                    out.append((G.wkb_multi(polys), *centre_and_box(polys)))
             cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("poly_ID"), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["poly_ID", "geom", "x_index", "y_index", "xmin", "xmax", "ymin", "ymax"])
+            yield pa.RecordBatch.from_arrays([b.column("poly_ID").take(pa.array(kept, pa.int64())), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["poly_ID", "geom", "x_index", "y_index", "xmin", "xmax", "ymin", "ymax"])
 
     return rings.mapInArrow(build, f"poly_ID {kind}, geom binary, x_index double, y_index double, xmin double, xmax double, ymin double, ymax double")
 
 
+def ring_of(xy: np.ndarray) -> np.ndarray:
+    """A ring without the closing place, places that follow themselves, and those that are not finite."""
+    xy = xy[np.isfinite(xy).all(axis=1)]
+    xy = xy[np.concatenate([[True], (xy[1:] != xy[:-1]).any(axis=1)])[: len(xy)]]
+    return xy[:-1] if len(xy) > 1 and (xy[0] == xy[-1]).all() else xy
+
+
 def centre_and_box(polys: list[G.Rings]) -> tuple[float, ...]:
     xy = np.vstack([r for p in polys for r in p])
     (x0, y0), (x1, y1) = xy.min(axis=0), xy.max(axis=0)
@@ -92,7 +116,7 @@ def vertices(df: DataFrame, id_col: str = "poly_ID") -> DataFrame:
 
 
 def areas(df: DataFrame, id_col: str = "poly_ID") -> DataFrame:
-    """(id, area): planar, holes taken off; the shoelace sum runs in the JVM over the vertex table."""
+    """(id, area): planar, holes taken off; the shoelace sum of each row's rings in a batch function."""
 
     @F.pandas_udf("double")
     def area(g: pd.Series) -> pd.Series:
@@ -175,7 +199,32 @@ class Spatial:
                 return g.map(one, na_action="ignore")
 
             d = d.withColumn("geom", moved("geom"))
-        return d.withColumns({"x_index": x, "y_index": y})
+        d = d.withColumns({"x_index": x, "y_index": y})
+        if "xmin" not in d.columns:
+            return d
+        corner = lambda i, j: F.struct(*((F.col(a) * float(m[0, k]) + F.col(b) * float(m[1, k]) + float(m[k, 2])).alias(n) for k, n, a, b in ((0, "x", i, j), (1, "y", i, j))))
+        d = d.withColumn("__c", F.array(*(corner(i, j) for i in ("xmin", "xmax") for j in ("ymin", "ymax"))))  # the box of the mapped box: it holds the mapped shape
+        sides = {f"{a}{s}": f(F.transform("__c", lambda e, a=a: e[a])) for a in "xy" for s, f in (("min", F.array_min), ("max", F.array_max))}
+        return d.withColumns(sides).drop("__c")
+
+    def centroids(self) -> DataFrame:
+        """The rows as points: mapped places, without shapes."""
+        return self.df().drop("geom", "xmin", "xmax", "ymin", "ymax")
+
+    def to_pandas(self, geom: str = "", include_values: bool = True) -> pd.DataFrame:
+        """Rows without geometry (""), with it as WKB ("wkb"), or a row for each vertex ("XY"), attributes beside it if asked for."""
+        if geom not in ("", "wkb", "XY"):
+            raise ValueError('geom is "", "wkb" or "XY"')
+        d = self.df(geometry=bool(geom))
+        names = [c for c in d.columns if c not in ("geom", "xmin", "xmax", "ymin", "ymax", "x_index", "y_index")]
+        names = names if include_values else [c for c in names if c in ("poly_ID", "feat_ID")][:1]
+        if geom != "XY":
+            return d.select(*names, *(["geom"] if geom else [])).toPandas()
+        d = written(d.withColumn("__key", F.monotonically_increasing_id()))
+        v = vertices(d.select("__key", "geom"), "__key")
+        out = v.join(d.select("__key", *names), "__key").orderBy("__key", "part", "ring", "ord").select(*names, "part", "ring", "x", "y").toPandas()
+        forget(d)
+        return out
 
     # ---- crops
 
@@ -187,29 +236,32 @@ class Spatial:
         outer = (back[:, 0].min(), back[:, 0].max(), back[:, 1].min(), back[:, 1].max())
         out = self.table.crop(tuple(map(float, outer)))
         if np.abs(self.map[[0, 1], [1, 0]]).max() > np.sqrt(np.finfo(float).eps):
-            out = replace(out, frame=out.frame.where(half_planes(F.col("x_index"), F.col("y_index"), [tuple(map(float, c)) for c in back])))
+            out = out.then("turned crop", lambda d: d.where(half_planes(F.col("x_index"), F.col("y_index"), [tuple(map(float, c)) for c in back])))
         return replace(self, table=out)
 
     def subset(self, where: str, **kw) -> Spatial:
         return replace(self, table=self.table.subset(where, **kw))
 
-    # ---- relations to given shapes
+    # ---- relations to other shapes
 
-    def relate(self, shapes: str | Sequence[str], relation: str = "intersects") -> Spatial:
-        """Rows that stand in the relation to the union of WKT shapes (1000 at most)."""
+    def relate(self, shapes: str | Sequence[str] | DataFrame | Spatial, relation: str = "intersects") -> Spatial:
+        """Rows that stand in the relation to the union of WKT shapes (1000 at most), or to any row of another geometry."""
+        if relation not in RELATIONS:
+            raise ValueError(f"no such relation: {relation}")
+        d = self.df(geometry=True)
+        if isinstance(shapes, Spatial | DataFrame):
+            return Spatial.of(related(d, shapes.df(geometry=True) if isinstance(shapes, Spatial) else shapes, relation))
         shapes = [shapes] if isinstance(shapes, str) else list(shapes)
         if not 0 < len(shapes) <= 1000:
             raise ValueError("from 1 to 1000 shapes")
         kinds = [G.read_wkt(s) for s in shapes]
-        target = kinds[0] if len(kinds) == 1 else (G.MULTIPOLYGON, [p for _, ps in kinds for p in ps])
-        xy = np.vstack([r for p in target[1] for r in p])
-        d = self.df(geometry=True)
+        spots = {tuple(p[0][0]) for k, ps in kinds if k == G.POINT for p in ps}
+        areas_ = [p for k, ps in kinds if k != G.POINT for p in ps]
+        if spots and (areas_ or len(spots) > 1):
+            raise ValueError("polygons, or one point")
+        target = kinds[0] if spots else (G.MULTIPOLYGON, areas_)
         if relation in MONOTONE:
-            box = (xy[:, 0].min(), xy[:, 0].max(), xy[:, 1].min(), xy[:, 1].max())
-            if "xmin" in d.columns and self.map is None:
-                d = d.where((F.col("xmax") >= float(box[0])) & (F.col("xmin") <= float(box[1])) & (F.col("ymax") >= float(box[2])) & (F.col("ymin") <= float(box[3])))
-            elif "xmin" not in d.columns:
-                d = d.where(inside_box(F.col("x_index"), F.col("y_index"), box))
+            d = meeting(d, np.vstack([r for p in target[1] for r in p]))
 
         @F.pandas_udf("boolean")
         def holds(g: pd.Series) -> pd.Series:
@@ -283,35 +335,91 @@ def tile_apply(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.groupBy("tile_index").applyInPandas(fn, schema)
 
 
-# ---- the spatial join
+# ---- spatial joins
+
+
+def meeting(df: DataFrame, xy: np.ndarray) -> DataFrame:
+    """Rows whose box (or place) meets the box around given places; rows of unmapped polygons only, as their boxes move with a map."""
+    box = tuple(map(float, (xy[:, 0].min(), xy[:, 0].max(), xy[:, 1].min(), xy[:, 1].max())))
+    if "xmin" not in df.columns:
+        return df.where(inside_box(F.col("x_index"), F.col("y_index"), box)) if "poly_ID" not in df.columns else df
+    return df.where((F.col("xmax") >= box[0]) & (F.col("xmin") <= box[1]) & (F.col("ymax") >= box[2]) & (F.col("ymin") <= box[3]))
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """With xmin, xmax, ymin, ymax, from the geometry where they are not there."""
+    return df if "xmin" in df.columns else with_boxes(df)
+
+
+def levels_of(df: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Adds the level of each box, the power of two that suits its size, and gives the levels that occur (few: powers between the smallest and the largest)."""
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
+    df = df.withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    return df, sorted(r.level for r in df.select("level").distinct().collect())
+
+
+def in_cells(df: DataFrame) -> DataFrame:
+    """A row for each cell (cx, cy) of its level that a box touches: four at most where the level suits its size."""
+    width = F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c: F.floor(F.col(c) / width)
+    out = df.withColumn("cx", F.explode(F.sequence(cell("xmin"), cell("xmax"))))
+    return out.withColumn("cy", F.explode(F.sequence(cell("ymin"), cell("ymax"))))
+
+
+def related(x: DataFrame, y: DataFrame, relation: str) -> DataFrame:
+    """Rows of ``x`` that stand in the relation to any row of ``y``; both have geom.
+
+    Boxes meet by an equi-join on cells of the larger one's level, then the exact test; each pair is tested in one cell.
+    Disjoint from any: not meeting all of them.
+    """
+    x = written(x.withColumn("__key", F.monotonically_increasing_id()))
+    shape = lambda d, s: boxed(d.where("geom is not null")).select(*(F.col(c).alias(s + c) for c in ("__key", "geom") if c in d.columns or c == "geom"), "xmin", "xmax", "ymin", "ymax")
+    a, la = levels_of(shape(x, "a"))
+    b, lb = levels_of(shape(y, "b"))
+    every = sorted({*la, *lb})
+    up = lambda d, s: in_cells(d.withColumnRenamed("level", s + "own").withColumn("level", F.explode(F.filter(F.array(*map(F.lit, every)), lambda v: v >= F.col(s + "own"))))).withColumnsRenamed({c: s + c for c in ("xmin", "xmax", "ymin", "ymax")})
+    if not la or not lb:
+        return x.drop("__key") if relation == "disjoint" and lb else x.drop("__key").limit(0)
+    pairs = up(a, "a").join(up(b, "b"), ["level", "cx", "cy"]).where("level = greatest(aown, bown) and axmin <= bxmax and axmax >= bxmin and aymin <= bymax and aymax >= bymin")
+    width = F.pow(F.lit(2.0), F.col("level"))
+    pairs = pairs.where((F.col("cx") == F.floor(F.greatest("axmin", "bxmin") / width)) & (F.col("cy") == F.floor(F.greatest("aymin", "bymin") / width)))  # the first cell that both touch
+    test = "intersects" if relation == "disjoint" else relation
+
+    @F.pandas_udf("boolean")
+    def holds(g: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([G.relation(G.read_wkb(p), G.read_wkb(q), test) for p, q in zip(g, h, strict=True)], dtype=bool)
+
+    found = pairs.where(holds("ageom", "bgeom")).select(F.col("a__key").alias("__key"))
+    if relation == "disjoint":
+        n = y.where("geom is not null").count()
+        full = found.groupBy("__key").count().where(F.col("count") == n).select("__key")
+        return x.where("geom is not null").join(full, "__key", "left_anti").drop("__key")
+    return x.join(found.distinct(), "__key", "left_semi").drop("__key")
 
 
 def overlap(polys: DataFrame, pts: DataFrame, keep: Sequence[str] = (), poly_id: str = "poly_ID", feat_id: str = "feat_ID") -> DataFrame:
-    """(poly_ID, feat_ID, *keep): points in or on polygons.
+    """(poly_ID, feat_ID, *keep[, count][, pt_tile_index][, pt_row_index]): points in or on polygons.
 
-    Both sides go into square cells and meet by an equi-join on the cell, then by box, then exactly.
-    A polygon takes the level of the cell sizes (powers of two) that suits its own size, so it lies in
-    four cells at most; a point stands in one cell of each level that occurs.
+    ``count`` rides along where the points carry it, and so do their own keys tile_index and row_index (int). Both sides go into square cells
+    and meet by an equi-join on the cell, then by box, then exactly. A polygon takes the level of the cell sizes
+    (powers of two) that suits its own size, so it lies in four cells at most; a point stands in one cell of each level that occurs.
     """
-    boxes = polys if "xmin" in polys.columns else with_boxes(polys)
-    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
-    boxes = boxes.withColumn("level", F.ceil(F.log2(size)).cast("int"))
-    levels = sorted(r.level for r in boxes.select("level").distinct().collect())  # powers of two between the smallest and the largest: few
+    boxes, levels = levels_of(boxed(polys))
+    keep = [*keep, *(c for c in ("count",) if c in pts.columns and c not in (*keep, feat_id))]
+    keys = [F.col(c).cast("int").alias(f"pt_{c}") for c in ("tile_index", "row_index") if c in pts.columns]
+    names = ["poly_ID", "feat_ID", *keep, *(f"pt_{c}" for c in ("tile_index", "row_index") if c in pts.columns)]
+    own = pts.select(F.col(feat_id).alias("feat_ID"), "x_index", "y_index", *keep, *keys)
     if not levels:
-        return pts.select(F.lit(None).cast("string").alias("poly_ID"), F.col(feat_id).alias("feat_ID"), *keep).limit(0)
+        return own.withColumn("poly_ID", F.lit(None).cast(polys.schema[poly_id].dataType)).select(*names).limit(0)
+    left = in_cells(edges_of(boxes).select(F.col(poly_id).alias("poly_ID"), "xmin", "xmax", "ymin", "ymax", "edges", "level"))
     width = F.pow(F.lit(2.0), F.col("level"))
-    cell = lambda c: F.floor(F.col(c) / width)
-    sides = edges_of(boxes)
-    left = sides.select(F.col(poly_id).alias("poly_ID"), "xmin", "xmax", "ymin", "ymax", "edges", "level", F.explode(F.sequence(cell("xmin"), cell("xmax"))).alias("cx"), cell("ymin").alias("y0"), cell("ymax").alias("y1"))
-    left = left.select("*", F.explode(F.sequence("y0", "y1")).alias("cy")).drop("y0", "y1")
-    right = pts.select(F.col(feat_id).alias("feat_ID"), "x_index", "y_index", *keep, F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    right = right.withColumns({"cx": cell("x_index"), "cy": cell("y_index")})
+    right = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"cx": F.floor(F.col("x_index") / width), "cy": F.floor(F.col("y_index") / width)})
     x, y = F.col("x_index"), F.col("y_index")
     near = left.join(right, ["level", "cx", "cy"]).where((x >= F.col("xmin")) & (x <= F.col("xmax")) & (y >= F.col("ymin")) & (y <= F.col("ymax")))
     cross = lambda e: (e["x1"] - e["x0"]) * (y - e["y0"]) - (e["y1"] - e["y0"]) * (x - e["x0"])
     on = F.exists("edges", lambda e: (cross(e) == 0) & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])))
     odd = F.size(F.filter("edges", lambda e: ((e["y0"] > y) != (e["y1"] > y)) & ((cross(e) > 0) == (e["y1"] > e["y0"])))) % 2 == 1
-    return near.where(odd | on).select("poly_ID", "feat_ID", *keep)
+    return near.where(odd | on).select(*names)
 
 
 def with_boxes(polys: DataFrame) -> DataFrame:
@@ -323,21 +431,24 @@ def with_boxes(polys: DataFrame) -> DataFrame:
 
 
 def edges_of(polys: DataFrame) -> DataFrame:
-    """Adds ``edges``: all ring edges as structs, once for each polygon."""
+    """Adds ``edges``: the edges around the union of its parts as structs, once for each polygon."""
     kind = "array<struct<x0 double, y0 double, x1 double, y1 double>>"
 
     @F.pandas_udf(kind)
     def edges(g: pd.Series) -> pd.Series:
-        return g.map(lambda b: [dict(zip(("x0", "y0", "x1", "y1"), map(float, s), strict=True)) for s in G.segments(G.read_wkb(b)[1])])
+        return g.map(lambda b: [dict(zip(("x0", "y0", "x1", "y1"), map(float, s), strict=True)) for s in G.border(G.read_wkb(b)[1])])
 
     return polys.withColumn("edges", edges("geom"))
 
 
-def overlap_matrix(found: DataFrame, cells: DataFrame, feats: DataFrame, count_col: str | None = None) -> Matrix:
-    """Counts (or sums of ``count_col``) by polygon and feature as a matrix over the given ids (cell_id), (feat_id); ids outside drop, ids without rows stay.
+def overlap_matrix(found: DataFrame, cells: DataFrame, feats: DataFrame, count_col: str | bool | None = None) -> Matrix:
+    """Counts by polygon and feature as a matrix over the given ids (cell_id), (feat_id); ids outside drop, ids without rows stay.
 
-    Row and column ids are the ranks of the names in natural order of digits.
+    Sums of ``count_col`` where it is given, or of a column ``count`` where there is one, unless False is passed. Row and
+    column ids are the ranks of the names in natural order of digits.
     """
+    if count_col is None and "count" in found.columns:
+        count_col = "count"
 
     def ranked(d: DataFrame, name: str, key: str) -> DataFrame:
         natural = F.regexp_replace(F.col(name).cast("string"), r"(\d+)", r"0000000000000000000$1")

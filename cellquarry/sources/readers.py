@@ -37,8 +37,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_market(spark: SparkSession, mtx: str, barcodes: str, features: str, feature_id_col: int = 2) -> Matrix:
-    """A MatrixMarket triple (gz or not): 1-based feature, cell, value. Dimensions must agree with the header."""
-    text = spark.read.text(mtx).where("value not like '\\%%'")
+    """A MatrixMarket triple (gz or not): 1-based feature, cell, value. The first line that is no comment is the header, whose dimensions must agree; entries may read like it."""
+    text = spark.read.text(mtx).select(F.trim("value").alias("value")).where("value not like '\\%%' and value != ''")
     part = F.split("value", r"\s+")
     cells = _lines(spark, barcodes).select(F.col("n").alias("row_id"), F.col("value").alias("cell_id"))
     feats = _lines(spark, features).select(F.col("n").alias("col_id"), F.element_at(F.split("value", "\t"), F.least(F.lit(feature_id_col), F.size(F.split("value", "\t")))).alias("feat_id"))
@@ -46,7 +46,9 @@ def matrix_market(spark: SparkSession, mtx: str, barcodes: str, features: str, f
     head = [int(x) for x in text.first()["value"].split()]
     if head[:2] != [feats.count(), cells.count()]:
         raise ValueError("header and names differ in size")
-    own = text.where(F.col("value") != " ".join(map(str, head))) if len(head) == 3 else text
+    line = text.first()["value"]
+    same = text.where(F.col("value") == line)
+    own = text.where(F.col("value") != line).union(spark.range(same.count() - 1).select(F.lit(line)))  # all but one of the lines that equal the header
     t = own.select(part[1].cast("long").alias("row_id"), part[0].cast("long").alias("col_id"), part[2].cast("double").alias("value"))
     return Matrix.of(t, cells, feats)
 

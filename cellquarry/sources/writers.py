@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellquarry.operators.graph import Graph
@@ -83,3 +83,22 @@ def write_market(m: Matrix, root: str) -> None:
     spark.createDataFrame([(x,) for x in head.split("\n")], "value string").coalesce(1).write.text(f"{root}/header")
     r.cells.orderBy("row_id").select(F.col("cell_id").cast("string")).write.text(f"{root}/barcodes")
     r.feats.orderBy("col_id").select(F.col("feat_id").cast("string")).write.text(f"{root}/features")
+
+
+def market_file(spark: SparkSession, root: str) -> str:
+    """Joins header/ and matrix/ of write_market() into one file matrix.mtx, in order, by the file system; returns its path."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{root}/{p}")
+    fs = at("matrix").getFileSystem(conf)
+    parts = [p for folder in ("header", "matrix") for p in sorted(str(f.getPath()) for f in fs.listStatus(at(folder))) if "/part-" in p]
+    out = fs.create(at("matrix.mtx"), True)
+    try:
+        for p in parts:
+            own = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, conf, False)
+            finally:
+                own.close()
+    finally:
+        out.close()
+    return f"{root}/matrix.mtx"
