@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellquarry.llm.common import written
+from cellquarry.llm.common import forget, written
 from cellquarry.llm.linededup import dedup_lines
 from cellquarry.llm.mixture import mix_sources
 from cellquarry.llm.pieces import encode_pieces
@@ -34,12 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, each document once at most, nearer to the target weights."""
-    return mix_sources(docs, source_domain(), MIX_WEIGHTS, share=0.9, most_epochs=1)
+    return mix_sources(docs, source_domain(), MIX_WEIGHTS, share=0.9, most_epochs=1, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of each document."""
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Sampled pieces of each document, beside its own columns."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("source mixture", mixture), ("SentencePiece sampling", encoding)]
@@ -49,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        forget(before)  # the stage has read it; the documents themselves are no written table
     return STAGES[-1][1](spark, docs, sf_dir)
