@@ -74,6 +74,14 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
 class Merger:
     """A byte-level BPE vocabulary read from a tokenizer file."""
 
@@ -88,7 +96,8 @@ class Merger:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
         usual, strange, exact = map(regex.compile, patterns)
-        self.split = lambda t: (exact if strange.search(t) else usual).findall(t)
+        safe = not strange.search("".join(map(chr, range(0x100))))  # then texts of Latin-1 need no search
+        self.split = lambda t: (usual if (safe and is_latin(t)) or not strange.search(t) else exact).findall(t)
         special = [regex.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
         self.known: dict[str, int] = {}
