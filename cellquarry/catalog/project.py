@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import fcntl
 import hashlib
 import json
 import os
@@ -10,7 +11,9 @@ import pickle
 import re
 import shutil
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
+from cellquarry.operators.spatial import Spatial
 from cellquarry.operators.table import Table
 from cellquarry.plans.rules import inside_box, keep_ids
 from cellquarry.sources import readers, writers
@@ -51,7 +55,24 @@ class Project:
     def _load(self) -> dict:
         return json.loads((self.root / "project.json").read_text())
 
+    @contextmanager
+    def _locked(self) -> Iterator[None]:
+        """One process at a time merges edits: the lock is a file of the project's folder."""
+        with open(self.root / ".lock", "a") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            try:
+                yield
+            finally:
+                fcntl.flock(f, fcntl.LOCK_UN)
+
     def consolidate(self) -> dict:
+        """Merges the pending edits, in the order they were made, into the manifest."""
+        if not any(self.pending.glob("*.json")):
+            return self._load()["artifacts"]
+        with self._locked():
+            return self._merge()
+
+    def _merge(self) -> dict:
         data, done = self._load(), []
         for p in sorted(self.pending.glob("*.json")):
             edit = json.loads(p.read_text())
@@ -105,7 +126,10 @@ class Project:
         h = hashlib.sha256()
         for p in sorted(Path(path).rglob("*")):
             if p.is_file() and not p.name.startswith((".", "_")):
-                h.update(p.name.split("-")[0].encode() + p.read_bytes())
+                h.update(p.name.split("-")[0].encode())
+                with p.open("rb") as f:
+                    while block := f.read(1 << 20):
+                        h.update(block)
         return h.hexdigest()
 
     def write(self, what: Table | DataFrame | Matrix | Graph | object, depends: Sequence[str] = (), **fields) -> str:
@@ -225,3 +249,35 @@ def apply_view(ids: DataFrame, target: Matrix | DataFrame, id_col: str = "cell_i
     return target.subset(cells=ids.select("cell_id")) if isinstance(target, Matrix) else keep_ids(target, id_col, ids.select("cell_id"))
 
 
+#: Targets keyed by cell, with the column that holds the cell's id.
+CELL_KEYED = {"cell_meta": "cell_id", "enrichment": "cell_id", "locations": "cell_id", "polygons": "poly_ID"}
+
+
+def resolve_target(kind: str, target: Matrix | DataFrame | Spatial, ids: DataFrame | None, steps: Sequence[Mapping] = (), space: Callable[[Spatial], Spatial] | None = None) -> Matrix | DataFrame | Spatial:
+    """A target as a view shows it.
+
+    expression, cell_meta, enrichment, locations and polygons narrow to the surviving ``ids`` (locations and polygons move into the ``space`` first);
+    points and bin_points are not keyed by cell: crop steps clip them in the output space, other steps pass. Bin points know no space.
+    """
+    if kind == "bin_points" and space:
+        raise ValueError("bin points know no spaces")
+    if kind in ("locations", "polygons", "points") and space:
+        target = space(target if isinstance(target, Spatial) else Spatial.of(target))
+    if kind in ("points", "bin_points"):
+        out = target if isinstance(target, Spatial) else Spatial.of(target)
+        for s in steps:
+            if "crop" in s:
+                out = out.crop(s["crop"])
+            elif "region" in s:
+                out = out.relate(s["region"], s.get("relation", "intersects"))
+        return out
+    if ids is None:
+        return target
+    if kind == "expression":
+        return apply_view(ids, target)
+    if kind not in CELL_KEYED:
+        raise KeyError(f"no such target: {kind}")
+    key = CELL_KEYED[kind]
+    if isinstance(target, Spatial):
+        return replace(target, table=target.table.keep(key, ids.select("cell_id")))
+    return apply_view(ids, target, key)

@@ -16,7 +16,7 @@ from cellquarry.functions import geometry as G
 from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table
 from cellquarry.plans.indexing import with_row_index
-from cellquarry.plans.rules import half_planes, inside_box
+from cellquarry.plans.rules import half_planes, inside_box, intersect_boxes, small, tiles_meeting
 from cellquarry.plans.store import forget, written
 
 #: Relations for which boxes can be tested first.
@@ -131,15 +131,28 @@ class Spatial:
 
     table: Table
     map: np.ndarray | None = None
+    meta: dict | None = None  # of a stored geometry: extent, crs, tiles
 
     @classmethod
-    def of(cls, df: DataFrame) -> Spatial:
-        return cls(Table(df))
+    def of(cls, df: DataFrame, meta: dict | None = None) -> Spatial:
+        return cls(Table(df), meta=meta)
 
     # ---- extents
 
-    def extent(self) -> tuple[float, float, float, float] | None:
-        """xmin, xmax, ymin, ymax of the centroids as they are now."""
+    def extent(self, exact: bool = True) -> tuple[float, float, float, float] | None:
+        """xmin, xmax, ymin, ymax of the centroids as they are now.
+
+        Not ``exact``: from the crop or the stored extent, within an open window, through the map; verbs on rows do not show, and without
+        either the rows are scanned.
+        """
+        known = self.table.view or self.table.box or (tuple(self.meta["extent"]) if self.meta and self.meta.get("extent") else None)
+        if not exact and known:
+            if self.meta and self.meta.get("extent"):
+                known = intersect_boxes(known, tuple(self.meta["extent"]))
+            if self.map is None:
+                return known
+            q = G.apply(self.map, G.corners(known))
+            return tuple(map(float, (q[:, 0].min(), q[:, 0].max(), q[:, 1].min(), q[:, 1].max())))
         d = self.df()
         r = d.agg(F.min("x_index"), F.max("x_index"), F.min("y_index"), F.max("y_index")).first()
         return None if r[0] is None else tuple(r)
@@ -204,7 +217,7 @@ class Spatial:
             return d
         corner = lambda i, j: F.struct(*((F.col(a) * float(m[0, k]) + F.col(b) * float(m[1, k]) + float(m[k, 2])).alias(n) for k, n, a, b in ((0, "x", i, j), (1, "y", i, j))))
         d = d.withColumn("__c", F.array(*(corner(i, j) for i in ("xmin", "xmax") for j in ("ymin", "ymax"))))  # the box of the mapped box: it holds the mapped shape
-        sides = {f"{a}{s}": f(F.transform("__c", lambda e, a=a: e[a])) for a in "xy" for s, f in (("min", F.array_min), ("max", F.array_max))}
+        sides = {f"{a}{s}": f(F.col("__c").getField(a)) for a in "xy" for s, f in (("min", F.array_min), ("max", F.array_max))}
         return d.withColumns(sides).drop("__c")
 
     def centroids(self) -> DataFrame:
@@ -229,16 +242,43 @@ class Spatial:
     # ---- crops
 
     def crop(self, box: tuple[float, float, float, float]) -> Spatial:
-        """Centroids in the box as mapped: the box goes back through the map, so plain comparisons reach the scan; half planes follow if it turned."""
+        """Centroids in the box as mapped: the box goes back through the map, so plain comparisons reach the scan; half planes follow if it turned.
+
+        Of a tiled geometry only the tiles that meet it are read.
+        """
         if self.map is None:
-            return replace(self, table=self.table.crop(box))
-        back = G.apply(G.invert(self.map), G.corners(box))
-        outer = (back[:, 0].min(), back[:, 0].max(), back[:, 1].min(), back[:, 1].max())
-        out = self.table.crop(tuple(map(float, outer)))
-        if np.abs(self.map[[0, 1], [1, 0]]).max() > np.sqrt(np.finfo(float).eps):
+            outer, back = tuple(map(float, box)), None
+        else:
+            back = G.apply(G.invert(self.map), G.corners(box))
+            outer = tuple(map(float, (back[:, 0].min(), back[:, 0].max(), back[:, 1].min(), back[:, 1].max())))
+        out = self.table.crop(outer)
+        if self.meta and self.meta.get("tiles") and "tile_index" in out.frame.columns:
+            tiles = tiles_meeting([tuple(t) for t in self.meta["tiles"]], outer)
+            if back is not None:
+                shape = (G.POLYGON, [[back]])
+                tiles = [t[0] for t in self.meta["tiles"] if t[0] in set(tiles) and G.relation((G.POLYGON, [[G.corners(tuple(t[1:]))]]), shape, "intersects")]
+            out = replace(out, frame=out.frame.where(F.col("tile_index").isin(tiles)))
+        if back is not None and np.abs(self.map[[0, 1], [1, 0]]).max() > np.sqrt(np.finfo(float).eps):
             out = out.then("turned crop", lambda d: d.where(half_planes(F.col("x_index"), F.col("y_index"), [tuple(map(float, c)) for c in back])))
         return replace(self, table=out)
 
+    def window(self, box: tuple[float, float, float, float] | None) -> Spatial:
+        """A crop that can be taken off again; of an unmapped geometry."""
+        if self.map is not None and box:
+            raise ValueError("a window goes before maps")
+        return replace(self, table=self.table.window(box))
+
+    def tile(self, index: int, pad: float = 0.0) -> Spatial:
+        """Rows of one tile of the plan, widened by ``pad`` on all sides."""
+        if not self.meta or not self.meta.get("tiles"):
+            raise ValueError("no tiles are known")
+        plan = [tuple(t) for t in self.meta["tiles"]]
+        one = next(t for t in plan if t[0] == index)
+        if pad:
+            return self.crop((one[1] - pad, one[2] + pad, one[3] - pad, one[4] + pad))
+        whole = (min(t[1] for t in plan), max(t[2] for t in plan), min(t[3] for t in plan), max(t[4] for t in plan))
+        return replace(self, table=replace(self.table, frame=self.table.frame.where(F.col("tile_index") == index)) if "tile_index" in self.table.frame.columns else self.table.then("tile", lambda d: d.where(in_tile(one, whole))))
+
     def subset(self, where: str, **kw) -> Spatial:
         return replace(self, table=self.table.subset(where, **kw))
 
@@ -289,46 +329,103 @@ def tile_threshold(n: int, kind: str = "points") -> float:
     return 5e5 if n <= 5e8 else min(max(n / 1000, 5e5), 5e6)
 
 
-def quadtree(df: DataFrame, threshold: float, box: tuple[float, float, float, float] | None = None, deepest: int = 12) -> list[tuple[int, float, float, float, float]]:
-    """(tile, xmin, xmax, ymin, ymax): quarters that hold ``threshold`` rows at most. One pass counts the finest grid; the driver adds up."""
+def quadtree(df: DataFrame, threshold: float, box: tuple[float, float, float, float] | None = None, step: int = 4, deepest: int = 40, seed: tuple[int, int] = (1, 1)) -> list[tuple[int, float, float, float, float]]:
+    """(tile, xmin, xmax, ymin, ymax): parts of the extent that hold ``threshold`` rows at most, from a grid of ``seed`` columns and rows on by quarters.
+
+    Each pass counts the parts, ``step`` levels down, of those that are too full; the driver sees counts of filled parts of these only. Parts
+    that hold one place over and over stay as they are at the ``deepest`` level.
+    """
     if box is None:
         r = df.agg(F.min("x_index"), F.max("x_index"), F.min("y_index"), F.max("y_index")).first()
         box = tuple(r)
-    n = 1 << deepest
-    place = lambda c, lo, hi: F.least(F.floor((c - lo) / (hi - lo if hi > lo else 1.0) * n), F.lit(n - 1)).cast("int")
-    counts = {(r.i, r.j): r["count"] for r in df.where(inside_box(F.col("x_index"), F.col("y_index"), box)).groupBy(place(F.col("x_index"), box[0], box[1]).alias("i"), place(F.col("y_index"), box[2], box[3]).alias("j")).count().collect()} if threshold < float("inf") else {}
-    levels = [counts]
-    for _ in range(deepest):
-        up: dict[tuple[int, int], int] = {}
-        for (i, j), c in levels[-1].items():
-            up[i >> 1, j >> 1] = up.get((i >> 1, j >> 1), 0) + c
-        levels.append(up)
-    out, todo = [], [(deepest, 0, 0)]
-    while todo:
-        level, i, j = todo.pop()
-        if level and levels[level].get((i, j), 0) > threshold:
-            todo += [(level - 1, 2 * i + a, 2 * j + b) for a in (1, 0) for b in (1, 0)]
-            continue
-        step = 1 << level
-        w, h = (box[1] - box[0]) / n * step, (box[3] - box[2]) / n * step
-        out.append((len(out), box[0] + i * w, box[0] + (i + 1) * w, box[2] + j * h, box[2] + (j + 1) * h))
+        if box[0] is None:
+            return []
+    rows = df.where(inside_box(F.col("x_index"), F.col("y_index"), box)).select("x_index", "y_index")
+    nx, ny = seed
+
+    def place(c: str, lo: float, hi: float, n: int) -> Column:
+        return F.least(F.floor((F.col(c) - lo) / (hi - lo if hi > lo else 1.0) * n), F.lit(n - 1)).cast("long")
+
+    def counted(level: int, only: list[tuple[int, int]] | None) -> dict[tuple[int, int], int]:
+        at = rows.select(place("x_index", box[0], box[1], nx << level).alias("i"), place("y_index", box[2], box[3], ny << level).alias("j"))
+        if only is not None:
+            own = df.sparkSession.createDataFrame(only, "pi long, pj long")
+            at = at.withColumns({"pi": F.shiftright("i", step), "pj": F.shiftright("j", step)}).join(small(own, len(only)), ["pi", "pj"], "left_semi")
+        return {(r.i, r.j): r["count"] for r in at.groupBy("i", "j").count().collect()}
+
+    leaves, level = [], 0
+    full = []
+    counts = counted(0, None) if threshold < float("inf") else {}
+    for i in range(nx):
+        for j in range(ny):
+            (full if counts.get((i, j), 0) > threshold else leaves).append((0, i, j))
+    while full and level < deepest:
+        below = counted(level + step, [(i, j) for _, i, j in full])
+        sums = [below]
+        for _ in range(step):
+            up: dict[tuple[int, int], int] = {}
+            for (i, j), c in sums[-1].items():
+                up[i >> 1, j >> 1] = up.get((i >> 1, j >> 1), 0) + c
+            sums.append(up)
+        todo, full = full, []
+        while todo:
+            at, i, j = todo.pop()
+            if sums[level + step - at].get((i, j), 0) <= threshold:
+                leaves.append((at, i, j))
+            elif at == level + step:
+                full.append((at, i, j))
+            else:
+                todo += [(at + 1, 2 * i + a, 2 * j + b) for a in (0, 1) for b in (0, 1)]
+        level += step
+    leaves += full
+
+    def turn(leaf: tuple[int, int, int]) -> tuple:
+        at, i, j = leaf
+        low = [(i >> (at - k) & 1, j >> (at - k) & 1) for k in range(1, at + 1)]
+        return (i >> at, j >> at, low)
+
+    out = []
+    for n, (at, i, j) in enumerate(sorted(leaves, key=turn)):
+        w, h = (box[1] - box[0]) / (nx << at), (box[3] - box[2]) / (ny << at)
+        edge = lambda k, lo, hi, size, n: hi if k == n else lo + k * size
+        out.append((n, edge(i, box[0], box[1], w, nx << at), edge(i + 1, box[0], box[1], w, nx << at), edge(j, box[2], box[3], h, ny << at), edge(j + 1, box[2], box[3], h, ny << at)))
     return out
 
 
+def seed_grid(box: tuple[float, float, float, float]) -> tuple[int, int]:
+    """Columns and rows of the first tiles: round(long side / short side) * 4 of them, four along the short side's direction shared out so that they are nearly square."""
+    w, h = max(box[1] - box[0], 1e-300), max(box[3] - box[2], 1e-300)
+    ratio = max(round(max(w, h) / min(w, h)), 1)
+    return (2 * ratio, 2) if w >= h else (2, 2 * ratio)
+
+
 def in_tile(tile: tuple[int, float, float, float, float], whole: tuple[float, float, float, float]) -> Column:
     """Left and top edges belong to the tile, right and bottom ones only on the border of the whole."""
     _, x0, x1, y0, y1 = tile
     return inside_box(F.col("x_index"), F.col("y_index"), (x0, x1, y0, y1), (y0 <= whole[2], True, True, x1 >= whole[1]))
 
 
-def tiled(df: DataFrame, plan: Sequence[tuple[int, float, float, float, float]]) -> DataFrame:
-    """Adds tile_index. Few tiles are tested in place, many joined by range."""
+def tiled(df: DataFrame, plan: Sequence[tuple[int, float, float, float, float]], few: int = 64) -> DataFrame:
+    """Adds tile_index. Few tiles are tested in place; more meet the rows by an equi-join on cells of the tiles' sizes, the same test after it."""
     whole = (min(t[1] for t in plan), max(t[2] for t in plan), min(t[3] for t in plan), max(t[4] for t in plan))
-    out = None
-    for t in plan:
-        hit = in_tile(t, whole)
-        out = F.when(hit, F.lit(t[0])) if out is None else out.when(hit, F.lit(t[0]))
-    return df.withColumn("tile_index", out.cast("int"))
+    if len(plan) <= few:
+        out = None
+        for t in plan:
+            hit = in_tile(t, whole)
+            out = F.when(hit, F.lit(t[0])) if out is None else out.when(hit, F.lit(t[0]))
+        return df.withColumn("tile_index", out.cast("int"))
+    spark = df.sparkSession
+    tiles = spark.createDataFrame([(t[0], *map(float, t[1:]), t[3] <= whole[2], t[2] >= whole[1]) for t in plan], "t int, xmin double, xmax double, ymin double, ymax double, bottom boolean, right boolean")
+    cells, levels = levels_of(tiles)
+    cells = in_cells(cells)
+    width = F.pow(F.lit(2.0), F.col("level"))
+    x, y = F.col("x_index"), F.col("y_index")
+    key = "__row"
+    own = written(df.drop("tile_index").withColumn(key, F.monotonically_increasing_id()))
+    spread = own.select(key, "x_index", "y_index", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumns({"cx": F.floor(x / width), "cy": F.floor(y / width)})
+    inside = (x >= F.col("xmin")) & ((x < F.col("xmax")) | (F.col("right") & (x == F.col("xmax")))) & ((y > F.col("ymin")) | (F.col("bottom") & (y == F.col("ymin")))) & (y <= F.col("ymax"))
+    hit = spread.join(small(cells, 4 * len(plan)), ["level", "cx", "cy"]).where(inside).groupBy(key).agg(F.min("t").alias("tile_index"))
+    return own.join(hit, key, "left").drop(key)
 
 
 def tile_apply(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -468,6 +565,21 @@ def bin_overlap(found: DataFrame, bins: Matrix) -> DataFrame:
     return inside.join(bins.named().withColumnRenamed("cell_id", "bin_id"), "bin_id").groupBy("poly_ID", "feat_id").agg(F.sum("value").alias("value"))
 
 
+def label_proportions(polys: DataFrame, pts: DataFrame, label_col: str, poly_id: str = "poly_ID", feat_id: str = "feat_ID") -> DataFrame:
+    """(poly_ID, label, prop): shares of the labels among the points in or on each polygon (extension); polygons without points have no rows."""
+    found = overlap(polys, pts.withColumn("__label", F.col(label_col).cast("string")).drop("count", "tile_index", "row_index"), ["__label"], poly_id, feat_id)
+    n = found.groupBy("poly_ID", F.col("__label").alias("label")).agg(F.count("*").alias("n"))
+    total = n.groupBy("poly_ID").agg(F.sum("n").alias("all"))
+    return n.join(total, "poly_ID").select("poly_ID", "label", (F.col("n") / F.col("all")).alias("prop"))
+
+
+def bin_points(m: Matrix, places: DataFrame) -> DataFrame:
+    """Point geometry of the cells of a matrix that hold counts: (feat_ID: the cell's row id, x_index, y_index, geom) from (cell_id or row_id, x, y)."""
+    at = places if "row_id" in places.columns else places.join(m.cells.select("cell_id", "row_id"), "cell_id")
+    at = at.where("row_id is not null").join(m.triplets.select("row_id").distinct(), "row_id", "left_semi")
+    return points(at.select(F.col("row_id").alias("feat_ID"), "x", "y"))
+
+
 def parent_bins(df: DataFrame, size: int, x: str = "x", y: str = "y") -> DataFrame:
     """Adds the corner of the larger bin that a place lies in."""
     floor = lambda c: (F.floor(F.col(c) / size) * size).cast("long")

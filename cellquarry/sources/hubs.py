@@ -104,5 +104,8 @@ class StereoSeqHub(Hub):
     def bins(self, size: int = 100, gene_column: str = "geneName") -> Matrix:
         return readers.bin_records(readers.gef_records(self.spark, self.at("gef", "tissue.gef", "raw.gef"), size, gene_column))
 
+    def cells(self, gene_column: str = "geneName") -> Matrix:
+        return readers.cellbin_gef(self.spark, self.at("cellbin", "cellbin.gef", "tissue.cellbin.gef"), gene_column)
+
     def parents(self, records: DataFrame, size: int) -> DataFrame:
         return parent_bins(records, size)

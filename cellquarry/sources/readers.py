@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,12 +126,19 @@ def parent_units(mapping: DataFrame, unit: str) -> DataFrame:
     return mapping.where(F.col(unit).isNotNull()).groupBy(unit).agg(*aggs)
 
 
-def bin_records(records: DataFrame) -> Matrix:
-    """A matrix of bins from (gene, x, y, count) records: cells are places in order of y and x, duplicate genes add up."""
-    place = with_row_index(records.select("x", "y").distinct(), ["y", "x"], name="row_id")
+def bin_records(records: DataFrame, order: str = "place") -> Matrix:
+    """A matrix of bins from (gene, x, y, count[, at]) records; duplicate genes add up.
+
+    Bins are numbered by y and x, or, ``order`` "seen", in the order in which they first come by ``at``.
+    """
+    if order == "seen":
+        seen = records.groupBy("x", "y").agg(F.min("at").alias("at"))
+        place = with_row_index(seen, ["at", "y", "x"], name="row_id")
+    else:
+        place = with_row_index(records.select("x", "y").distinct(), ["y", "x"], name="row_id")
     genes = records.select("gene").distinct()
     feats = with_row_index(genes, ["gene"], name="col_id").select("col_id", F.col("gene").alias("feat_id"))
-    t = records.join(place, ["x", "y"]).join(feats, records["gene"] == feats["feat_id"]).select("row_id", "col_id", F.col("count").cast("double").alias("value"))
+    t = records.drop("at").join(place, ["x", "y"]).join(feats, records["gene"] == feats["feat_id"]).select("row_id", "col_id", F.col("count").cast("double").alias("value"))
     return Matrix.of(t, place.select("row_id", F.format_string("bin_%d_%d", F.col("x").cast("long"), F.col("y").cast("long")).alias("cell_id")), feats)
 
 
@@ -162,8 +170,27 @@ def tenx_h5(spark: SparkSession, path: str, feature_id_col: int = 2, batch_cells
     return Matrix.of(t, cells, feats)
 
 
+def gene_ranges(counts: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
+    """(first, end) of runs of genes with about ``most`` records each."""
+    upto, out, first = np.cumsum(counts), [], 0
+    while first < len(counts):
+        before = int(upto[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(upto, before + most, side="right")))
+        out.append((first, end))
+        first = end
+    return out
+
+
+def gef_range(genes: np.ndarray, names: np.ndarray, read: Callable[[int, int], np.ndarray], first: int, end: int) -> pd.DataFrame:
+    """Records of a run of genes: one read of the expression table, names repeated; ``at`` is the record's place."""
+    lo = int(genes["offset"][first])
+    n = genes["count"][first:end].astype(np.int64)
+    e = read(lo, lo + int(n.sum()))
+    return pd.DataFrame({"gene": np.repeat(names[first:end], n), "x": e["x"].astype("int64"), "y": e["y"].astype("int64"), "count": e["count"].astype("float64"), "at": lo + np.arange(len(e))})
+
+
 def gef_records(spark: SparkSession, path: str, bin_size: int = 100, gene_column: str = "geneName") -> DataFrame:
-    """(gene, x, y, count) records of a binned gene expression file; needs h5py."""
+    """(gene, x, y, count, at) records of a binned gene expression file, read in runs of genes; needs h5py."""
     import h5py
 
     def run(batches):
@@ -171,12 +198,61 @@ def gef_records(spark: SparkSession, path: str, bin_size: int = 100, gene_column
 
         with h5py.File(path, "r") as f:
             g = f[f"geneExp/bin{bin_size}"]
+            genes = g["gene"][:]
+            names = np.array([x.decode() for x in genes[gene_column]])
             for b in batches:
-                for first, last in zip(b["first"], b["last"], strict=True):
-                    for r in g["gene"][first:last]:
-                        e = g["expression"][r["offset"] : r["offset"] + r["count"]]
-                        yield pd.DataFrame({"gene": r[gene_column].decode(), "x": e["x"].astype("int64"), "y": e["y"].astype("int64"), "count": e["count"].astype("float64")})
+                for first, end in zip(b["first"], b["last"], strict=True):
+                    yield gef_range(genes, names, lambda lo, hi: g["expression"][lo:hi], first, end)
+
+    with h5py.File(path, "r") as f:
+        ranges = gene_ranges(f[f"geneExp/bin{bin_size}/gene"][:]["count"])
+    return spark.createDataFrame(ranges, "first long, last long").repartition(max(1, len(ranges))).mapInPandas(run, "gene string, x long, y long, count double, at long")
+
+
+def cell_records(cells: np.ndarray, names: np.ndarray, read: Callable[[int, int], np.ndarray], first: int, end: int) -> pd.DataFrame:
+    """(row_id, gene, value) of a run of cells from the cell-major table."""
+    lo = int(cells["offset"][first])
+    n = cells["geneCount"][first:end].astype(np.int64)
+    e = read(lo, lo + int(n.sum()))
+    return pd.DataFrame({"row_id": np.repeat(np.arange(first + 1, end + 1), n), "gene": names[e["geneID"].astype(np.int64)], "value": e["count"].astype("float64")})
+
+
+def gene_records(genes: np.ndarray, names: np.ndarray, ids: np.ndarray, read: Callable[[int, int], np.ndarray], first: int, end: int) -> pd.DataFrame:
+    """(row_id, gene, value) of a run of genes from the gene-major table; records of unknown cells drop."""
+    start = np.concatenate([[0], np.cumsum(genes["cellCount"].astype(np.int64))])
+    e = read(int(start[first]), int(start[end]))
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], e["cellID"]), len(ids) - 1)
+    known = ids[order][at] == e["cellID"]
+    gene = np.repeat(names[first:end], genes["cellCount"][first:end].astype(np.int64))
+    return pd.DataFrame({"row_id": (order[at] + 1)[known], "gene": gene[known], "value": e["count"].astype("float64")[known]})
+
+
+def cellbin_gef(spark: SparkSession, path: str, gene_column: str = "geneName") -> Matrix:
+    """The cells of a segmented gene expression file: names cell_<id>, features sorted, duplicate gene names added up; needs h5py.
+
+    The cell-major table is read where the file has it, else the gene-major one; either in runs on the executors.
+    """
+    import h5py
+
+    def opened(f) -> tuple:
+        g = f["cellBin"]
+        cells, genes = g["cell"][:], g["gene"][:]
+        return g, cells, genes, np.array([x.decode() for x in genes[gene_column]]), "cellExp" in g and {"offset", "geneCount"} <= set(cells.dtype.names)
+
+    def run(batches):
+        import h5py
+
+        with h5py.File(path, "r") as f:
+            g, cells, genes, names, by_cell = opened(f)
+            for b in batches:
+                for first, end in zip(b["first"], b["last"], strict=True):
+                    yield cell_records(cells, names, lambda lo, hi: g["cellExp"][lo:hi], first, end) if by_cell else gene_records(genes, names, cells["id"], lambda lo, hi: g["geneExp"][lo:hi], first, end)
 
     with h5py.File(path, "r") as f:
-        n = len(f[f"geneExp/bin{bin_size}/gene"])
-    return spark.createDataFrame([(i, min(i + 500, n)) for i in range(0, n, 500)], "first long, last long").repartition(max(1, n // 500)).mapInPandas(run, "gene string, x long, y long, count double")
+        _, cells, genes, names, by_cell = opened(f)
+    ranges = gene_ranges(cells["geneCount"] if by_cell else genes["cellCount"])
+    records = spark.createDataFrame(ranges, "first long, last long").repartition(max(1, len(ranges))).mapInPandas(run, "row_id long, gene string, value double")
+    feats = spark.createDataFrame([(i + 1, g) for i, g in enumerate(sorted(set(names[genes["cellCount"] > 0].tolist())))], "col_id long, feat_id string")
+    dims = spark.createDataFrame([(i + 1, f"cell_{c}") for i, c in enumerate(cells["id"].tolist())], "row_id long, cell_id string")
+    return Matrix.of(records.join(feats, records["gene"] == feats["feat_id"]).select("row_id", "col_id", "value"), dims, feats)

@@ -40,6 +40,7 @@ def write_tiled(df: DataFrame, root: str, uid: str | None = None, threshold: flo
     uid = uid or new_uid()
     out = tiled(df, plan).where("tile_index is not null").withColumn("__z", morton(F.col("x_index"), F.col("y_index"), box))
     out = with_row_index(out, ["__z"], within=["tile_index"])
+    out = out.withColumn("tile_index", F.lpad(F.col("tile_index").cast("string"), max(3, len(str(max(t[0] for t in plan)))), "0"))  # folders in order; readers see numbers
     out.repartition("tile_index").sortWithinPartitions("tile_index", "__z").drop("__z").write.mode("append").partitionBy("tile_index").option("compression", compression).parquet(f"{root}/source_id={uid}")
     return uid, list(plan)
 
