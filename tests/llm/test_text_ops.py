@@ -538,7 +538,8 @@ def test_planted_passages(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
-def test_every_repeated_run_of_words_is_found(spark):
+@pytest.mark.parametrize("within", [True, False])
+def test_every_repeated_run_of_words_is_found(spark, within):
     """Texts are mosaics of shared bits, so most repeated runs hold bits that first stand in different texts."""
     rng = random.Random(12)
     bits = [prose(rng, rng.randint(6, 30)) for _ in range(25)]
@@ -549,7 +550,8 @@ def test_every_repeated_run_of_words_is_found(spark):
         for _ in range(rng.randint(0, 3)):
             w += (rng.choice(bits) if i < 40 or rng.random() < 0.5 else rng.choice(long)) + prose(rng, rng.choice([0, 0, 9]))
         texts.append(" ".join(w))
-    got = passages.repeated_passages(docs(spark, texts)).collect()
+    got = passages.repeated_passages(docs(spark, texts), within=within).collect()
+    assert within or all(r.doc_id > r.source_doc_id for r in got)
     held = {}
     for r in got:
         a, b = texts[r.doc_id].encode()[r.start : r.end].decode(), texts[r.source_doc_id].encode()[r.source_start : r.source_end].decode()
@@ -561,13 +563,41 @@ def test_every_repeated_run_of_words_is_found(spark):
         w = t.split()
         for j in range(len(w) - 39):
             key = tuple(w[j : j + 40])
-            if key in seen:
+            if key in seen and (within or seen[key][0] != i):
                 runs += 1
                 assert set(range(j, j + 40)) <= held.get(i, set()), (i, j, seen[key])
             seen.setdefault(key, (i, j))
     assert runs > 300
 
 
+@pytest.mark.parametrize("within", [True, False])
+@pytest.mark.parametrize("part", [5, 40, 10**6])
+def test_seeds_in_parts_keep_their_links(within, part):
+    """However the seeds of a bucket are parted, each one stands with an earlier one and all of one hash hang together."""
+    rng = np.random.default_rng(part)
+    rows = np.unique(np.column_stack([rng.integers(0, 12, 400), rng.integers(0, 9, 400)]), axis=0)  # document, word
+    rows = np.column_stack([rows, rng.integers(0, 25, len(rows))])[rng.permutation(len(rows))]
+    links, out = passages.Links(within), []
+    for i in range(0, len(rows), part):
+        d, w, h = rows[i : i + part].T
+        out.append(np.column_stack(links.add(d, w, d * 100 + w, h, last=i + part >= len(rows))))
+    out = np.vstack(out)
+    for h in range(25):
+        own = sorted(map(tuple, rows[rows[:, 2] == h][:, :2].tolist()))
+        docs_ = {d for d, _ in own}
+        if len(own) < 2 or (not within and len(docs_) < 2):
+            continue
+        mine = [r for r in out.tolist() if (r[0], r[1]) in own]
+        assert all(r[2] == r[0] * 100 + r[1] and r[5] == r[3] * 100 + r[4] for r in mine)
+        if within:
+            assert {(r[0], r[1]) for r in mine} == set(own) and all((r[3], r[4]) <= (r[0], r[1]) for r in mine)
+            assert {(r[0], r[1]) for r in mine if (r[3], r[4]) != (r[0], r[1])} == set(own[1:])
+        else:
+            later = {(r[0], r[1]) for r in mine if r[3] < r[0]}
+            assert later >= {x for x in own if x[0] != own[0][0]} if part > len(rows) else {d for d, _ in later} == docs_ - {own[0][0]}
+            assert all(r[3] < r[0] or (r[3], r[4]) == (r[0], r[1]) for r in mine)
+
+
 def test_unsettled_runs():
     """Seeds at words 0, 4 .. 96; those up to 48 first stand in text 7, the others in text 8."""
     w = np.arange(0, 100, 4)
