@@ -938,8 +938,7 @@ def matrix_market_roundtrip(spark, d):
 @query(f"SELECT cell_id, feat_id, value FROM {T} JOIN {C} USING (row_id) JOIN {FE} USING (col_id) WHERE row_id BETWEEN 100 AND 900")
 def matrix_stored_range(spark, d):
     """A range of cells of a stored matrix: a predicate on the sorted key."""
-    m = matrix(spark, d)
-    return m.subset(cells=m.cells.where("row_id between 100 and 900").select("cell_id")).named()
+    return matrix(spark, d).at(rows=range(100, 901)).named()
 
 
 @query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS row_index, 'aaaa' AS source_id FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey DESC), 'bbbb' FROM orders WHERE o_orderstatus = 'F'")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from cellquarry.functions import stats as S
 from cellquarry.operators.matrix import Matrix
-from cellquarry.plans.rules import small
+from cellquarry.plans.rules import counted, small
 
 if TYPE_CHECKING:
     from cellquarry.operators.graph import Graph
@@ -190,7 +190,7 @@ def page_enrichment(m: Matrix, sign: DataFrame, min_overlap: int = 5, reverse_lo
     cell = cell.select("row_id", "cell_id", (s1 / g).alias("mid"), F.sqrt(F.greatest(s2 - s1 * s1 / g, F.lit(0.0)) / (g - 1)).alias("sd"))
     sets = sizes.join(own.join(ref, "col_id").groupBy("type").agg(F.sum("m").alias("tm")), "type")
     got = m.triplets.join(own, "col_id").groupBy("row_id", "type").agg(F.sum("value").alias("tx"))
-    z = cell.crossJoin(F.broadcast(sets)).join(got, ["row_id", "type"], "left").na.fill(0.0, ["tx"])
+    z = cell.crossJoin(counted(sets)).join(got, ["row_id", "type"], "left").na.fill(0.0, ["tx"])
     z = z.select("cell_id", "type", F.try_divide(((F.col("tx") - F.col("tm")) / F.col("k") - F.col("mid")) * F.sqrt("k"), "sd").alias("zscore"))
     if scale:
         w = Window.partitionBy("type")
@@ -259,7 +259,7 @@ def crossprod(m: Matrix, weights: DataFrame) -> DataFrame:
     """(cell_id, name, value): for ``weights`` (feat_id, name, w) the weighted sum of each cell's values; zeros included."""
     w = weights.join(m.feats, "feat_id").select("col_id", "name", "w")
     got = m.triplets.join(w, "col_id").groupBy("row_id", "name").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
-    return m.cells.crossJoin(F.broadcast(weights.select("name").distinct())).join(got, ["row_id", "name"], "left").na.fill(0.0, ["value"]).select("cell_id", "name", "value")
+    return m.cells.crossJoin(counted(weights.select("name").distinct())).join(got, ["row_id", "name"], "left").na.fill(0.0, ["value"]).select("cell_id", "name", "value")
 
 
 def _moments_by_feature(m: Matrix, scale: bool) -> tuple[list[int], np.ndarray, np.ndarray, int]:

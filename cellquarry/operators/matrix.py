@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellquarry.plans.indexing import with_row_index
-from cellquarry.plans.rules import keep_ids
+from cellquarry.plans.rules import INLINE_IDS, axis_predicate, counted, keep_ids
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,24 @@ class Matrix:
             out = replace(out, **{dim: own, "triplets": keep_ids(out.triplets, key, ids), "raw": keep_ids(out.raw, key, ids)})
         return out
 
+    def at(self, rows: Sequence[int] | None = None, cols: Sequence[int] | None = None) -> Matrix:
+        """A narrower view by ids. Ranges and short lists become predicates that prune the row groups of stored triplets (sorted by row); longer lists with gaps a join within their range."""
+        out = self
+        for ids, dim, key in ((rows, "cells", "row_id"), (cols, "feats", "col_id")):
+            if ids is None:
+                continue
+            own = getattr(out, dim)
+            short = axis_predicate(key, ids, own.count())
+            if short is None:
+                continue
+            gaps = max(ids, default=0) - min(ids, default=0) + 1 - len(set(ids))
+            if len(set(ids)) > INLINE_IDS and gaps > INLINE_IDS:
+                cut = lambda d, key=key, ids=ids: keep_ids(d.where(F.col(key).between(min(ids), max(ids))), key, list(ids))
+            else:
+                cut = lambda d, short=short: d.where(short)
+            out = replace(out, **{dim: cut(own), "triplets": cut(out.triplets), "raw": cut(out.raw)})
+        return out
+
     def rename(self, cells: DataFrame | None = None, feats: DataFrame | None = None) -> Matrix:
         """Other names: (row_id, cell_id) or (col_id, feat_id), exactly one for each id."""
         out = self
@@ -210,8 +228,8 @@ class Matrix:
         out = t.groupBy(*keys).agg(*(made[s].alias(s) for s in stats))
         if dense:
             base = dim.select(key, name)
-            if groups is not None:  # labels are few
-                base = base.crossJoin(F.broadcast(self.cells.join(groups, "cell_id").where("label is not null").select("label").distinct()))
+            if groups is not None:
+                base = base.crossJoin(counted(self.cells.join(groups, "cell_id").where("label is not null").select("label").distinct()))
             out = base.join(out, keys, "left").na.fill(0.0, list(stats))
         return out
 

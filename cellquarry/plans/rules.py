@@ -18,6 +18,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """A broadcast hint, only where a count of the rows shows that it is small."""
+    return small(df, df.limit(BROADCAST_ROWS + 1).count())
+
+
 def keep_ids(df: DataFrame, col: str, ids: Sequence | DataFrame, negate: bool = False) -> DataFrame:
     """Rows whose ``col`` is (not) among ``ids``. Null never matches; negated, null rows stay (an anti join, not NOT IN)."""
     how = "left_anti" if negate else "left_semi"

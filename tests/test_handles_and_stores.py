@@ -252,6 +252,18 @@ def test_names_of_a_matrix(spark):
     assert both.cells.select("row_id").distinct().count() == 6 and {(r.cell_id, r.feat_id) for r in both.named().collect()} == {("x", "a"), ("y", "b"), ("z", "c"), ("nx", "a"), ("ny", "b"), ("nz", "c")}
 
 
+def test_views_by_id_prune_stored_triplets(spark, tmp_path, capsys):
+    m = Matrix.from_array(spark, np.ones((3, 40)), ["a", "b", "c"], [f"x{i}" for i in range(40)])
+    writers.write_matrix(m, str(tmp_path / "m"))
+    back = readers.read_matrix(spark, str(tmp_path / "m"))
+    part = back.at(rows=range(5, 12), cols=[2])
+    assert part.dim() == (1, 7) and part.triplets.count() == 7
+    part.triplets.explain("formatted")
+    assert "GreaterThanOrEqual(row_id,5)" in capsys.readouterr().out
+    assert back.at(rows=range(1, 41)).triplets is back.triplets and back.at(rows=[]).triplets.count() == 0 and back.at(rows=[1, 40]).dim() == (3, 2)
+    assert back.at(rows=range(2, 10_000, 3)).dim()[1] == 13
+
+
 def test_grouped_statistics_by_position(spark):
     m = Matrix.from_array(spark, np.array([[1.0, 3.0, 5.0], [0.0, 2.0, 0.0]]), ["a", "b"], ["x", "y", "z"])
     got = {(r.feats, r.label): r for r in m.grouped_feat_stats(["k", "k", None]).collect()}
