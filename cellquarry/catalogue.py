@@ -22,7 +22,7 @@ from cellquarry.operators.matrix import Matrix
 from cellquarry.operators.table import Table, bind_rows
 from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.store import shared_dir
-from cellquarry.sources import readers, writers
+from cellquarry.sources import readers, store, writers
 from cellquarry.sources.writers import write_matrix
 from cellquarry.streaming import windows
 
@@ -974,6 +974,147 @@ def graph_relabelled(spark, d):
     return Graph.of(e, o.select(F.col("o_orderkey").alias("node_id"))).relabel(names).edges.select("from_id", "to_id")
 
 
+@query("SELECT CASE WHEN s = 'aaaa' THEN k ELSE n + k END AS row_index, o_orderkey FROM (SELECT 'aaaa' AS s, o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, 0 AS n FROM orders UNION ALL SELECT 'bbbb', o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC), (SELECT count(*) FROM orders) FROM orders WHERE o_orderstatus = 'F')")
+def table_rewritten(spark, d):
+    """Two stored sources written anew as one: numbered through in the order of source and index."""
+    one, two, o = _folder(spark), _folder(spark), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    writers.write_table(o, one, "aaaa", ["o_orderkey"])
+    writers.write_table(o.where("o_orderstatus = 'F'"), one, "bbbb", [F.desc("o_orderkey")])
+    writers.rewrite_table(spark, one, two)
+    return Table.read(spark, two).df().select("row_index", "o_orderkey")
+
+
+@query("SELECT o_orderkey * 2 AS twice FROM orders")
+def table_written_in_batches(spark, d):
+    def double(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pc.multiply(b.column("o_orderkey"), 2)], ["twice"])
+
+    root = _folder(spark)
+    writers.write_batches(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), root, double, "twice long")
+    return Table.read(spark, root).select("twice").df().select("twice")
+
+
+@query(f"SELECT vec_id FROM {P} WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.2 AND 0.1")
+def geometry_stored_crop(spark, d):
+    """Points written in tiles; the crop reads the tiles that it meets."""
+    root = _folder(spark)
+    store.write_geometry(S.points(point_frame(spark, d).withColumnsRenamed({"x_index": "x", "y_index": "y"}), id_col="vec_id"), root, threshold=200)
+    return store.read_geometry(spark, root).crop(BOX).df().select("vec_id")
+
+
+@query(f"SELECT count(*) AS rows, true AS small, true AS whole FROM {P}")
+def geometry_tiles(spark, d):
+    """A quadtree of 150 rows a tile at most: all rows lie in a tile, and none holds more."""
+    p = point_frame(spark, d)
+    n = S.tiled(p, S.quadtree(p, 150)).groupBy("tile_index").agg(F.count("*").alias("n"))
+    return n.agg(F.sum("n").alias("rows"), (F.max("n") <= 150).alias("small"), (F.sum(F.col("tile_index").isNull().cast("int")) == 0).alias("whole"))
+
+
+@query(f"SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM {P}")
+def geometry_stored_extent(spark, d):
+    """The recorded extent, without a scan."""
+    root = _folder(spark)
+    store.write_geometry(S.points(point_frame(spark, d).withColumnsRenamed({"x_index": "x", "y_index": "y"}), id_col="vec_id"), root, tiled=False)
+    return spark.createDataFrame([store.read_geometry(spark, root).extent(exact=False)], "xmin double, xmax double, ymin double, ymax double")
+
+
+@query(f"SELECT poly AS \"poly_ID\", CAST(o.label AS VARCHAR) AS label, round(count(*) / sum(count(*)) OVER (PARTITION BY poly), 6) AS prop FROM {B} JOIN {P} o ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2")
+def polygon_label_shares(spark, d):
+    got = S.label_proportions(box_frame(spark, d), point_frame(spark, d).withColumnRenamed("vec_id", "feat_ID"), "label")
+    return got.withColumn("prop", F.round("prop", 6))
+
+
+@query(f"SELECT a.poly AS \"poly_ID\" FROM {B} a WHERE EXISTS (SELECT 1 FROM {B} b WHERE b.poly <> a.poly AND b.poly % 2 = 0 AND a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1) OR a.poly % 2 = 0")
+def relate_polygons_within(spark, d):
+    """Rectangles within one of those with an even label."""
+    b = box_frame(spark, d)
+    return S.Spatial.of(b).relate(b.where("poly_ID % 2 = 0"), "within").df().select("poly_ID")
+
+
+@query(f"SELECT poly AS \"poly_ID\", (x0 + x1) / 2 AS x_index, (y0 + y1) / 2 AS y_index FROM {B}")
+def polygon_centroids(spark, d):
+    return S.Spatial.of(box_frame(spark, d)).centroids().select("poly_ID", "x_index", "y_index")
+
+
+@query(f"SELECT poly AS \"poly_ID\", round(-y1, 6) + 0.0 AS xmin, round(-y0, 6) + 0.0 AS xmax, round(x0, 6) + 0.0 AS ymin, round(x1, 6) + 0.0 AS ymax FROM {B}")
+def polygon_boxes_spun(spark, d):
+    got = S.Spatial.of(box_frame(spark, d)).spin(90, 0, 0).df().select("poly_ID", "xmin", "xmax", "ymin", "ymax")
+    return got.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("xmin", "xmax", "ymin", "ymax")})
+
+
+@query(f"SELECT f.feat_id AS feats, g.label, g.n AS n_cells, coalesce(k, 0.0) AS nr_cells, round(coalesce(k, 0.0) / g.n * 100, 4) AS perc_cells FROM {FE} f CROSS JOIN (SELECT label, CAST(count(*) AS DOUBLE) AS n FROM {C} GROUP BY 1) g LEFT JOIN (SELECT col_id, label, CAST(count(*) AS DOUBLE) AS k FROM {T} t JOIN {C} c USING (row_id) WHERE value > 30 GROUP BY 1, 2) a ON a.col_id = f.col_id AND a.label = g.label")
+def mat_grouped_some_stats(spark, d):
+    return r4(matrix(spark, d).grouped_feat_stats(priorities(spark, d), 30, stats=("nnz",)), "perc_cells")
+
+
+@query("SELECT CAST((SELECT count(*) FROM part) AS BIGINT) AS feats, CAST((SELECT count(*) FROM orders) AS BIGINT) AS cells")
+def mat_dim(spark, d):
+    return spark.createDataFrame([matrix(spark, d).dim()], "feats long, cells long")
+
+
+@query(f"SELECT 2 * row_id AS a, count(*) AS n FROM {T} GROUP BY 1")
+def mat_bound_twice(spark, d):
+    """Two sources whose row ids clash, side by side: the same cells under other names; entries of each."""
+    m = matrix(spark, d)
+    other = m.rename(cells=m.cells.withColumn("cell_id", F.concat(F.lit("again-"), "cell_id")))
+    both = Matrix.bind_cells([Matrix(x.triplets, x.cells.select("row_id", "cell_id"), m.feats, x.raw) for x in (m, other)])
+    n = both.named().groupBy(F.regexp_extract("cell_id", r"(\d+)$", 1).cast("long").alias("k")).agg((F.count("*") / 2).cast("long").alias("n"))
+    return n.select((2 * F.col("k")).alias("a"), "n")
+
+
+@query("SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem")
+def table_rows(spark, d):
+    return spark.createDataFrame([(table(spark, d, "lineitem").nrow(),)], "n double")
+
+
+@query("SELECT o_orderkey AS from_id, o_orderkey + k AS to_id, 1 / (1 + CAST(k AS DOUBLE)) AS weight FROM orders, (SELECT unnest([1, 3]) AS k)")
+def graph_from_neighbours(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    nn = o.select(F.col("o_orderkey").alias("id"), F.array(F.col("o_orderkey") + 1, F.col("o_orderkey") + 3).alias("neighbours"), F.array(F.lit(1.0), F.lit(3.0)).alias("distances"))
+    return Graph.from_neighbours(nn).edges
+
+
+@query(f"SELECT CAST((SELECT count(*) FROM {E}) AS BIGINT) AS edges, CAST((SELECT count(*) FROM (SELECT a FROM {E} UNION SELECT b FROM {E})) AS BIGINT) AS vertices")
+def graph_counts(spark, d):
+    return spark.createDataFrame([graph(spark, d).counts()], "edges long, vertices long")
+
+
+_O = f"(SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, j, w FROM {_CB} UNION ALL SELECT row_id, row_id, 1.0 FROM {C}))"
+
+
+@query(f"WITH o AS {_O}, a AS (SELECT i AS row_id, col_id, sum(w * value) AS value FROM o JOIN {T} ON row_id = j GROUP BY 1, 2) SELECT i AS row_id, col_id, round(sum(w * value), 4) AS value FROM o JOIN a ON row_id = j GROUP BY 1, 2")
+def graph_smooth_2hop(spark, d):
+    return r4(cell_graph(spark, d).smooth(matrix(spark, d), hops=2).triplets, "value").select("row_id", "col_id", "value")
+
+
+@query("SELECT 'S' || s_suppkey AS cell_id, feat AS feat_id, value FROM (UNPIVOT (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS n, round(CAST(s_acctbal AS DOUBLE), 2) AS b FROM supplier WHERE s_suppkey % 3 <> 0) ON n, b INTO NAME feat VALUE value) WHERE value <> 0")
+def wide_csv_read(spark, d):
+    """A wide CSV written, then read as a matrix: rows filtered, cells renamed."""
+    root = _folder(spark)
+    spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.col("s_nationkey").cast("double").alias("n"), F.round(F.col("s_acctbal").cast("double"), 2).alias("b")).write.option("header", True).csv(root)
+    return readers.wide_csv(spark, root, "s_suppkey", rows=F.col("s_suppkey").cast("int") % 3 != 0, cell_name=F.concat(F.lit("S"), F.col("s_suppkey"))).named()
+
+
+@query(f"""WITH t AS {_LOGNORM}, n AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM orders) AS nc, (SELECT CAST(count(*) AS DOUBLE) FROM part) AS g), sg AS {_SIGN},
+m AS (SELECT p_partkey AS col_id, ln(coalesce(s, 0.0) / nc + 1) AS m FROM part LEFT JOIN (SELECT col_id, sum(pow(2, value) - 1) AS s FROM t GROUP BY 1) a ON p_partkey = a.col_id, n),
+w AS (SELECT sum(m) AS m1, sum(m * m) AS m2 FROM m),
+x AS (SELECT o_orderkey AS row_id, coalesce(x1, 0.0) - m1 AS s1, coalesce(x2, 0.0) - 2 * coalesce(xm, 0.0) + m2 AS s2, g FROM orders LEFT JOIN (SELECT row_id, sum(value) AS x1, sum(value * value) AS x2, sum(value * m) AS xm FROM t JOIN m USING (col_id) GROUP BY 1) a ON o_orderkey = row_id, w, n),
+c AS (SELECT row_id, s1 / g AS mid, sqrt(greatest(s2 - s1 * s1 / g, 0.0) / (g - 1)) AS sd FROM x),
+k AS (SELECT type, CAST(count(*) AS DOUBLE) AS k, sum(m) AS tm FROM sg JOIN m USING (col_id) GROUP BY 1),
+v AS (SELECT row_id, type, sum(value) AS tx FROM t JOIN sg USING (col_id) GROUP BY 1, 2),
+z AS (SELECT 'c' || c.row_id AS cell_id, k.type, ((coalesce(tx, 0.0) - tm) / k - mid) * sqrt(k) / nullif(sd, 0) AS z FROM c CROSS JOIN k LEFT JOIN v ON v.row_id = c.row_id AND v.type = k.type)
+SELECT cell_id, type, round((z - avg(z) OVER (PARTITION BY type)) / stddev_samp(z) OVER (PARTITION BY type), 4) + 0.0 AS zscore FROM z""")
+def page_scores_scaled(spark, d):
+    """On normalised logs, means of the values before the log, scores scaled by type."""
+    m = matrix(spark, d).library_norm().log_norm()
+    sign = m.feats.where("col_id % 10 < 4").select("feat_id", F.concat(F.lit("t"), F.col("col_id") % 4).alias("type"))
+    return r4(A.page_enrichment(m, sign, scale=True), "zscore")
+
+
 # ---- streams (extension)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,23 @@ def write_table(df: DataFrame, root: str, uid: str | None = None, order: Sequenc
     return uid
 
 
+def write_batches(df: DataFrame, root: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, uid: str | None = None, order: Sequence[str] = ()) -> str:
+    """write_table() of what ``fn`` makes of the rows' Arrow batches, which never meet in one place."""
+    return write_table(df.mapInArrow(fn, schema), root, uid, order)
+
+
+def rewrite_table(spark: SparkSession, source: str, target: str, uid: str | None = None) -> str:
+    """A stored table written anew as one source: rows in the order of source, tile and index, which are then numbered again."""
+    df = spark.read.parquet(source)
+    order = [c for c in ("source_id", "tile_index", "row_index") if c in df.columns]
+    if not df.limit(1).count():
+        raise ValueError("no rows")
+    uid = uid or new_uid()
+    numbered = with_row_index(df.withColumnsRenamed({c: f"__{c}" for c in order}), [f"__{c}" for c in order]).drop(*(f"__{c}" for c in order))
+    numbered.write.mode("append").parquet(f"{target}/source_id={uid}")
+    return uid
+
+
 def write_tiled(df: DataFrame, root: str, uid: str | None = None, threshold: float | None = None, plan: Sequence[tuple] | None = None, kind: str = "points", dry_run: bool = False, compression: str = "snappy") -> tuple[str | None, list[tuple]]:
     """Geometry by quadtree tile, in Morton order within a tile; the row index restarts in each. Returns (uid, plan)."""
     if plan is None:
