@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import struct
 import zipfile
@@ -16,10 +17,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellquarry.functions.ids import cell_code, distinct_names, transcript_id
+from cellquarry.functions.ids import cell_code, distinct_names
 from cellquarry.operators.matrix import Matrix
 
 
+#: Raised when what is written changes, so that cached copies are made again.
+CONVERTER = 2
+
+
 @dataclass(frozen=True)
 class Store:
     """A zarr hierarchy by path: a folder, or a zip file (.zip)."""
@@ -37,6 +42,17 @@ class Store:
         with fs.open_input_file(at) as f:
             return f.read()
 
+    def children(self, group: str) -> list[str]:
+        """Names right below a group, in order."""
+        fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        if self.path.endswith(".zip"):
+            with fs.open_input_file(root) as f, zipfile.ZipFile(f) as z:
+                keys = [n[len(group) + 1 :] for n in z.namelist() if n.startswith(f"{group}/")]
+            return sorted({k.split("/")[0] for k in keys if "/" in k})
+        if fs.get_file_info(f"{root}/{group}").type != pafs.FileType.Directory:
+            return []
+        return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(f"{root}/{group}")) if f.type == pafs.FileType.Directory)
+
     def attrs(self, name: str) -> dict:
         return json.loads(self.get(f"{name}/.zattrs".lstrip("/")) or b"{}")
 
@@ -152,31 +168,76 @@ def expression(spark: SparkSession, path: str, group: str = "cell_features", dro
     return Matrix.of(t.join(feats.select("col_id"), "col_id", "left_semi"), ids, feats)
 
 
-def transcripts(spark: SparkSession, path: str, qv: float = 0.0, step: int = 500_000) -> DataFrame:
-    """(transcript_id, feature_name, x_location, y_location, z_location, qv) of flat transcript arrays."""
+#: Columns of a transcript table, as the instrument ships them.
+TRANSCRIPTS = "transcript_id long, cell_id string, overlaps_nucleus tinyint, feature_name string, x_location float, y_location float, z_location float, qv float, fov_name string, nucleus_distance float, codeword_index int"
+
+
+def transcripts(spark: SparkSession, path: str, qv: float | None = None, step: int = 500_000) -> DataFrame:
+    """Transcripts of flat arrays or of the tiles of the finest grid, in the instrument's columns; not valid ones drop, and those of a quality of ``qv`` or less.
+
+    Cells are not known there: cell_id is UNASSIGNED. Fields of view without a name are FOV and their number.
+    """
     store = Store(path)
-    names, n = store.attrs("")["gene_names"], store.meta("location")["shape"][0]
+    attrs = store.attrs("")
+    names, fovs = attrs.get("gene_names", []), attrs.get("fov_names", [])
+    tiles = [""] if store.has("location") else [f"grids/0/{t}/" for t in store.children("grids/0")]
+    units = [(t, i, min(i + step, n)) for t in tiles if store.has(f"{t}location") for n in [store.meta(f"{t}location")["shape"][0]] for i in range(0, n, step)]
 
     def run(batches):
         s = Store(path)
         for b in batches:
-            for first, last in zip(b["first"], b["last"], strict=True):
-                xyz = s.read("location", first, last).astype("float64")
-                gene = s.read("gene_identity", first, last).astype(int).ravel()
-                uid = s.read("id", first, last).astype("int64")
-                yield pd.DataFrame({"counter": uid[:, 0], "fov": uid[:, 1], "feature_name": [names[g] for g in gene], "x_location": xyz[:, 0], "y_location": xyz[:, 1], "z_location": xyz[:, 2], "qv": s.read("quality_score", first, last).astype("float64").ravel()})
-
-    out = _ranges(spark, n, step).mapInPandas(run, "counter long, fov long, feature_name string, x_location double, y_location double, z_location double, qv double")
-    return out.where(F.col("qv") >= qv).select(transcript_id(F.col("fov"), F.col("counter")).alias("transcript_id"), "feature_name", "x_location", "y_location", "z_location", "qv")
+            for tile, first, last in zip(b["tile"], b["first"], b["last"], strict=True):
+                one = lambda name, tile=tile, first=first, last=last: s.read(f"{tile}{name}", first, last)
+                xyz, gene, uid = one("location").astype("float32"), one("gene_identity").astype(int).ravel(), one("id").astype("int64")
+                score = one("quality_score").astype("float32").ravel()
+                keep = one("valid").ravel() == 1 if s.has(f"{tile}valid") else np.ones(len(xyz), bool)
+                keep &= score > qv if qv is not None else True
+                code = one("codeword_identity").astype("int32").ravel() if s.has(f"{tile}codeword_identity") else np.zeros(len(xyz), "int32")
+                fov = uid[:, 1]
+                known = len(fovs) > int(fov.max(initial=-1))
+                out = pd.DataFrame({
+                    "transcript_id": (65536 + fov) * 4294967296 + uid[:, 0],
+                    "cell_id": "UNASSIGNED",
+                    "overlaps_nucleus": np.zeros(len(xyz), "int8"),
+                    "feature_name": [names[g] if 0 <= g < len(names) else None for g in gene] if names else [f"gene_{g}" for g in gene],
+                    "x_location": xyz[:, 0], "y_location": xyz[:, 1], "z_location": xyz[:, 2], "qv": score,
+                    "fov_name": [fovs[i] if known and fovs else f"FOV{i:03d}" for i in fov.tolist()],
+                    "nucleus_distance": np.full(len(xyz), np.nan, "float32"), "codeword_index": code,
+                })
+                yield out[keep]
+
+    rows = spark.createDataFrame(units, "tile string, first long, last long")
+    return rows.repartition(max(1, len(units))).mapInPandas(run, TRANSCRIPTS)
+
+
+def fingerprint(path: str) -> str:
+    """A hash of what a store is: path, size and newest change of its files, and the version of this converter."""
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    info = fs.get_file_info(root)
+    files = fs.get_file_info(pafs.FileSelector(root, recursive=True)) if info.type == pafs.FileType.Directory else [info]
+    files = [f for f in files if f.type == pafs.FileType.File]
+    state = [path, sum(f.size or 0 for f in files), max((f.mtime_ns or 0 for f in files), default=0), CONVERTER]
+    return hashlib.sha256(json.dumps(state).encode()).hexdigest()[:16]
+
+
+def cached_parquet(spark: SparkSession, path: str, cache: str, qv: float | None = None) -> str:
+    """The store as Parquet below ``cache``: converted once for each state of its files, and again only when they change. Returns the folder."""
+    out = f"{cache.rstrip('/')}/{layout(path)}-{fingerprint(path)}{'' if qv is None else f'-{qv:g}'}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_done")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        to_parquet(spark, path, out, qv, overwrite=True)
+        fs.create(at, True).close()
+    return out
 
 
 def layout(path: str) -> str:
     """transcripts, expression or unknown, by the arrays that are there."""
     s = Store(path)
-    return "transcripts" if s.has("gene_identity") else "expression" if s.has("cell_features/indptr") else "unknown"
+    return "transcripts" if s.has("gene_identity") or s.children("grids/0") else "expression" if s.has("cell_features/indptr") else "unknown"
 
 
-def to_parquet(spark: SparkSession, path: str, out: str, qv: float = 0.0, overwrite: bool = False, compression: str = "zstd") -> str:
+def to_parquet(spark: SparkSession, path: str, out: str, qv: float | None = None, overwrite: bool = False, compression: str = "zstd") -> str:
     """Converts a zarr store to Parquet by its layout; returns the layout."""
     kind, mode = layout(path), "overwrite" if overwrite else "errorifexists"
     if kind == "transcripts":

@@ -86,3 +86,30 @@ def test_other_hubs(spark, tmp_path):
     assert [tuple(r) for r in v.mapping().collect()] == [("b1", "c1")]
     got = v.parents().collect()
     assert [(r.cell_id, r.in_nucleus, r.square_008um) for r in got] == [("c1", True, "b1")] and "square_002um" not in got[0].asDict()
+
+
+def test_transcripts_in_tiles_are_cached(spark, tmp_path):
+    path = str(tmp_path / "t.zarr.zip")
+
+    def write(score):
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr(".zattrs", json.dumps({"gene_names": ["A", "B"], "fov_names": ["F7"]}))
+            for k, tile in enumerate(("0,0", "1,0")):
+                at = f"grids/0/{tile}"
+                put(z, f"{at}/location", np.array([[k, 2, 3], [k, 5, 6]], "<f4"), [2, 3])
+                put(z, f"{at}/gene_identity", np.array([[0], [k]], "<u2"), [2, 1])
+                put(z, f"{at}/codeword_identity", np.array([[4], [5]], "<u2"), [2, 1])
+                put(z, f"{at}/quality_score", np.array([score, 30], "<f4"), [2])
+                put(z, f"{at}/valid", np.array([1, k], "<u1"), [2])
+                put(z, f"{at}/id", np.array([[7, 0], [8, 0]], "<u4"), [2, 2])
+
+    write(20)
+    got = zarr.transcripts(spark, path).orderBy("x_location", "qv").collect()
+    assert [(r.transcript_id & 15, r.feature_name, r.qv, r.fov_name, r.codeword_index, r.cell_id) for r in got] == [(7, "A", 20, "F7", 4, "UNASSIGNED"), (7, "A", 20, "F7", 4, "UNASSIGNED"), (8, "B", 30, "F7", 5, "UNASSIGNED")]
+    assert zarr.layout(path) == "transcripts" and zarr.transcripts(spark, path, 20).count() == 1
+    first = zarr.cached_parquet(spark, path, str(tmp_path / "c"), 20)
+    stamp = (tmp_path / "c" / first.split("/")[-1] / "_done").stat().st_mtime_ns
+    assert zarr.cached_parquet(spark, path, str(tmp_path / "c"), 20) == first and (tmp_path / "c" / first.split("/")[-1] / "_done").stat().st_mtime_ns == stamp
+    assert spark.read.parquet(first).count() == 1 and len(spark.read.parquet(first).columns) == 11
+    write(25)
+    assert zarr.cached_parquet(spark, path, str(tmp_path / "c"), 20) != first
