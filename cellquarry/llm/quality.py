@@ -19,11 +19,16 @@ from cellquarry.llm.textkit import Words, mix
 BITS = 18
 
 
+def run_sizes(most: int) -> list[int]:
+    """3 and, from 4 on, four sizes in each doubling, up to ``most``."""
+    return [n for n in [3, *(m << j for j in range(max(most, 1).bit_length()) for m in (4, 5, 6, 7))] if n <= most]
+
+
 def indicators(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
     """Sorted distinct hashed features of each text: words, word pairs, 3-grams of bytes and runs of one word.
 
     Beside the n-grams proper stand skeleton n-grams, which tell only that words repeat: a text whose longest run of one word has n words has those
-    of 3, 6, 12 .. n words, whatever the word.
+    of run_sizes(n) words, whatever the word.
     """
     raw = [t.encode() for t in texts]
     words = Words(raw)
@@ -40,7 +45,7 @@ def indicators(texts: list[str], bits: int = BITS) -> list[np.ndarray]:
         tri = mix((data[:-2] << np.uint64(16)) | (data[1:-1] << np.uint64(8)) | data[2:] | np.uint64(1 << 40)) >> shift if len(data) > 2 else data[:0]
         one = single[words.first[i] : words.first[i + 1]]
         most = int(length[words.first[i] : words.first[i + 1]].max(initial=0))
-        runs = mix(np.arange((most // 3).bit_length(), dtype=np.uint64) + np.uint64(1 << 41)) >> shift
+        runs = mix(np.array(run_sizes(most), np.uint64) + np.uint64(1 << 41)) >> shift
         out.append(np.unique(np.concatenate([one, runs, pair[pair_first[i] : pair_first[i + 1]], tri])).astype(np.int32))
     return out
 
