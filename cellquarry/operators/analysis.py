@@ -272,13 +272,32 @@ def _moments_by_feature(m: Matrix, scale: bool) -> tuple[list[int], np.ndarray,
     return [x[0] for x in s], mu, sd, n
 
 
-def _block(batch: pa.RecordBatch, feats: np.ndarray) -> tuple[list, np.ndarray]:
-    """Cell names and a cells x features array of a batch of lists; ``feats``: the sorted ids."""
+def _entries(batch: pa.RecordBatch, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the entries of a batch of lists; ``feats``: the sorted ids."""
     cols = batch.column("cols")
     row = np.repeat(np.arange(batch.num_rows), cols.value_lengths().to_numpy(zero_copy_only=False))
-    x = np.zeros((batch.num_rows, len(feats)))
-    x[row, np.searchsorted(feats, cols.flatten().to_numpy(zero_copy_only=False))] = batch.column("vals").flatten().to_numpy(zero_copy_only=False)
-    return batch.column("cell_id").to_pylist(), x
+    return row, np.searchsorted(feats, cols.flatten().to_numpy(zero_copy_only=False)), batch.column("vals").flatten().to_numpy(zero_copy_only=False)
+
+
+def _times(n: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], basis: np.ndarray) -> np.ndarray:
+    """X B of a sparse batch of n rows."""
+    row, col, val = entries
+    return np.column_stack([np.bincount(row, val * b[col], n) for b in basis.T])
+
+
+def _gram(n: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], p: int) -> np.ndarray:
+    """X'X of a sparse batch: by pairs of entries of a row where these are few, else by a dense block."""
+    row, col, val = entries
+    size = np.bincount(row, minlength=n)
+    if (size.astype(float) ** 2).sum() * 50 < float(n) * p * p:
+        many = size[row]
+        first = np.repeat(np.arange(len(row)), many)
+        start = np.repeat((np.cumsum(size) - size)[row], many)
+        second = start + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+        return np.bincount(col[first] * p + col[second], val[first] * val[second], p * p).reshape(p, p)
+    x = np.zeros((n, p))
+    x[row, col] = val
+    return x.T @ x
 
 
 def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, scale: bool = True, oversample: int = 10, powers: int = 2, seed: int = 1234, relerr: float = 0.01, most_bytes: float = 5e9, feats_to_use: Sequence[str] | DataFrame | None = None, dry_run: bool = False) -> dict:
@@ -305,25 +324,32 @@ def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, sca
     cells = m.cells.join(cells, "row_id", "left").select("cell_id", F.coalesce("cols", F.array().cast("array<bigint>")).alias("cols"), F.coalesce("vals", F.array().cast("array<double>")).alias("vals")).persist()
 
     def product(basis: np.ndarray | None) -> np.ndarray:
-        """X'X B (or X'X) of the scaled, centred values; partitions send one matrix each, added up in a tree by feature."""
+        """X'X B (or X'X) of the scaled, centred values; partitions send their sums in blocks of features, which are added up."""
+        width = p if basis is None else basis.shape[1]
+        step = max(1, (4 << 20) // (8 * width))
+        scaled = None if basis is None else basis / sd[:, None]
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
             for b in batches:
-                for i in range(0, b.num_rows, 1024):
-                    x = _block(b.slice(i, 1024), at)[1]
-                    g = x.T @ (x if basis is None else (x @ (basis / sd[:, None]) - mu @ (basis / sd[:, None])))
-                    if basis is not None:
-                        g = g - np.outer(mu, (x @ (basis / sd[:, None]) - mu @ (basis / sd[:, None])).sum(axis=0))
+                for i in range(0, b.num_rows, 1024 if basis is None else 1 << 16):
+                    part = b.slice(i, 1024 if basis is None else 1 << 16)
+                    own = _entries(part, at)
+                    if basis is None:
+                        g = _gram(part.num_rows, own, p)
+                    else:
+                        xb = _times(part.num_rows, own, scaled) - mu @ scaled
+                        row, col, val = own
+                        g = np.column_stack([np.bincount(col, val * y[row], p) for y in xb.T]) - np.outer(mu, xb.sum(axis=0))
                     out = g if out is None else out + g
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array([r.tobytes() for r in out], pa.binary())], ["i", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(0, p, step), pa.int32()), pa.array([out[i : i + step].tobytes() for i in range(0, p, step)], pa.binary())], ["i", "rows"])
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"i": [pdf["i"].iloc[0]], "row": [sum(np.frombuffer(r) for r in pdf["row"]).tobytes()]})
+            return pd.DataFrame({"i": [pdf["i"].iloc[0]], "rows": [sum(np.frombuffer(r) for r in pdf["rows"]).tobytes()]})
 
-        rows = cells.mapInArrow(run, "i int, row binary").groupBy("i").applyInPandas(add, "i int, row binary").collect()
-        g = np.array([np.frombuffer(r.row) for r in sorted(rows, key=lambda r: r.i)])
+        blocks = cells.mapInArrow(run, "i int, rows binary").groupBy("i").applyInPandas(add, "i int, rows binary").collect()
+        g = np.concatenate([np.frombuffer(r["rows"]) for r in sorted(blocks, key=lambda r: r.i)]).reshape(p, width)
         return (g - n * np.outer(mu, mu)) / np.outer(sd, sd) if basis is None else g / sd[:, None]
 
     if method == "gram":
@@ -340,11 +366,10 @@ def pca(m: Matrix, ncp: int = 50, method: str = "auto", center: bool = True, sca
     vec = vec * np.sign(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])])
     turn, shift = vec / sd[:, None], mu @ (vec / sd[:, None])
 
-    def project(batches):
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                ids, x = _block(b.slice(i, 1024), at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((x @ turn - shift).tolist(), pa.list_(pa.float64()))], ["cell_id", "scores"])
+            score = _times(b.num_rows, _entries(b, at), turn) - shift
+            yield pa.RecordBatch.from_arrays([b.column("cell_id"), pa.array(score.tolist(), pa.list_(pa.float64()))], ["cell_id", "scores"])
 
     return {"sdev": np.sqrt(np.maximum(value, 0) / max(n - 1, 1)), "loadings": vec, "features": feats, "scores": cells.mapInArrow(project, f"cell_id {m.cells.schema['cell_id'].dataType.simpleString()}, scores array<double>"), "method": method}
 
