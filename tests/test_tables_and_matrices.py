@@ -211,8 +211,8 @@ def test_numbers():
     assert np.allclose(np.exp(S.log_bh(p)), [0.04, 0.04, 0.04, 0.5]) and np.isclose(np.exp(S.log_simes(p)), 0.04)
     x = np.linspace(0, 5, 50)
     assert np.allclose(S.loess(x, 2 + 3 * x - x**2), 2 + 3 * x - x**2)
-    x = np.sort(np.random.default_rng(0).random(4000))
-    assert np.allclose(S.loess(x, np.sin(3 * x)), S.loess(x, np.sin(3 * x), knots=1025), atol=1e-4)
+    x = np.random.default_rng(0).random(1500)
+    assert np.allclose(S.loess(x, np.sin(3 * x))[::40], S.loess(x, np.sin(3 * x), at=x[::40])) and np.allclose(S.loess(x, np.sin(x)), np.sin(x), atol=0.01)
     assert np.allclose(S.nnls(np.eye(3), np.array([1.0, -1, 2])), [1, 0, 2])
 
 
@@ -266,7 +266,7 @@ def test_queries_over_features_take_all_of_them(spark):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     assert np.allclose([r.sdev for r in run("pca_gram_eigenvalues").orderBy("pc").collect()], np.linalg.svd(z, compute_uv=False)[:10] / np.sqrt(len(cells) - 1), atol=1e-5)
     assert {r.col_id for r in run("binarize_kmeans").select("col_id").distinct().collect()} == set(own.col_id)
-    assert run("deconvolution_shares").select("cell_id").distinct().count() == own.row_id.nunique()
+    assert run("deconvolution_shares").select("cell_id").distinct().count() == len(cells)
 
 
 def test_correlation_of_features_without_a_shared_cell(spark):
