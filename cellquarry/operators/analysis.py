@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from cellquarry.functions import stats as S
 from cellquarry.operators.matrix import Matrix
 from cellquarry.plans.rules import counted, small
+from cellquarry.plans.store import written
 
 if TYPE_CHECKING:
     from cellquarry.operators.graph import Graph
@@ -98,7 +99,8 @@ def pearson_residual_variance(m: Matrix, theta: float = 100.0) -> DataFrame:
 
 def moments(m: Matrix, groups: DataFrame, sets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(feat_id, label, n, s, q): cells, sums and sums of squares; with ``sets`` pooled over each set's labels."""
-    a = m.accumulate("feat", ["sum", "sumsq"], groups=groups).join(m.group_sizes(groups), "label").select("feat_id", "label", F.col("n_cells").alias("n"), F.col("sum").alias("s"), F.col("sumsq").alias("q"))
+    sizes = written(m.group_sizes(groups))  # a row for each label, read twice
+    a = m.accumulate("feat", ["sum", "sumsq"], groups=groups, labels=sizes).join(sizes, "label").select("feat_id", "label", F.col("n_cells").alias("n"), F.col("sum").alias("s"), F.col("sumsq").alias("q"))
     if sets is None:
         return a
     of = m.cells.sparkSession.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "pool string, label string")

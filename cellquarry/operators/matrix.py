@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellquarry.plans.indexing import with_row_index
 from cellquarry.plans.rules import INLINE_IDS, axis_predicate, counted, keep_ids
+from cellquarry.plans.store import written
 
 
 @dataclass(frozen=True)
@@ -209,11 +210,11 @@ class Matrix:
 
     # ---- the accumulator
 
-    def accumulate(self, axis: str, stats: Sequence[str], threshold: float = 0.0, inclusive: bool = False, groups: DataFrame | None = None, weights: DataFrame | None = None, dense: bool = True) -> DataFrame:
+    def accumulate(self, axis: str, stats: Sequence[str], threshold: float = 0.0, inclusive: bool = False, groups: DataFrame | None = None, weights: DataFrame | None = None, dense: bool = True, labels: DataFrame | None = None) -> DataFrame:
         """Sums over stored entries by feature or cell, and by label with ``groups`` (cell_id, label; cells without one drop out).
 
         ``stats``: sum, sumsq, sum3, sum4, nnz, sum_det, max, wsum (with ``weights``: row_id, w). The threshold
-        concerns nnz and sum_det only. ``dense``: every id of the axis (times every label) has a row.
+        concerns nnz and sum_det only. ``dense``: every id of the axis (times every label) has a row; ``labels`` has these, where they are known.
         """
         key, dim, name = ("col_id", self.feats, "feat_id") if axis == "feat" else ("row_id", self.cells, "cell_id")
         v = F.col("value")
@@ -229,7 +230,7 @@ class Matrix:
         if dense:
             base = dim.select(key, name)
             if groups is not None:
-                base = base.crossJoin(counted(self.cells.join(groups, "cell_id").where("label is not null").select("label").distinct()))
+                base = base.crossJoin(counted(labels.select("label") if labels is not None else self.group_sizes(groups).select("label")))
             out = base.join(out, keys, "left").na.fill(0.0, list(stats))
         return out
 
@@ -266,10 +267,10 @@ class Matrix:
         if unknown := set(stats) - {"sum", "sumsq", "nnz", "sum_det"}:
             raise ValueError(f"unknown stats: {sorted(unknown)}")
         groups = groups if isinstance(groups, DataFrame) else self.by_position(groups)
-        sizes = self.group_sizes(groups)
+        sizes = written(self.group_sizes(groups))  # a row for each label, read three times
         if not sizes.limit(1).count():
             raise ValueError("no cell has a label")
-        a = self.accumulate("feat", list(stats), threshold, groups=groups).join(sizes, "label")
+        a = self.accumulate("feat", list(stats), threshold, groups=groups, labels=sizes).join(sizes, "label")
         n, m, nan = F.col("n_cells"), F.col("sum") / F.col("n_cells"), F.lit(float("nan"))
         out = [F.col("feat_id").alias("feats"), "label", "n_cells"]
         if "sum" in stats:
