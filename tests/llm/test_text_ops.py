@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -665,6 +666,34 @@ def test_fuzzy_passage_whose_parts_first_stand_in_several_texts(spark):
     assert [(r.doc_id, r.source_doc_id, r.n_words) for r in got if r.doc_id == 4] == [(4, 3, 60)]
 
 
+def test_fuzzy_passage_whose_parts_also_stand_last_in_several_texts(spark):
+    """Neither the first nor the last text with a seed of the copies holds the passage, and no 40 words are equal."""
+    rng = random.Random(6)
+    w = prose(rng, 60)
+    parts = [w[:20], w[20:40], w[40:]]
+    near, twice = list(w), list(w)
+    near[20] = near[40] = "replaced"
+    twice[10] = twice[20] = twice[31] = twice[50] = "again"
+    texts = [*(p + prose(rng, 30) for p in parts), prose(rng, 30) + w, *(prose(rng, 30) + p for p in parts), near + prose(rng, 30), *(p + prose(rng, 30) for p in parts), prose(rng, 70) + twice]
+    got = {(r.doc_id, r.source_doc_id, r.n_words) for r in passages.repeated_passages(docs(spark, [" ".join(x) for x in texts])).collect()}
+    assert (7, 3, 60) in got and (11, 3, 60) in got and {r[0] for r in got} == {7, 11}
+
+
+def test_pairs_of_seeds_meet_in_every_earlier_text():
+    """Seeds 0 .. 39 of two first texts in each of three texts; in the last one a text is known to hold them all."""
+    w = np.tile(np.arange(40), 3)
+    d, s, sw = np.repeat([5, 6, 7], 40), np.where(w < 20, 1, 2), w + 100
+    near = np.zeros(120, np.int64)
+    d, w, s, sw, near = (np.concatenate(x) for x in ((d, np.full(60, 7)), (w, np.arange(60)), (s, np.full(60, 6)), (sw, np.arange(60)), (near, np.ones(60, np.int64))))
+    found = passages.seams(d, w, 6 * w, s, sw, near, 5, 21, 40, 0.8)
+    pairs = sum(15 <= j - i <= 36 for i in range(20) for j in range(20, 40))
+    assert np.bincount(found[0], found[4]).tolist() == [0, 0, 0, 0, 0, pairs, pairs, 0] and len(found[0]) == 3 * pairs
+    bucket, data = passages.pack_seams(*found, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+    got = [r for b in passages.link_seams(iter([batch]), 3) for r in b.to_pylist()]
+    assert len(got) == pairs and all((r["doc_id"], r["s_doc"]) == (6, 5) and r["at"] == r["s_at"] < 120 <= r["last"] == r["s_last"] for r in got)
+
+
 def test_segment_that_is_not_similar_enough_is_parted():
     x, y = (np.arange(200, dtype=np.uint64) + np.uint64(n) for n in (0, 0))
     for i in range(60, 180, 20):  # 12 words changed, 8 equal, over and over
