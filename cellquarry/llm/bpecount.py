@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 from cellquarry.llm.common import id_text, pieces_of, texts_of
 
 NONE = np.iinfo(np.int32).max
+#: More than any text's tokens; stands for chunks that part otherwise beside others.
+ODD = 1 << 48
 #: The parts of the byte-level vocabulary's pre-token pattern.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -101,6 +103,7 @@ class Merger:
         special = [regex.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
         self.known: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
@@ -149,26 +152,42 @@ class Merger:
             rank[before] = self.rank(ids[before], ids[before + 1])
         return out
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; the strings of added tokens count as one each."""
-        split, known, out = self.split, self.known, []
-        if len(known) > 1_000_000:
-            known.clear()
-        extra, parts = [], []
-        for t in texts:
-            if self.special and (found := self.special.findall(t)):
-                parts.append([w for s in self.special.split(t) for w in split(s)])
-                extra.append(len(found))
-            else:
-                parts.append(split(t))
-                extra.append(0)
-        new = list(set().union(*parts) - known.keys()) if parts else []
+    def sizes(self, runs: list[list[str]]) -> list[int]:
+        """Tokens of lists of pre-tokens."""
+        known = self.known
+        new = list(set().union(*runs) - known.keys())
         for i in range(0, len(new), 100_000):
             some = new[i : i + 100_000]
             known.update(zip(some, self.merged_sizes([w.encode() for w in some]).tolist(), strict=True))
         get = known.__getitem__
-        for n, words in zip(extra, parts, strict=True):
-            out.append(n + sum(map(get, words)))
+        return [sum(map(get, r)) for r in runs]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; the strings of added tokens count as one each.
+
+        A pre-token holds a blank only as its first character or among white space, so texts are parted before each blank and
+        the chunks remembered. Chunks that begin with more white space are odd: a text with one is parted as a whole.
+        """
+        split, chunks = self.split, self.chunks
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        if len(chunks) > 500_000:
+            chunks.clear()
+        out, parts = [], []
+        for i, t in enumerate(texts):
+            found = self.special.findall(t) if self.special else []
+            out.append(len(found))
+            parts += [(i, s, *s.split(" ")) for s in (self.special.split(t) if found else [t])]
+        new = list(set().union(*(p[3:] for p in parts)) - chunks.keys())
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            own = [split(" " + c) for c in some]
+            chunks.update((c, n if len(r[0]) > 1 else ODD) for c, r, n in zip(some, own, self.sizes(own), strict=True))
+        get = chunks.__getitem__
+        more = [sum(map(get, p[3:])) for p in parts]
+        firsts = self.sizes([split(p[2] if n < ODD else p[1]) for p, n in zip(parts, more, strict=True)])  # the chunk before the first blank, or all
+        for p, n, first in zip(parts, more, firsts, strict=True):
+            out[p[0]] += first + (n if n < ODD else 0)
         return out
 
 

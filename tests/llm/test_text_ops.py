@@ -53,6 +53,20 @@ def test_texts_part_as_the_library_parts_them():
     assert bpecount.Merger(BPE, patterns).counts(["\U0001dff6\u69b1"]) == [len(own.encode("\U0001dff6\u69b1").ids)]
 
 
+def test_chunks_between_blanks_count_like_whole_texts():
+    """Known chunks are not parted again, and white space of any kind counts as the library counts it."""
+    rng, library = random.Random(14), Tokenizer.from_file(BPE)
+    m = bpecount.Merger(BPE, bpecount.split_patterns(BPE))
+    bits = [" ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "a", "word", "12", "'s", "'", "!?", "é", "日", "<|endoftext|>"]
+    texts = ["", " ", "  ", "a ", "a  ", "a\n ", " \n a", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(3000))]
+    assert m.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    parted, usual = [], m.split
+    m.split = lambda t: parted.append(t) or usual(t)
+    plain = ["one two three, two!"] * 50
+    assert m.counts(plain) == m.counts(plain)
+    assert sum(map(len, parted)) < sum(map(len, plain))
+
+
 def test_counts_of_nothing_and_repeats(spark):
     assert bpecount.count_tokens(docs(spark, []), BPE).count() == 0
     d = docs(spark, ["one two"])
