@@ -708,6 +708,42 @@ def test_pairs_of_seeds_meet_in_every_earlier_text():
     assert len(got) == pairs and all((r["doc_id"], r["s_doc"]) == (6, 5) and r["at"] == r["s_at"] < 120 <= r["last"] == r["s_last"] for r in got)
 
 
+def test_large_groups_give_rows_in_proportion(spark):
+    """Near copies, and stretches of two words over and over, of many lengths: whole, but not pair by pair."""
+    rng = random.Random(15)
+    base, texts = prose(rng, 90), []
+    for i in range(80):
+        w = list(base)
+        for j in rng.sample(range(90), 5):
+            w[j] = f"new{i}-{j}"
+        w.insert(rng.randrange(90), f"more{i}")
+        w.pop(rng.randrange(90))
+        texts.append(" ".join(w))
+    texts += [" ".join(prose(rng, 9) + ["is", "onhe."] * rng.randint(25, 90) + prose(rng, 9)) for _ in range(60)]
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    held = {}
+    for r in got:
+        at = len(texts[r.doc_id].encode()[: r.start].decode().split())
+        held.setdefault(r.doc_id, set()).update(range(at, at + r.n_words))
+    assert set(range(1, 80)) | set(range(82, 140)) <= set(held) <= set(range(1, 140))
+    assert all(len(held[i]) >= 75 for i in range(1, 80)) and all(set(range(9, len(texts[i].split()) - 9)) <= held[i] for i in range(82, 140))
+    assert len({(r.doc_id, r.source_doc_id) for r in got}) <= 5 * 140 and len(got) <= 10 * 140
+
+
+def test_runs_that_repeat_themselves_are_thinned_without_a_gap():
+    at = np.array([0, 2, 4, 6, 8, 10, 12, 14, 40, 41, 3, 5])
+    key = np.array([7] * 10 + [8, 9], np.uint64)
+    assert at[passages.thinned(at, key, 5)].tolist() == [0, 4, 8, 12, 14, 40, 41, 3, 5]
+    assert passages.thinned(at[:0], key[:0], 5).tolist() == []
+
+
+def test_passages_of_one_source_hold_seams_together():
+    known = [np.array(c) for c in ([5, 5, 5, 6], [1, 1, 2, 1], [0, 40, 90, 0], [50, 99, 200, 10])]
+    d, at, to = (np.array(c) for c in ([5, 5, 5, 5, 6, 6, 7], [0, 45, 60, 95, 0, 0, 0], [99, 99, 120, 200, 10, 11, 5]))
+    assert passages.held_by(d, at, to, known).tolist() == [True, True, False, True, True, False, False]
+    assert not passages.held_by(d, at, to, [c[:0] for c in known]).any()
+
+
 def test_segment_that_is_not_similar_enough_is_parted():
     x, y = (np.arange(200, dtype=np.uint64) + np.uint64(n) for n in (0, 0))
     for i in range(60, 180, 20):  # 12 words changed, 8 equal, over and over
