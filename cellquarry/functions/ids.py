@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 
 
 def cell_code(prefix: Column, suffix: Column) -> Column:
-    """A 32-bit number as eight letters a..p (hexadecimal digits shifted), then the suffix."""
-    digits = F.lpad(F.lower(F.hex(prefix.cast("long"))), 8, "0")
+    """A number as letters a..p (hexadecimal digits shifted), eight of them for 32 bits and more only where it needs them, then the suffix."""
+    digits = F.lower(F.hex(prefix.cast("long")))
+    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), F.lit("0"))
     return F.concat(F.translate(digits, "0123456789abcdef", "abcdefghijklmnop"), F.lit("-"), suffix.cast("string"))
 
 
 def cell_number(code: Column) -> Column:
     """The number that cell_code() spelt."""
-    return F.conv(F.translate(F.substring_index(code, "-", 1), "abcdefghijklmnop", "0123456789abcdef"), 16, 10).cast("long")
+    return F.conv(F.translate(F.substring_index(code, "-", 1), "abcdefghijklmnop", "0123456789abcdef"), 16, -10).cast("long")
 
 
 def transcript_id(fov: Column, counter: Column) -> Column:
