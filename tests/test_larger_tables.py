@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellquarry import catalogue
 from cellquarry.functions import ids
+from cellquarry.operators import analysis as A
+from cellquarry.operators.matrix import Matrix
 
 
 def test_codes_of_numbers_beyond_32_bits(spark, tmp_path):
@@ -18,3 +21,38 @@ def test_codes_of_numbers_beyond_32_bits(spark, tmp_path):
     spark.createDataFrame([(1,), (600_000,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = {r.o_orderkey: (r.code, r.back) for r in catalogue.xenium_id_codec(spark, str(tmp_path)).collect()}
     assert found == {1: ("aaaaboop-1", 7919), 600_000: ("bbldejme-1", 4_751_400_000)}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_matrix(spark, cells: int, feats: int, each: int, seed: int = 1) -> tuple[Matrix, np.ndarray]:
+    """Cells 1 .. of ``each`` entries with small whole values, and the dense array (cells x features)."""
+    rng = np.random.default_rng(seed)
+    x = np.zeros((cells, feats))
+    for row in x:
+        row[rng.choice(feats, each, replace=False)] = rng.integers(1, 6, each)
+    return Matrix.from_array(spark, x.T, [f"f{i + 1:05}" for i in range(feats)], [f"c{i + 1}" for i in range(cells)]), x
+
+
+def test_pairs_without_a_shared_cell_are_not_shuffled(spark):
+    """All pairs were made by one nested loop and then shuffled, to meet the few that share a cell."""
+    m, x = random_matrix(spark, 150, 300, 3)
+    got = A.correlation(m)
+    assert "NestedLoop" not in plan_of(got).split("Union", 1)[1] and "Cartesian" not in plan_of(got)
+    rows = {(r.feat1, r.feat2): r.r for r in got.collect()}
+    assert len(rows) == got.count() == 300 * 299 // 2 and all(a < b for a, b in rows)
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    for (a, b), r in rows.items():
+        w = want[int(a[1:]) - 1, int(b[1:]) - 1]
+        assert (r is None and np.isnan(w)) or abs(r - w) < 1e-9
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(2)
+    own = [0.00005, 0.00015, 1.00005, -1.00005, 2.67545, 1e300, -0.00001, float("inf"), float("-inf"), float("nan"), None, 123456.78905]
+    own += [float(x) for x in (rng.integers(-(10**7), 10**7, 2000) / 10**5).tolist() + (rng.normal(size=2000) * 10.0 ** rng.integers(-6, 9, 2000)).tolist()]
+    d = spark.createDataFrame([(x,) for x in own], "x double").select(catalogue.rounded(F.col("x"), 4).alias("a"), F.round("x", 4).alias("b"))
+    assert d.where("not (a <=> b)").count() == 0
