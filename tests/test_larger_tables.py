@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -56,3 +58,17 @@ def test_rounding_is_that_of_spark(spark):
     own += [float(x) for x in (rng.integers(-(10**7), 10**7, 2000) / 10**5).tolist() + (rng.normal(size=2000) * 10.0 ** rng.integers(-6, 9, 2000)).tolist()]
     d = spark.createDataFrame([(x,) for x in own], "x double").select(catalogue.rounded(F.col("x"), 4).alias("a"), F.round("x", 4).alias("b"))
     assert d.where("not (a <=> b)").count() == 0
+
+
+def test_least_of_what_follows_in_one_pass(spark):
+    """Spark goes through a frame from a row to the end of its partition anew for each row: quadratic in the features."""
+    m, _ = random_matrix(spark, 60, 40, 5)
+    groups = m.cells.select("cell_id", (F.col("row_id") % 3).cast("string").alias("label"))
+    pairs = A.markers(m, groups)
+    for kind in ("any", "some", "all"):
+        out = A.combine_markers(pairs, kind)
+        assert not re.search(r"currentrow\$\(\), unboundedfollowing", plan_of(out))
+        for host in "012":
+            own = out.where(F.col("host") == host).orderBy("log_p", "feat_id").toPandas()
+            a = own["log_p"] + np.log(len(own) / np.arange(1, len(own) + 1))
+            assert np.allclose(own["log_fdr"], np.minimum(a[::-1].cummin()[::-1], 0.0), rtol=1e-12)
