@@ -95,6 +95,44 @@ def damped_shares(a: np.ndarray, b: np.ndarray, rounds: int = 10) -> np.ndarray:
     return x / x.sum() if x.sum() > 0 else x
 
 
+def damped_shares_of_kinds(a: np.ndarray, times: np.ndarray, b: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """damped_shares() of many cells at once, over kinds of equal rows: ``a`` kinds x types, ``times`` how often each occurs, ``b`` cells x kinds sums of a cell's values.
+
+    Rows of zeros may be left out: they add nothing to the sums, and their weight is never the least.
+    """
+    flat = (a * times[:, None]).T @ a
+    x = nnls_many(np.broadcast_to(flat, (len(b), *flat.shape)), b @ a)
+    todo = np.arange(len(b))
+    for _ in range(rounds):
+        w = 1 / np.maximum(x[todo] @ a.T, 1e-3)
+        w = np.minimum(w / w.min(axis=1, keepdims=True), 100.0) ** 2
+        new = nnls_many(np.einsum("cr,ri,rj->cij", w * times, a, a, optimize=True), (w * b[todo]) @ a)
+        moved = np.abs(new - x[todo]).max(axis=1, initial=0) >= 1e-6
+        x[todo] = new
+        todo = todo[moved]
+        if not len(todo):
+            break
+    total = x.sum(axis=1, keepdims=True)
+    return np.where(total > 0, x / np.where(total > 0, total, 1.0), x)
+
+
+def nnls_many(g: np.ndarray, c: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """nnls() of many right sides: ``g`` (cells x types x types) the products of the columns, ``c`` (cells x types) those with the right side."""
+    x, todo = np.zeros_like(c), np.arange(len(c))
+    for _ in range(rounds):
+        own, gt, ct = x[todo], g[todo], c[todo]
+        old = own.copy()
+        for j in range(c.shape[1]):
+            d = gt[:, j, j]
+            step = own[:, j] + (ct[:, j] - np.einsum("cj,cj->c", gt[:, j], own)) / np.where(d > 0, d, 1.0)
+            own[:, j] = np.where(d > 0, np.maximum(0.0, step), own[:, j])
+        x[todo] = own
+        todo = todo[np.abs(own - old).max(axis=1, initial=0) >= 1e-10]
+        if not len(todo):
+            break
+    return x
+
+
 def two_means_cut(position: np.ndarray, weight: np.ndarray) -> float:
     """Middle between the centres of the best split of weighted positions in two (least within squares)."""
     order = np.argsort(position, kind="stable")

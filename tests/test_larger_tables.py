@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellquarry import catalogue
-from cellquarry.functions import ids
+from cellquarry.functions import ids, stats
 from cellquarry.operators import analysis as A
 from cellquarry.operators.matrix import Matrix
 
@@ -72,3 +72,24 @@ def test_least_of_what_follows_in_one_pass(spark):
             own = out.where(F.col("host") == host).orderBy("log_p", "feat_id").toPandas()
             a = own["log_p"] + np.log(len(own) / np.arange(1, len(own) + 1))
             assert np.allclose(own["log_fdr"], np.minimum(a[::-1].cummin()[::-1], 0.0), rtol=1e-12)
+
+
+def test_shares_take_as_long_as_kinds_of_signature_rows(spark):
+    """Each cell went through all features of the signature some hundred times; it now goes through the kinds of their rows, with the same shares."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 3, (7, 3)).astype(float)
+    a = rows[rng.integers(0, 7, 90)]
+    b = np.where(rng.random((25, 90)) < 0.1, rng.integers(1, 9, (25, 90)), 0).astype(float)
+    b[3] = 0
+    m = Matrix.from_array(spark, b.T, [f"f{i:02}" for i in range(90)], [f"c{i}" for i in range(25)])
+    sign = spark.createDataFrame([(f"f{i:02}", f"t{j}", float(a[i, j])) for i in range(90) for j in range(3)], "feat_id string, type string, value double")
+    whole = stats.damped_shares_of_kinds
+    out = {(r.cell_id, r.type): r.share for r in A.deconvolve(m, sign).collect()}
+    for i in range(25):
+        want = stats.damped_shares(a, b[i]) if b[i].any() else np.zeros(3)
+        assert np.allclose([out[f"c{i}", f"t{j}"] for j in range(3)], want, atol=1e-6)
+    kinds, times = np.unique(a[a.any(axis=1)], axis=0, return_counts=True)
+    sums = np.stack([b[:, (a == k).all(axis=1)].sum(axis=1) for k in kinds], axis=1)
+    assert np.allclose(whole(kinds, times.astype(float), sums), [stats.damped_shares(a, x) for x in b], atol=1e-6)
+    plan = plan_of(A.deconvolve(m, sign))
+    assert "kinds" in plan and "collect_list(feat_id" not in plan
