@@ -56,11 +56,48 @@ def log_simes(logp: np.ndarray) -> float:
     return float(np.min(own + np.log(len(own) / np.arange(1, len(own) + 1)))) if len(own) else float("nan")
 
 
+def neighbours(n: int, span: float, degree: int = 2) -> int:
+    """How many of n points a local fit takes."""
+    return max(min(int(np.floor(n * span + 1e-9)), n), min(degree + 1, n))
+
+
+def loess_counted(x: np.ndarray, y: np.ndarray, times: np.ndarray, alone: np.ndarray, span: float, at: slice, degree: int = 2) -> np.ndarray:
+    """loess() at the places ``at`` of distinct, ascending x that stand for ``times`` points each, with mean y.
+
+    A place of which only some points are among the nearest is as far as the farthest and weighs nothing, so whole places do.
+    ``alone``: the fit where all of the nearest stand at one place.
+    """
+    upto = np.cumsum(times)
+    n = int(upto[-1])
+    k = neighbours(n, span, degree)
+    places = x[at]
+    low, high = np.zeros(len(places), np.int64), np.full(len(places), n - k, np.int64)
+    value = lambda j: x[np.searchsorted(upto, j, side="right")]
+    while (todo := low < high).any():  # the least first point beyond which the next one is no nearer
+        mid = (low + high) // 2
+        on = value(np.minimum(mid + k, n - 1)) - places < places - value(mid)
+        low, high = np.where(todo & on, mid + 1, low), np.where(todo & ~on, mid, high)
+    first, last = np.searchsorted(upto, low, side="right"), np.searchsorted(upto, low + k - 1, side="right")
+    out = np.empty(len(places))
+    for i, v in enumerate(places.tolist()):
+        own = slice(int(first[i]), int(last[i]) + 1)
+        far = max(v - x[own.start], x[own.stop - 1] - v) * max(span, 1.0)
+        if far <= 0:
+            out[i] = alone[at.start + i]
+            continue
+        unit = (x[own] - v) / far
+        w = np.clip(1 - np.abs(unit) ** 3, 0, None) ** 3 * times[own]
+        basis = np.vander(unit, degree + 1, increasing=True)
+        weighted = basis * w[:, None]
+        out[i] = np.linalg.lstsq(basis.T @ weighted, weighted.T @ y[own], rcond=None)[0][0]
+    return out
+
+
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, at: np.ndarray | None = None) -> np.ndarray:
     """Local regression with tricube weights, fitted at every x, or at the places ``at``."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
-    k = max(min(int(np.floor(n * span + 1e-9)), n), min(degree + 1, n))
+    k = neighbours(n, span, degree)
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
     places = x if at is None else np.asarray(at, float)

@@ -93,3 +93,26 @@ def test_shares_take_as_long_as_kinds_of_signature_rows(spark):
     assert np.allclose(whole(kinds, times.astype(float), sums), [stats.damped_shares(a, x) for x in b], atol=1e-6)
     plan = plan_of(A.deconvolve(m, sign))
     assert "kinds" in plan and "collect_list(feat_id" not in plan
+
+
+def test_local_regression_takes_equal_means_together(spark):
+    """All means and deviations stood in one row, which was repeated for each task: the features' number squared."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.sort(rng.random(40)), rng.integers(1, 12, 40))
+    for own in (x, np.where(x < 0.97, 0.5, x), np.round(x, 1)):  # also: more points at one place than a fit takes
+        y = np.sin(4 * own) + rng.random(len(own))
+        order = np.lexsort((y, own))
+        own, y = own[order], y[order]
+        for span in (0.75, 0.3, 1.0):
+            u, inv, n = np.unique(own, return_inverse=True, return_counts=True)
+            k = stats.neighbours(len(own), span)
+            alone = np.array([y[own == v][:k].mean() for v in u])
+            got = stats.loess_counted(u, np.bincount(inv, y) / n, n, alone, span, slice(0, len(u)))
+            assert np.allclose(got, stats.loess(own, y, span)[np.searchsorted(own, u)], atol=1e-6)
+    cells = rng.poisson(2.0, (12, 30)).astype(float) * (1 + np.arange(12))[:, None]
+    crowd = np.concatenate([cells] + [rng.permuted(cells[:1], axis=1) for _ in range(60)])
+    m = Matrix.from_array(spark, crowd, [f"f{i:03}" for i in range(72)], [f"c{i}" for i in range(30)])
+    out = A.variable_loess(m, chunk=7)
+    assert "collect_list" not in plan_of(out)
+    got = out.toPandas().sort_values(["mean_expr", "cov"])
+    assert len(got) == 72 and np.allclose(got["cov"] - stats.loess(np.log(got["mean_expr"]), got["cov"]), got["cov_diff"], atol=1e-6)
