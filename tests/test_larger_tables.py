@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -116,3 +117,19 @@ def test_local_regression_takes_equal_means_together(spark):
     assert "collect_list" not in plan_of(out)
     got = out.toPandas().sort_values(["mean_expr", "cov"])
     assert len(got) == 72 and np.allclose(got["cov"] - stats.loess(np.log(got["mean_expr"]), got["cov"]), got["cov_diff"], atol=1e-6)
+
+
+def shuffle_files(spark) -> int:
+    """How many files of map tasks lie in the block manager's folders."""
+    return sum(1 for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(d.getPath()) for x in names if re.match(r"shuffle_\d+_\d+_\d+\.data$", x))
+
+
+def test_passes_over_components_leave_no_shuffle_files(spark):
+    """Every pass over the cells left its partial sums on disk."""
+    m, x = random_matrix(spark, 200, 60, 6)
+    before = shuffle_files(spark)
+    got = A.pca(m, 3, method="random", powers=30)
+    left = shuffle_files(spark) - before
+    value = np.linalg.eigvalsh(np.corrcoef(x.T))[::-1][:3]
+    assert np.allclose(got["sdev"] ** 2, value, rtol=1e-3) and got["scores"].count() == 200
+    assert left < 32  # the passes
