@@ -133,3 +133,24 @@ def test_passes_over_components_leave_no_shuffle_files(spark):
     value = np.linalg.eigvalsh(np.corrcoef(x.T))[::-1][:3]
     assert np.allclose(got["sdev"] ** 2, value, rtol=1e-3) and got["scores"].count() == 200
     assert left < 32  # the passes
+
+
+def test_stored_matrix_is_dealt_once(spark):
+    """Entries were dealt by cell and feature, again by cell, and both once more for each count of them."""
+    m = catalogue.fresh_matrix(spark, "/root/testdata/sf0.001", placed=True)
+    plan = plan_of(m.triplets.sortWithinPartitions("row_id", "col_id"))
+    assert plan.count("Exchange") == 1 and "rangepartitioning(row_id" in plan
+    seen = m.triplets.select("row_id", F.spark_partition_id().alias("p")).distinct().groupBy("row_id").count()
+    assert seen.where("count > 1").count() == 0
+
+
+def test_cuts_and_products_without_a_task_for_each_feature(spark):
+    """Cuts went through Python feature by feature, products through a join of the entries with themselves."""
+    m, x = random_matrix(spark, 80, 30, 5)
+    assert "FlatMapGroupsInPandas" not in plan_of(A.binarize(m, "kmeans", bins=16).triplets)
+    out = A.gram(m)
+    assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" not in plan_of(out)
+    want = x.T @ x
+    got = {(r.f1, r.f2): r.g for r in out.collect()}
+    assert all(abs(want[a - 1, b - 1] - v) < 1e-9 for (a, b), v in got.items())
+    assert len(got) == int((np.triu(want) > 0).sum())
