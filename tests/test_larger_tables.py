@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellquarry import catalogue
 from cellquarry.functions import ids, stats
 from cellquarry.operators import analysis as A
+from cellquarry.operators.graph import Graph
 from cellquarry.operators.matrix import Matrix
 
 
@@ -154,3 +155,33 @@ def test_cuts_and_products_without_a_task_for_each_feature(spark):
     got = {(r.f1, r.f2): r.g for r in out.collect()}
     assert all(abs(want[a - 1, b - 1] - v) < 1e-9 for (a, b), v in got.items())
     assert len(got) == int((np.triu(want) > 0).sum())
+
+
+def test_graphs_over_cells_deal_bounded_parts_by_number(spark):
+    """Two hops shuffled what the first hop made of all values for each neighbour, sums by neighbours dealt named entries, motifs made their pairs again for each use."""
+    m, x = random_matrix(spark, 40, 12, 3)
+    edges = [(i, i + k, w) for i in range(1, 41) for k, w in ((3, 2.0), (7, 0.5)) if i + k <= 42]  # cells 41 and 42 are none of the matrix
+    g = Graph.of(spark.createDataFrame([(f"c{a}", f"c{b}", w) for a, b, w in edges], "from_id string, to_id string, weight double"))
+    a = np.eye(42)
+    for i, j, w in edges:
+        a[i - 1, j - 1] += w
+        a[j - 1, i - 1] += w
+    a = (a / a.sum(axis=1, keepdims=True))[:40, :40]
+    for hops in (1, 2, 3):
+        out = g.smooth(m, hops)
+        plan = plan_of(out.triplets)
+        assert plan.count("REPARTITION_BY_NUM") >= 2
+        got = np.zeros((40, 12))
+        for r in out.triplets.collect():
+            got[r.row_id - 1, r.col_id - 1] = r.value
+        assert np.allclose(got, np.linalg.matrix_power(a, hops) @ x)
+    groups = m.cells.select("cell_id", (F.col("row_id") % 2).cast("string").alias("label"))
+    sums = g.neighbour_sums(m, groups)
+    w = np.zeros((40, 40))
+    for i, j, v in edges:
+        if j <= 40:
+            w[i - 1, j - 1] = w[j - 1, i - 1] = v
+    for r in sums.collect():
+        of = np.array([(i + 1) % 2 == int(r.label) for i in range(40)])
+        assert abs(r.nbr_sum - (x[:, int(r.feat_id[1:]) - 1] * w[:, of].sum(axis=1)).sum()) < 1e-9
+    assert "REPARTITION_BY_NUM" in plan_of(g.label_proportions(groups.withColumnRenamed("cell_id", "node_id")))
